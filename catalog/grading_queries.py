@@ -105,6 +105,14 @@ def word_alignments(spark, sf_dir):
     return scoring.word_alignments(_graded_phrases(spark, sf_dir)).drop("span_start")
 
 
+CAPITALS = fx.CYRILLIC.upper()
+
+
+def _capitals(column):
+    """Capitals for the transliterated letters alone: they fold back without loss."""
+    return F.translate(column, fx.CYRILLIC, CAPITALS)
+
+
 @register(
     "word_level",
     q.query(
@@ -114,7 +122,7 @@ def word_alignments(spark, sf_dir):
           CASE WHEN a.level IS NOT NULL
             THEN round(coalesce(v.dist[list_position({q.LEVEL_LIST}, a.level)], 0), 6) END
             AS confidence
-        FROM (SELECT pair_id, unnest(list_distinct(list_transform(w, lambda x: upper(x)))) AS word FROM word_lists
+        FROM (SELECT pair_id, unnest(list_distinct(list_transform(w, lambda x: translate(x, '{fx.CYRILLIC}', '{CAPITALS}')))) AS word FROM word_lists
               WHERE side = 'kaz') k
         JOIN levels v ON v.pair_id = k.pair_id
         LEFT JOIN (SELECT pair_id, lower(kazakh_token) AS target, unnest(arg_min(
@@ -128,7 +136,7 @@ def word_alignments(spark, sf_dir):
 def word_level(spark, sf_dir):
     """Every distinct Kazakh word of every text, asked for in capitals."""
     asked = _pairs(spark, sf_dir).select(
-        "pair_id", F.explode(F.array_distinct(t.words(F.upper("kaz")))).alias("word")
+        "pair_id", F.explode(F.array_distinct(t.words(_capitals("kaz")))).alias("word")
     )
     graded = _graded_phrases(spark, sf_dir)
     texts = scoring.distribution_per(graded, ["pair_id"])

@@ -39,7 +39,9 @@ from lexigrade.operators.tfidf import fit_tfidf
 from lexigrade.operators.word_model import feature_names, word_distribution_features
 from lexigrade.sources import corpora
 
+# The solver's iteration cap and stopping tolerance.
 MAX_ITERATIONS = 2000
+TOLERANCE = 1e-4
 
 
 @dataclass
@@ -175,6 +177,7 @@ def fit_classifier(
             elasticNetParam=0.0,
             standardization=False,
             maxIter=max_iterations,
+            tol=TOLERANCE,
         ).fit(ready)
     finally:
         ready.unpersist()
@@ -361,6 +364,7 @@ def train_word_model(
             regParam=strength / total,
             standardization=False,
             maxIter=max_iterations,
+            tol=TOLERANCE,
         ).fit(ready)
         model = PipelineModel([*stages, regression, names])
         predictions = model.transform(split.where("is_test")).select("label", "pred")
