@@ -144,7 +144,7 @@ def phrase_merge(spark, sf_dir):
         "p.russian_index",
         "p.russian_token",
         F.array_join(F.col("p.kazakh_span").cast("array<string>"), ",").alias("kazakh_span"),
-        "p.kazakh_phrase",
+        F.array_join("p.kazakh_tokens", " ").alias("kazakh_phrase"),
     )
 
 

@@ -15,6 +15,7 @@ from lexigrade.functions.features import with_text_features
 from lexigrade.levels import LEVELS, level_at
 from lexigrade.operators import align
 from lexigrade.operators.joins import lookup_join
+from lexigrade.session import spread_small
 
 # The transliteration, and the factor that turns the table's unit vectors
 # into ones with encoder-like norms (similarities times 30).
@@ -41,9 +42,8 @@ def transliterate(text: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): documents in Cyrillic letters."""
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", transliterate(F.col("text")).alias("text")
-    )
+    docs = spread_small(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return docs.select("doc_id", transliterate(F.col("text")).alias("text"))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +211,8 @@ def length_level(chars: Column) -> Column:
 
 def text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text_en, text_ru, label); the shortest documents have no label."""
-    return table(spark, sf_dir, "documents").select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    return spread_small(docs, "doc_id").select(
         "doc_id",
         F.col("text").alias("text_en"),
         transliterate(F.col("text")).alias("text_ru"),

@@ -271,34 +271,44 @@ def with_phrases(linked: DataFrame) -> DataFrame:
             | (before["kz_idx"] + 1 != link["kz_idx"])
         )
 
-    marked = F.transform(
-        "links", lambda link, i: F.when(starts_run(link, i), i)
+    starts = F.filter(
+        F.transform("links", lambda link, i: F.when(starts_run(link, i), i)),
+        lambda i: i.isNotNull(),
     )
-    with_starts = linked.withColumn("_starts", F.filter(marked, lambda i: i.isNotNull()))
 
-    def phrase(start: Column, k: Column) -> Column:
-        end = F.coalesce(F.get("_starts", k + 1), F.size("links"))
+    def phrase(bound: Column, start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(bound, k + 1), F.size("links"))
         run = F.slice("links", start + 1, end - start)
         ru_idx = F.get("links", start)["ru_idx"]
         return F.struct(
             ru_idx.alias("russian_index"),
             F.get("rus_words", ru_idx).alias("russian_token"),
             F.transform(run, lambda link: link["kz_idx"]).alias("kazakh_span"),
-            F.array_join(
-                F.transform(run, lambda link: F.get("kaz_words", link["kz_idx"])), " "
-            ).alias("kazakh_phrase"),
+            F.transform(run, lambda link: F.get("kaz_words", link["kz_idx"])).alias(
+                "kazakh_tokens"
+            ),
             F.array_min(F.transform(run, joint)).alias("alignment_conf"),
         )
 
-    return with_starts.withColumn("phrases", F.transform("_starts", phrase)).drop("_starts")
+    phrases = t.let(
+        starts, lambda bound: F.transform(bound, lambda start, k: phrase(bound, start, k))
+    )
+    return linked.withColumn("phrases", phrases)
+
+
+PER_PAIR_LISTS = ("kaz_words", "rus_words", "links", "phrases")
 
 
 def phrase_rows(phrased: DataFrame, outer: bool = False) -> DataFrame:
-    """One row per phrase; with `outer` a pair without phrases keeps one row of NULLs."""
+    """One row per phrase; with `outer` a pair without phrases keeps one row of NULLs.
+
+    The lists of the pair stay behind: repeated on every phrase they would outweigh it.
+    """
+    keep = [c for c in phrased.columns if c not in PER_PAIR_LISTS]
     unnest = F.explode_outer if outer else F.explode
-    return phrased.select(
-        *[c for c in phrased.columns if c != "phrases"], unnest("phrases").alias("_p")
-    ).select(*[c for c in phrased.columns if c != "phrases"], "_p.*")
+    return phrased.select(*keep, unnest("phrases").alias("_p")).select(
+        *keep, "_p.*", F.array_join("_p.kazakh_tokens", " ").alias("kazakh_phrase")
+    )
 
 
 def phrases_from_links(links: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -30,23 +30,25 @@ def distribution_per(
 
 def word_alignments(phrases: DataFrame) -> DataFrame:
     """One row per Kazakh word of each graded phrase."""
+    word = F.arrays_zip(
+        F.col("kazakh_tokens").alias("token"), F.col("kazakh_span").alias("index")
+    )
     return phrases.select(
         "pair_id",
-        "kaz_words",
         "russian_token",
         "russian_index",
         "level",
         F.get("kazakh_span", F.lit(0)).alias("span_start"),
-        F.explode("kazakh_span").alias("kazakh_index"),
+        F.explode(word).alias("_w"),
     ).select(
         "pair_id",
-        F.get("kaz_words", F.col("kazakh_index")).alias("kazakh_token"),
+        F.col("_w.token").alias("kazakh_token"),
         "russian_token",
-        "kazakh_index",
+        F.col("_w.index").alias("kazakh_index"),
         "russian_index",
         "level",
         "span_start",
-    ).where(F.col("kazakh_token").isNotNull())
+    )
 
 
 def text_report(texts: DataFrame) -> DataFrame:

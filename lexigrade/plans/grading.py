@@ -58,7 +58,7 @@ def aligned_phrases(
 
 def graded_phrases(phrased: DataFrame, lexicon: DataFrame, **bounds) -> DataFrame:
     """One row per phrase with the level of its Russian word; empty pairs keep a row."""
-    rows = align.phrase_rows(phrased.drop("links"), outer=True)
+    rows = align.phrase_rows(phrased, outer=True)
     return attach_level(
         rows, lexicon, "russian_token", row_key=["pair_id", "russian_index", "kazakh_phrase"],
         **bounds,

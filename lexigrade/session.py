@@ -54,3 +54,19 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(partitions, key)
+
+
+SPLIT_BYTES = 128 * 1024 * 1024
+
+
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Spread an input too small to give every core a split; leave larger ones as read.
+
+    A file of a few megabytes is one task however long its texts take. At sizes where
+    the scan keeps all cores busy the shuffle would be waste, so none is made.
+    """
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= SPLIT_BYTES * spark.sparkContext.defaultParallelism:
+        return df
+    return spread(df, key)
