@@ -61,7 +61,8 @@ def lookup_join(
     takes the salted way, where no key, however frequent, lands in one task.
     """
     if fits_broadcast(table, max_rows, max_bytes):
-        return left.join(F.broadcast(table), key, "left")
+        columns = [*left.columns, *[c for c in table.columns if c != key]]
+        return left.join(F.broadcast(table), key, "left").select(*columns)
     return salted_lookup(left, table, key, row_key=row_key, rows_per_task=rows_per_task)
 
 
