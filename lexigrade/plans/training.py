@@ -7,12 +7,13 @@ and weights, both sized by a parameter) and one row of metrics per class.
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import (
     CountVectorizer,
     IndexToString,
@@ -37,6 +38,7 @@ from lexigrade.operators.sampling import (
 )
 from lexigrade.operators.tfidf import fit_tfidf
 from lexigrade.operators.word_model import feature_names, word_distribution_features
+from lexigrade.session import ensure_checkpoint_dir
 from lexigrade.sources import corpora
 
 # The solver's iteration cap and stopping tolerance.
@@ -136,6 +138,18 @@ def _scaling_stage(train: DataFrame, numeric: list[str]) -> tuple[SQLTransformer
     return SQLTransformer(statement=f"SELECT *, {', '.join(cells)} FROM __THIS__"), names
 
 
+def _without_summary(model: LogisticRegressionModel, df: DataFrame) -> LogisticRegressionModel:
+    """The fitted regression written and read back, which drops its training summary.
+
+    The summary holds the session, and a session that has observed a query cannot be
+    shipped to tasks, so the model as fitted would fail there.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/regression-{uuid.uuid4().hex}"
+    model.write().save(path)
+    return LogisticRegressionModel.load(path)
+
+
 def fit_classifier(
     train: DataFrame,
     text_cols: list[str],
@@ -179,6 +193,7 @@ def fit_classifier(
             maxIter=max_iterations,
             tol=TOLERANCE,
         ).fit(ready)
+        regression = _without_summary(regression, ready)
     finally:
         ready.unpersist()
     names = IndexToString(inputCol="prediction", outputCol="pred", labels=indexer.labels)
@@ -366,6 +381,7 @@ def train_word_model(
             maxIter=max_iterations,
             tol=TOLERANCE,
         ).fit(ready)
+        regression = _without_summary(regression, ready)
         model = PipelineModel([*stages, regression, names])
         predictions = model.transform(split.where("is_test")).select("label", "pred")
         score = metrics.macro_f1(predictions).first()["macro_f1"] or 0.0
