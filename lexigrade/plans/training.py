@@ -38,7 +38,7 @@ from lexigrade.operators.sampling import (
 )
 from lexigrade.operators.tfidf import fit_tfidf
 from lexigrade.operators.word_model import feature_names, word_distribution_features
-from lexigrade.session import ensure_checkpoint_dir
+from lexigrade.session import ensure_checkpoint_dir, materialise
 from lexigrade.sources import corpora
 
 # The solver's iteration cap and stopping tolerance.
@@ -339,7 +339,7 @@ def train_word_model(
     seed: int = 42,
     max_features: int = 5000,
     ngram_max: int = 3,
-    strengths: tuple[float, ...] = (1.0, 0.1, 0.01),
+    strengths: tuple[float, ...] = (1.0, 0.1),
     max_iterations: int = 100,
 ) -> Trained:
     """Level of a single word from its letter n-grams; `labels` is (id, text, label).
@@ -348,7 +348,8 @@ def train_word_model(
     row, which also removes the weight of very frequent words from the data volume. Of
     the penalties tried, the one with the best macro F1 on the held-out rows is kept.
     """
-    usable = keep_frequent_classes(labels)
+    # Written once: every step below reads the labels, which are costly to make.
+    usable = keep_frequent_classes(materialise(labels.select(id_col, "text", "label")))
     require_classes(usable)
     split = stratified_split(usable, id_col, test_size=test_size, seed=seed)
     split = split.select("text", "label", "is_test").persist(StorageLevel.MEMORY_AND_DISK)
