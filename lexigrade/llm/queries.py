@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigrade.llm import decontaminate, exact, html_text, shards, simhash
+from lexigrade.llm import decontaminate, exact, html_text, pii, shards, simhash
 from lexigrade.llm.common import UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+#: Stands in for the key that a deployment takes from its own secret store.
+DEMONSTRATION_KEY = b"lexigrade demonstration key"
+
+
+@query
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.protect(table(spark, sf_dir, "documents"), DEMONSTRATION_KEY)
