@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigrade.llm import decontaminate, exact, html_text, pii, shards, simhash
+from lexigrade.llm import decontaminate, exact, html_text, pii, shards, simhash, substring
 from lexigrade.llm.common import UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,8 @@ DEMONSTRATION_KEY = b"lexigrade demonstration key"
 @query
 def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.protect(table(spark, sf_dir, "documents"), DEMONSTRATION_KEY)
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(table(spark, sf_dir, "documents"))
