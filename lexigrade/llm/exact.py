@@ -60,7 +60,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     occurrences = written.select("row", F.posexplode("chunks").alias("pos", "chunk")).select(
         "row", "pos", "chunk.key", "chunk.check"
     )
-    known = identifiers(occurrences)
+    known = cut(identifiers(occurrences))
     listed = (
         occurrences.join(known, ["key", "check"])
         .groupBy("row")
@@ -73,8 +73,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         .join(listed, "row", "left")
         .select("row", "doc_id", "text_sha256", F.coalesce("recipe", empty).alias("recipe"))
     )
-    groups = with_recipe.groupBy("recipe").agg(
-        F.count("*").alias("group_size"), F.max(F.struct("doc_id", (-F.col("row")).alias("turn"))).alias("best")
+    # Written, so that the join below has a shuffle on both sides and a crowded group can be split.
+    groups = cut(
+        with_recipe.groupBy("recipe").agg(
+            F.count("*").alias("group_size"), F.max(F.struct("doc_id", (-F.col("row")).alias("turn"))).alias("best")
+        )
     )
     return with_recipe.join(groups, "recipe").select(
         "row",
