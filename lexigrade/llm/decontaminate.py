@@ -120,18 +120,27 @@ def _searcher(key: str, items: list[tuple[str, list[bytes]]], window: int) -> tu
     return _SEARCHERS[key]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_words: int = PASS_WORDS) -> DataFrame:
-    """Rows of `docs` as doc_id, text, n_words, spans (merged runs of hit words), items (sorted ids).
+def find(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = WINDOW,
+    pass_words: int = PASS_WORDS,
+    names: tuple[str, str, str] = ("n_words", "spans", "items"),
+) -> DataFrame:
+    """`docs` (text and others) with n_words, spans (merged runs of hit words), items (sorted ids).
 
     Nothing is shuffled: each pass broadcasts at most `pass_words` benchmark words and reads
     every document; a larger benchmark means more passes over the rows in the same task.
     Null or wordless texts have no hit, null or wordless items no window; a null item id
-    reads as the empty id, and items with equal ids are one item.
+    reads as the empty id, and items with equal ids are one item. The `names` must be free.
     """
-    schema = "doc_id long, text string, n_words long, spans array<int>, items array<string>"
-    none = F.array()
-    rows = docs.select(
-        docs["doc_id"].cast("long"), docs["text"], F.lit(0).cast("long").alias("n_words"), none.cast("array<int>").alias("spans"), none.cast("array<string>").alias("items")
+    n_words, spans, hit_items = names
+    rows = docs.withColumns(
+        {
+            n_words: F.lit(0).cast("long"),
+            spans: F.array().cast("array<int>"),
+            hit_items: F.array().cast("array<string>"),
+        }
     )
     for items in passes(benchmark, pass_words, window):
         held, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
@@ -139,20 +148,19 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_words
         def search(batches: Iterator[pa.RecordBatch], held=held, key=key) -> Iterator[pa.RecordBatch]:
             ids, searcher = _searcher(key, held.value, window)
             for batch in bounded(batches, "text"):
-                count, spans, names = [], batch.column("spans").to_pylist(), batch.column("items").to_pylist()
+                count, where, hit = [], batch.column(spans).to_pylist(), batch.column(hit_items).to_pylist()
                 for at, text in enumerate(texts(batch.column("text"))):
                     found = words(text)
                     count.append(len(found))
                     hits = searcher.search(found)
                     if hits:
-                        names[at] = sorted({*names[at], *(ids[i] for _, _, hit in hits for i in hit)})
-                        spans[at] = merged([*zip(spans[at][::2], spans[at][1::2]), *((s, s + n) for s, n, _ in hits)])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("text"), pa.array(count, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))],
-                    names=["doc_id", "text", "n_words", "spans", "items"],
-                )
-
-        rows = rows.mapInArrow(search, schema)
+                        hit[at] = sorted({*hit[at], *(ids[i] for _, _, mine in hits for i in mine)})
+                        where[at] = merged([*zip(where[at][::2], where[at][1::2]), *((s, s + n) for s, n, _ in hits)])
+                new = {n_words: pa.array(count, pa.int64()), spans: pa.array(where, pa.list_(pa.int32())), hit_items: pa.array(hit, pa.list_(pa.string()))}
+                columns = [new.get(name, column) for name, column in zip(batch.schema.names, batch.columns)]
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+        rows = rows.mapInArrow(search, rows.schema)
     return rows
 
 

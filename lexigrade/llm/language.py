@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexigrade.llm import ngrams
 from lexigrade.llm.common import bounded
@@ -122,18 +123,20 @@ def fit(docs: DataFrame, sample: int = SAMPLE, epochs: int = 4, seed: int = 6) -
     return Model(languages, (w[:-1] * idf[:, None]).astype(np.float32), w[-1], heat)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` without `text`, with lang_pred and score (the calibrated probability).
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score"), keep_text: bool = False) -> DataFrame:
+    """`docs`, without `text` unless it is kept, with the predicted language and its calibrated probability.
 
     Whole texts, no shuffle. A null text or one without a letter is `und` with score 0, as is
-    every text where no language was learned. The names lang_pred and score must be free.
+    every text where no language was learned. The two `names` must be free.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    rest = [(name, kind) for name, kind in docs.dtypes if name != "text"]
+    schema = T.StructType([f for f in docs.schema.fields if keep_text or f.name != "text"])
+    kept = schema.names
+    schema = T.StructType([*schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        names = np.array([*m.languages, UNDETERMINED], object)
+        values = np.array([*m.languages, UNDETERMINED], object)
         for batch in bounded(batches, "text", ngrams.SLICE):
             n = batch.num_rows
             best, score = np.full(n, len(m.languages)), np.zeros(n)
@@ -143,13 +146,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 p = softmax((ngrams.sums(points, starts, m.weights) + m.intercept) / m.temperature)
                 best = np.where(lettered, p.argmax(axis=1), best)
                 score = np.where(lettered, p.max(axis=1), 0.0)
-            columns = [c for name, c in zip(batch.schema.names, batch.columns) if name != "text"]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(names[best], pa.string()), pa.array(score)], names=[*(name for name, _ in rest), "lang_pred", "score"]
-            )
+            columns = [batch.column(name) for name in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(values[best], pa.string()), pa.array(score)], names=[*kept, *names])
 
-    kept = "".join(f"`{name}` {kind}, " for name, kind in rest)
-    return docs.mapInArrow(scan, f"{kept}lang_pred string, score double")
+    return docs.mapInArrow(scan, schema)
 
 
 def remainder(docs: DataFrame, modulus: int):

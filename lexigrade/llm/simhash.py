@@ -186,13 +186,10 @@ def manhattan(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return odd + 2 * np.bitwise_count((differ >> np.uint64(1)) & ~differ & _LOWS)
 
 
-def near_duplicates(docs: DataFrame, bits: int = LINK_BITS) -> DataFrame:
-    """Every row of `docs` (doc_id, text and others) as its columns but text, fingerprint, component_id.
+def grouped(docs: DataFrame, bits: int = LINK_BITS) -> DataFrame:
+    """Every row of `docs` (doc_id, text and others) as its columns but text, fp, root, component_id.
 
-    component_id is the smallest doc_id reachable over links of at most `bits` differing bits,
-    null only where all those ids are null. Texts without a word have fingerprint zero and
-    link like any other. Rows with one fingerprint are summed before anything is compared. An
-    empty table gives no rows.
+    `root` is the smallest fingerprint of the row's component.
     """
     printed = cut(fingerprints(docs))
     distinct = cut(printed.groupBy("fp").agg(F.min("doc_id").alias("first")))
@@ -201,7 +198,27 @@ def near_duplicates(docs: DataFrame, bits: int = LINK_BITS) -> DataFrame:
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = rooted.join(smallest, "root").select("fp", "component_id")
-    return printed.join(by_print, "fp").select(
-        *[c for c in printed.columns if c != "fp"], F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    by_print = rooted.join(smallest, "root").select("fp", "root", "component_id")
+    return printed.join(by_print, "fp").select(*[c for c in printed.columns if c != "fp"], "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, bits: int = LINK_BITS) -> DataFrame:
+    """Every row of `docs` (doc_id, text) as doc_id, fingerprint, component_id; other columns are not read.
+
+    component_id is the smallest doc_id reachable over links of at most `bits` differing bits,
+    null only where all those ids are null. Texts without a word have fingerprint zero and
+    link like any other. Rows with one fingerprint are summed before anything is compared. An
+    empty table gives no rows.
+    """
+    found = grouped(docs.select(docs["doc_id"], docs["text"]), bits)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, row: str, bits: int = LINK_BITS) -> DataFrame:
+    """The value of the unique column `row` of the one row that stays of each component of `docs`.
+
+    It is the row with the smallest doc_id (null last), of several the one with the least `row`.
+    """
+    found = grouped(docs.select(docs[row].alias("row"), docs["doc_id"], docs["text"]), bits)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    return found.groupBy("root").agg(best.alias("best")).select(F.col("best.row").alias(row))
