@@ -57,7 +57,7 @@ def cuts(raw: np.ndarray, offsets: np.ndarray, cut_of_64: int = CUT_OF_64, longe
 
 
 def chunk_rows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-    """(row, start, length, words, digest, again) of each chunk; start is in bytes of its text."""
+    """(row, chunk, digest) of each chunk: `chunk` packs its place, see `unpack`."""
     raw, offsets = utf8(batch.column("text"))
     if not len(raw):
         return None
@@ -74,21 +74,19 @@ def chunk_rows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     order = np.lexsort((starts, digests, doc))
     again = np.zeros(len(ends), bool)
     again[order[1:]] = (doc[order[1:]] == doc[order[:-1]]) & (digests[order[1:]] == digests[order[:-1]])
+    place = (starts - offsets[doc]) << 28 | (ends - starts) << 14 | (total[ends] - total[starts]) << 1 | again
     return pa.RecordBatch.from_arrays(
-        [
-            batch.column("row").take(pa.array(doc)),
-            pa.array((starts - offsets[doc]).astype(np.int32)),
-            pa.array((ends - starts).astype(np.int32)),
-            pa.array((total[ends] - total[starts]).astype(np.int32)),
-            pa.array(digests.view(np.int64)),
-            pa.array(again),
-        ],
-        names=["row", "start", "length", "words", "digest", "again"],
+        [batch.column("row").take(pa.array(doc)), pa.array(place), pa.array(digests.view(np.int64))], names=["row", "chunk", "digest"]
     )
 
 
+def unpack(chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start and length in bytes of the text, words, and whether the chunk stands elsewhere earlier."""
+    return chunk >> 28, chunk >> 14 & 0x3FFF, chunk >> 1 & 0x1FFF, (chunk & 1).astype(bool)
+
+
 def chunks(docs: DataFrame) -> DataFrame:
-    """Chunks of `docs` (row, text), each with whether its text holds it earlier."""
+    """Chunks of `docs` (row, text); the last bit of `chunk` says that its text holds it earlier."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text", 1 << 20):
@@ -96,28 +94,26 @@ def chunks(docs: DataFrame) -> DataFrame:
             if found is not None:
                 yield found
 
-    return docs.mapInArrow(scan, "row long, start int, length int, words int, digest long, again boolean")
+    return docs.mapInArrow(scan, "row long, chunk long, digest long")
 
 
-def passages(found: list[dict], min_words: int) -> tuple[bool, list[tuple[int, int]]]:
+def passages(chunk: np.ndarray, min_words: int) -> tuple[bool, list[tuple[int, int]]]:
     """Whether a text's recurring chunks hold a passage, and the byte spans that stand elsewhere first.
 
     Both are runs of adjoining chunks with `min_words` words; the second kind of chunks that come earlier.
     """
-    found = sorted(found, key=lambda c: c["start"])
+    start, length, words, earlier = unpack(np.sort(chunk))
 
-    def runs(chunks: list[dict]) -> list[tuple[int, int]]:
-        out, words = [], []
-        for c in chunks:
-            if out and out[-1][1] == c["start"]:
-                out[-1] = (out[-1][0], c["start"] + c["length"])
-                words[-1] += c["words"]
-            else:
-                out.append((c["start"], c["start"] + c["length"]))
-                words.append(c["words"])
-        return [span for span, n in zip(out, words) if n >= min_words]
+    def runs(which: np.ndarray) -> list[tuple[int, int]]:
+        a, n, w = start[which], length[which], words[which]
+        if not len(a):
+            return []
+        first = np.flatnonzero(np.append(True, a[1:] != a[:-1] + n[:-1]))
+        last = np.append(first[1:], len(a)) - 1
+        long = np.add.reduceat(w, first) >= min_words
+        return list(zip(a[first][long].tolist(), (a + n)[last][long].tolist()))
 
-    return bool(runs(found)), runs([c for c in found if not c["first"]])
+    return bool(runs(np.ones(len(start), bool))), runs(earlier)
 
 
 def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -130,8 +126,8 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     order, so `docs` must be a plan that returns the same rows in the same order when read
     again (a table or a written copy). Other columns are not read.
 
-    Two narrow shuffles carry chunk digests (about 20 bytes for 30 of text, less when packed)
-    and one the texts. A digest that recurs in any number of rows is summed before it moves
+    Two narrow shuffles carry chunk digests (24 bytes for about 30 of text, before they are
+    compressed) and one the texts. A digest that recurs in any number of rows is summed before it moves
     and joined back by a join that Spark can split.
     """
     rows = docs.select(
@@ -140,18 +136,16 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = cut(chunks(rows.select("row", "text")))
     counted = found.groupBy("digest").agg(F.min("row").alias("owner"), F.count("*").alias("n"))
     recurring = cut(counted.where("n > 1").select("digest", "owner"))
-    marked = found.join(recurring, "digest").select(
-        "row",
-        F.struct("start", "length", "words", ((F.col("row") == F.col("owner")) & ~F.col("again")).alias("first")).alias("chunk"),
-    )
+    earlier = (F.col("row") != F.col("owner")).cast("long")
+    marked = found.join(recurring, "digest").select("row", F.col("chunk").bitwiseOR(earlier).alias("chunk"))
     by_row = marked.groupBy("row").agg(F.collect_list("chunk").alias("found"))
     joined = rows.join(by_row, "row", "left").select("doc_id", "text", "found")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text"):
             texts, flags, gone, where = [], [], [], []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist()):
-                repeated, spans = passages(found, min_words) if found else (False, [])
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("found")):
+                repeated, spans = passages(found.values.to_numpy(), min_words) if found.is_valid else (False, [])
                 if spans:
                     data, at, left = text.encode(), 0, []
                     for start, end in spans:

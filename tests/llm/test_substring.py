@@ -100,7 +100,10 @@ def test_odd_rows(spark):
 
 def test_chunks_cover_texts():
     batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9]), pa.array(["ab cd " * 40, None, " é"])], names=["row", "text"])
-    got = substring.chunk_rows(batch).to_pylist()
-    assert sum(c["length"] for c in got if c["row"] == 7) == 240
-    assert sum(c["words"] for c in got if c["row"] == 7) == 80
-    assert [c for c in got if c["row"] == 9][0]["words"] == 1
+    got = substring.chunk_rows(batch).to_pandas()
+    start, length, words, again = substring.unpack(got["chunk"].to_numpy())
+    mine = (got["row"] == 7).to_numpy()
+    assert length[mine].sum() == 240 and words[mine].sum() == 80 and start[mine][0] == 0
+    assert (start[mine][1:] == np.cumsum(length[mine])[:-1]).all()
+    assert words[(got["row"] == 9).to_numpy()].tolist() == [1]
+    assert again[mine].any() == bool(got["digest"][mine].duplicated().any())
