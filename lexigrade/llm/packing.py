@@ -51,6 +51,7 @@ def cut_documents(docs: DataFrame, files: tuple[str, ...], window: int) -> DataF
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = encoder(*files), np.array([END])
+        mixed = mix64(np.arange(coder.tokenizer.get_vocab_size(), dtype=np.uint64))
         number = TaskContext.get().partitionId() << 40
         for batch in bounded(batches, "text"):
             rows = []
@@ -64,7 +65,7 @@ def cut_documents(docs: DataFrame, files: tuple[str, ...], window: int) -> DataF
                     if len(piece) == window:
                         rows.append((doc, start, window, crc(piece), total, number << 1, 0, number, None, None))
                     else:
-                        term = int(piece[np.argmin(mix64(piece.astype(np.uint64)))])
+                        term = int(piece[np.argmin(mixed[piece])])
                         rows.append((doc, start, len(piece), None, total, None, None, number, term, piece.tobytes()))
             kinds = [pa.int64()] * 9 + [pa.binary()]
             yield pa.RecordBatch.from_arrays(

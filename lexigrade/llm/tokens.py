@@ -18,6 +18,7 @@ import numpy as np
 REMEMBERED = 700_000
 
 _BREAK = re.compile(r"(?<=\S)(?= )")
+_WIDE = re.compile(r"\s ")
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
@@ -41,14 +42,23 @@ class Encoder:
             with open(ranks, "rb") as lines:
                 merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
             self.plain = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
+            self.sizes = np.zeros(max(merges.values()) + 1, np.int64)
+            for token, rank in merges.items():
+                self.sizes[rank] = len(token)
 
     def _pack(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as bytes."""
+        """Ids of each piece, as bytes; pieces but the first begin with a space, and none ends with one."""
         code = self.code
-        if self.plain:
-            encode = self.plain.encode_ordinary
-            return [array(code, encode(t)).tobytes() for t in texts]
-        return [array(code, ids).tobytes() for ids in map(self._whole, texts)]
+        if self.plain and len(texts) > 1:
+            # All at once, as no token crosses from a piece into the next; then cut by bytes.
+            ids = array(code, self.plain.encode_ordinary("".join(texts)))
+            data, width = ids.tobytes(), ids.itemsize
+            reached = np.cumsum(self.sizes[np.frombuffer(data, self.kind)])
+            wanted = np.cumsum(np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts)))
+            ends = [0, *(width * np.searchsorted(reached, wanted, "right")).tolist()]
+            return [data[a:b] for a, b in zip(ends, ends[1:])]
+        encode = self.plain.encode_ordinary if self.plain else self._whole
+        return [array(code, encode(t)).tobytes() for t in texts]
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -59,13 +69,13 @@ class Encoder:
         get = self.known.get
         found = list(map(get, rest))
         if None in found or (rest and first[-1:].isspace()) or (rest and not first):
-            new = sorted({p for p, ids in zip(rest, found) if ids is None})
+            new = list(dict.fromkeys(p for p, ids in zip(rest, found) if ids is None))
             # Space before a space belongs to it: such a text is cut elsewhere.
-            if not first or first[-1:].isspace() or any(not p or p[-1].isspace() for p in new):
+            if not first or first[-1:].isspace() or _WIDE.search(" ".join(["x", *new, ""])):
                 return self._pack(_BREAK.split(text))
             if len(self.known) + len(new) > REMEMBERED:
                 self.known.clear()
-                new = sorted(set(rest))
+                new = list(dict.fromkeys(rest))
             self.known.update(zip(new, self._pack([" " + p for p in new])))
             found = list(map(get, rest))
         return [*self._pack([first]), *found]
