@@ -16,7 +16,7 @@ def _words(spark, sf_dir, split=t.words):
     )
 
 
-def _encoded(spark, sf_dir, split=t.words, max_pieces=align.MAX_PIECES):
+def _encoded(spark, sf_dir, split=t.words, max_pieces=None):
     return fx.encoder(spark, sf_dir, max_pieces)(_words(spark, sf_dir, split))
 
 
@@ -28,10 +28,16 @@ def phrased(spark, sf_dir):
     return align.with_phrases(linked(spark, sf_dir))
 
 
-def gold_links(linked_df):
-    """Links near the diagonal."""
-    near = F.abs(F.col("kaz_index") - F.col("rus_index")) <= 3
-    return align.link_rows(linked_df).where(near).select("pair_id", "kaz_index", "rus_index")
+def gold_links(words_df):
+    """Links by position alone: every Kazakh word with the Russian word at its place and the next.
+
+    Independent of the predicted links, so many of them were not predicted.
+    """
+    first = F.least(F.size("kaz_words"), F.size("rus_words"))
+    kaz = F.filter(F.sequence(F.lit(0), first), lambda i: i < first)
+    rows = words_df.select("pair_id", "rus_words", F.explode(kaz).alias("kaz_index"))
+    rus = F.filter(F.array(F.col("kaz_index"), F.col("kaz_index") + 1), lambda j: j < F.size("rus_words"))
+    return rows.select("pair_id", "kaz_index", F.explode(rus).alias("rus_index"))
 
 
 @register(
@@ -137,8 +143,10 @@ def _phrase_columns(rows):
 )
 def phrase_merge(spark, sf_dir):
     """Phrases with their place in the list, which is by Russian word and span start."""
-    rows = phrased(spark, sf_dir).select("pair_id", F.posexplode("phrases").alias("position", "p"))
-    return rows.select(
+    rows = phrased(spark, sf_dir).select(
+        "pair_id", F.posexplode_outer("phrases").alias("position", "p")
+    )
+    return rows.where(F.col("p").isNotNull()).select(
         "pair_id",
         "position",
         "p.russian_index",
@@ -166,39 +174,46 @@ def link_probability(spark, sf_dir):
     return _phrase_columns(align.phrase_rows(phrased(spark, sf_dir)))
 
 
-def _share_sql(condition: str, needs: str) -> str:
+def _share_sql(needs: str = "", gold: str = "", found: str = "") -> str:
     return q.query(
         f"pairs links {needs}",
         f"""SELECT p.pair_id, coalesce(n, 0) AS links,
           round({q.ratio('hit', 'n')}, 6) AS share
-        FROM pairs p LEFT JOIN (SELECT pair_id, count(*) AS n,
-            count(*) FILTER ({q.cyrillic('kz_token')} AND {q.cyrillic('ru_token')}{condition}) AS hit
-          FROM links GROUP BY pair_id) l ON l.pair_id = p.pair_id""",
+        FROM pairs p LEFT JOIN (SELECT links.pair_id, count(*) AS n,
+            count(*) FILTER ({q.cyrillic('links.kz_token')} AND {q.cyrillic('links.ru_token')}{found}) AS hit
+          FROM links {gold} GROUP BY links.pair_id) l ON l.pair_id = p.pair_id""",
     )
 
 
-@register("informative_share", _share_sql("", ""))
+@register("informative_share", _share_sql())
 def informative_share(spark, sf_dir):
     shares = align.informative_link_share(linked(spark, sf_dir))
     return shares.select("pair_id", "links", r6("share").alias("share"))
 
 
-@register("informative_share_gold", _share_sql(" AND abs(kz - ru) <= 3", ""))
+GOLD_JOIN = "JOIN gold ON gold.pair_id = links.pair_id AND gold.kz = links.kz AND gold.ru = links.ru"
+
+
+@register(
+    "informative_share_gold",
+    _share_sql("gold", f"LEFT {GOLD_JOIN}", " AND gold.pair_id IS NOT NULL"),
+)
 def informative_share_gold(spark, sf_dir):
-    links = linked(spark, sf_dir)
-    shares = align.informative_link_share(links, gold_links(links))
+    gold = gold_links(_words(spark, sf_dir))
+    shares = align.informative_link_share(linked(spark, sf_dir), gold)
     return shares.select("pair_id", "links", r6("share").alias("share"))
 
 
 @register(
     "gold_links_found",
     q.query(
-        "gold", "SELECT pair_id, kz AS kaz_index, ru AS rus_index, round(joint, 6) AS joint_prob FROM gold"
+        "gold links",
+        f"""SELECT links.pair_id, links.kz AS kaz_index, links.ru AS rus_index,
+          round(links.joint, 6) AS joint_prob FROM links {GOLD_JOIN}""",
     ),
 )
 def gold_links_found(spark, sf_dir):
-    links = linked(spark, sf_dir)
-    found = align.gold_links_found(links, gold_links(links))
+    found = align.gold_links_found(linked(spark, sf_dir), gold_links(_words(spark, sf_dir)))
     return found.select("pair_id", "kaz_index", "rus_index", r6("joint_prob").alias("joint_prob"))
 
 
@@ -212,7 +227,7 @@ def gold_links_found(spark, sf_dir):
 def link_dedupe(spark, sf_dir):
     """Phrases from an outside list of links in which every link occurs twice."""
     words = _words(spark, sf_dir)
-    gold = gold_links(linked(spark, sf_dir))
+    gold = gold_links(words)
     twice = gold.unionByName(gold)
     rows = align.phrase_rows(align.phrases_from_links(twice, words))
     return _phrase_columns(rows).select("pair_id", "russian_index", "kazakh_span", "kazakh_phrase")

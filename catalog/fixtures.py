@@ -46,6 +46,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", transliterate(F.col("text")).alias("text"))
 
 
+def turn_id() -> Column:
+    """One number per (conversation, turn), whatever the number of turns."""
+    return F.col("conv_id") * F.lit(1 << 32) + F.col("turn")
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pair_id, role, kaz, rus): each dialogue turn with its answer.
 
@@ -59,7 +64,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("rus")
     )
     return turns.join(answers, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"),
+        turn_id().alias("pair_id"),
         "role",
         F.col("text").alias("kaz"),
         "rus",
@@ -113,8 +118,8 @@ def lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct().select("token", F.substring("token", 1, 5).alias("lemma"))
 
 
-def piece_rows(words_df: DataFrame, max_pieces: int = align.MAX_PIECES) -> DataFrame:
-    """(pair_id, side, word_idx, piece_idx, piece): at most `max_pieces` per sequence."""
+def piece_rows(words_df: DataFrame, max_pieces: int | None = None) -> DataFrame:
+    """(pair_id, side, word_idx, piece_idx, piece); `max_pieces` plays an encoder with a limit."""
 
     def pieces(side: str) -> Column:
         cut = F.transform(
@@ -129,7 +134,8 @@ def piece_rows(words_df: DataFrame, max_pieces: int = align.MAX_PIECES) -> DataF
                 ),
             ),
         )
-        return F.slice(F.flatten(cut), 1, max_pieces)
+        flat = F.flatten(cut)
+        return flat if max_pieces is None else F.slice(flat, 1, max_pieces)
 
     return words_df.select(
         "pair_id", F.explode(F.concat(pieces("kaz"), pieces("rus"))).alias("p")
@@ -137,7 +143,7 @@ def piece_rows(words_df: DataFrame, max_pieces: int = align.MAX_PIECES) -> DataF
 
 
 def piece_vectors(
-    spark: SparkSession, sf_dir: str, words_df: DataFrame, max_pieces: int = align.MAX_PIECES
+    spark: SparkSession, sf_dir: str, words_df: DataFrame, max_pieces: int | None = None
 ) -> DataFrame:
     """(pair_id, side, word_idx, piece_idx, vec) from the embeddings table."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -157,7 +163,7 @@ def piece_vectors(
     return found.select("pair_id", "side", "word_idx", "piece_idx", "vec")
 
 
-def encoder(spark: SparkSession, sf_dir: str, max_pieces: int = align.MAX_PIECES):
+def encoder(spark: SparkSession, sf_dir: str, max_pieces: int | None = None):
     """The plug a real encoder would fill: adds piece vectors to rows with words."""
 
     def encode(words_df: DataFrame) -> DataFrame:
@@ -187,20 +193,23 @@ def sentence_probs(texts: DataFrame) -> DataFrame:
 
 
 def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src_text, tgt_text): one row per distinct source that is longer than 200
-    characters, with the answer of the smallest pair_id."""
+    """(src_text, tgt_text): one row per distinct source, with the answer of the smallest pair_id."""
     return (
         pairs(spark, sf_dir)
-        .where(F.length("kaz") > 200)
         .groupBy(F.col("kaz").alias("src_text"))
         .agg(F.min_by("rus", "pair_id").alias("tgt_text"))
     )
 
 
 def untranslated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs in which only the user's turns bring a translation of their own."""
+    """Pairs in which only the user's turns bring a translation of their own; of the others
+    those with an odd conversation carry a mark that no translation table knows."""
+    own = F.col("role") == "user"
+    odd = F.shiftright("pair_id", 32) % 2 == 1
     return pairs(spark, sf_dir).select(
-        "pair_id", "kaz", F.when(F.col("role") == "user", F.col("rus")).alias("rus")
+        "pair_id",
+        F.when(~own & odd, F.concat("kaz", F.lit(" *"))).otherwise(F.col("kaz")).alias("kaz"),
+        F.when(own, F.col("rus")).alias("rus"),
     )
 
 
@@ -209,21 +218,24 @@ def length_level(chars: Column) -> Column:
     return level_at(F.least(F.greatest(bit_length(chars), F.lit(8)), F.lit(13)) - 8)
 
 
-def text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text_en, text_ru, label); the shortest documents have no label."""
+def text_corpus(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFrame:
+    """(doc_id, text_en, text_ru, label); with `gaps` every fiftieth document has no label."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     return spread_small(docs, "doc_id").select(
         "doc_id",
         F.col("text").alias("text_en"),
         transliterate(F.col("text")).alias("text_ru"),
-        F.when(F.col("n_chars") > 31, length_level(F.col("n_chars"))).alias("label"),
+        F.when(
+            F.lit(not gaps) | (F.col("doc_id") % 50 != 0), length_level(F.col("n_chars"))
+        ).alias("label"),
     )
 
 
-def tabular_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tabular_raw(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFrame:
     """(pair_id, kaz, rus, seven numbers, predicted_cefr, predicted_cefr_int).
 
-    One-sentence answers have no mean sentence length, very short ones no level.
+    One-sentence answers have no mean sentence length; with `gaps` every fiftieth
+    conversation has no level.
     """
     texts = pairs(spark, sf_dir).select("pair_id", "kaz", "rus")
     featured = with_text_features(texts, "rus")
@@ -231,7 +243,9 @@ def tabular_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     words_len = F.aggregate(
         F.transform(t.words(F.col("rus")), F.length), F.lit(0), lambda a, x: a + x
     )
-    level = F.when(chars > 63, length_level(chars))
+    level = F.when(
+        F.lit(not gaps) | (F.shiftright("pair_id", 32) % 50 != 0), length_level(chars)
+    )
     numeric = {name: F.col(src).cast("double") for name, src in TABULAR_SOURCES.items()}
     numeric["avg_sent_len_mean"] = F.when(
         F.col("sentence_count") > 1, numeric["avg_sent_len_mean"]

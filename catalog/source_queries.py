@@ -47,7 +47,7 @@ def first_pairs(spark, sf_dir):
     "ingest_bitext",
     f"""SELECT pair_id, md5({q.strip("replace(kk, chr(10), ' ')")}) AS kaz,
       md5({q.strip("replace(ru, chr(10), ' ')")}) AS rus
-    FROM (SELECT conv_id * 1000 + turn AS pair_id, chr(10) || text AS kk,
+    FROM (SELECT conv_id * 4294967296 + turn AS pair_id, chr(10) || text AS kk,
             CASE role WHEN 'user' THEN text WHEN 'assistant' THEN ' ' ELSE '' END AS ru
           FROM conversations)
     WHERE length(kk) > 0 AND length(ru) > 0""",
@@ -55,7 +55,7 @@ def first_pairs(spark, sf_dir):
 def ingest_bitext(spark, sf_dir):
     role = F.col("role")
     raw = fx.table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"),
+        fx.turn_id().alias("pair_id"),
         F.concat(F.lit("\n"), "text").alias("kk"),
         F.when(role == "user", F.col("text"))
         .when(role == "assistant", F.lit(" "))
@@ -113,13 +113,13 @@ def lemma_lookup(spark, sf_dir):
 @register(
     "text_corpus",
     q.query(
-        "text_corpus",
+        "text_corpus_gaps",
         """SELECT doc_id, label, md5(text_en) AS text_en, md5(text_ru) AS text_ru
-        FROM text_corpus""",
+        FROM text_corpus_gaps""",
     ),
 )
 def text_corpus(spark, sf_dir):
-    return corpora.text_corpus(fx.text_corpus(spark, sf_dir)).select(
+    return corpora.text_corpus(fx.text_corpus(spark, sf_dir, gaps=True)).select(
         "doc_id", "label", _digest("text_en"), _digest("text_ru")
     )
 
@@ -139,14 +139,14 @@ def language_columns(spark, sf_dir):
 @register(
     "tabular_corpus",
     q.query(
-        "tabular",
+        "tabular_gaps",
         "SELECT pair_id, md5(kaz) AS kaz, md5(rus) AS rus, predicted_cefr, "
         + ", ".join(f"round({n}, 6) AS {n}" for n in corpora.TABULAR_NUMERIC)
-        + " FROM tabular",
+        + " FROM tabular_gaps",
     ),
 )
 def tabular_corpus(spark, sf_dir):
-    corpus = corpora.tabular_corpus(fx.tabular_raw(spark, sf_dir))
+    corpus = corpora.tabular_corpus(fx.tabular_raw(spark, sf_dir, gaps=True))
     numeric = [r6(n).alias(n) for n in corpora.TABULAR_NUMERIC]
     return corpus.select("pair_id", "predicted_cefr", _digest("kaz"), _digest("rus"), *numeric)
 
@@ -157,8 +157,8 @@ def tabular_corpus(spark, sf_dir):
         "pairs",
         """SELECT p.pair_id, coalesce(p.role, '') <> 'user' AS translation_used,
           md5(CASE WHEN p.role = 'user' THEN p.rus ELSE coalesce(d.tgt, '') END) AS rus
-        FROM pairs p LEFT JOIN (SELECT kaz, arg_min(rus, pair_id) AS tgt FROM pairs
-                                WHERE length(kaz) > 200 GROUP BY kaz) d ON d.kaz = p.kaz""",
+        FROM pairs p LEFT JOIN (SELECT kaz, arg_min(rus, pair_id) AS tgt FROM pairs GROUP BY kaz) d
+          ON d.kaz = p.kaz AND (p.pair_id >> 32) % 2 = 0""",
     ),
 )
 def translation_override(spark, sf_dir):

@@ -116,7 +116,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "pairs": (
         ("turns",),
-        """SELECT a.conv_id * 1000 + a.turn AS pair_id, a.role, a.text AS kaz, b.text AS rus
+        """SELECT a.conv_id * 4294967296 + a.turn AS pair_id, a.role, a.text AS kaz, b.text AS rus
         FROM turns a JOIN turns b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""",
     ),
     "lexicon_raw": (
@@ -161,7 +161,11 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     "text_corpus_raw": (
         (),
         f"""SELECT doc_id, text AS text_en, {transliterate('text')} AS text_ru,
-          CASE WHEN n_chars > 31 THEN {length_level('n_chars')} END AS label FROM documents""",
+          {length_level('n_chars')} AS label FROM documents""",
+    ),
+    "text_corpus_gaps": (
+        ("text_corpus",),
+        "SELECT * FROM text_corpus WHERE doc_id % 50 <> 0",
     ),
     "text_corpus": (
         ("text_corpus_raw",),
@@ -178,9 +182,13 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
           {ratio(f"list_sum(list_transform({words('rus')}, lambda x: length(x)))",
                  "token_count")} AS avg_word_len_mean,
           (token_count - len({words('kaz')}))::DOUBLE AS align_diff,
-          CASE WHEN length(rus) > 63 THEN {length_level('length(rus)')} END AS predicted_cefr
+          {length_level('length(rus)')} AS predicted_cefr
         FROM rus_features""",
     ),
+    "tabular_gaps": (
+        ("tabular",),
+        "SELECT * FROM tabular WHERE (pair_id >> 32) % 50 <> 0",
+    ),
     "tabular": (
         ("tabular_raw",),
         "SELECT * FROM tabular_raw WHERE predicted_cefr IS NOT NULL",
@@ -213,9 +221,10 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
-def _alignment_tables(suffix: str, lists: str, max_pieces: int) -> None:
+def _alignment_tables(suffix: str, lists: str, max_pieces: int | None = None) -> None:
     """Alignment from word lists to phrases; the suffix tells variants apart."""
     s = suffix
+    limit = "" if max_pieces is None else f" WHERE n <= {max_pieces}"
     TABLES[f"pieces{s}"] = (
         (lists,),
         f"""SELECT pair_id, side, word_idx, piece_idx, piece FROM (
@@ -225,7 +234,7 @@ def _alignment_tables(suffix: str, lists: str, max_pieces: int) -> None:
                   unnest(p) AS piece
                 FROM (SELECT pair_id, side, word_idx, regexp_extract_all(token, '.{{1,4}}') AS p
                       FROM (SELECT pair_id, side, unnest(range(len(w))) AS word_idx,
-                              unnest(w) AS token FROM {lists})))) WHERE n <= {max_pieces}""",
+                              unnest(w) AS token FROM {lists})))){limit}""",
     )
     TABLES[f"lengths{s}"] = (
         (lists, f"pieces{s}"),
@@ -282,17 +291,21 @@ def _islands(links: str) -> tuple[tuple[str, ...], str]:
     )
 
 
-_alignment_tables("", "word_lists", 510)
+_alignment_tables("", "word_lists")
 _alignment_tables("_short", "word_lists", 256)
 TABLES["blank_lists"] = (
     ("pairs",),
     f"""SELECT pair_id, 'kaz' AS side, {find_all('kaz', NON_BLANK)} AS w FROM pairs
     UNION ALL SELECT pair_id, 'rus', {find_all('rus', NON_BLANK)} FROM pairs""",
 )
-_alignment_tables("_blank", "blank_lists", 510)
+_alignment_tables("_blank", "blank_lists")
 TABLES["gold"] = (
-    ("links",),
-    "SELECT pair_id, kz, ru, kz_token, ru_token, joint FROM links WHERE abs(kz - ru) <= 3",
+    ("word_lists",),
+    """SELECT pair_id, kz, ru, kaz[kz + 1] AS kz_token, rus[ru + 1] AS ru_token, NULL::DOUBLE AS joint
+    FROM (SELECT *, unnest(range(kz, least(kz + 2, len(rus)))) AS ru
+          FROM (SELECT k.pair_id, k.w AS kaz, r.w AS rus, unnest(range(len(k.w))) AS kz
+                FROM word_lists k JOIN word_lists r
+                  ON k.pair_id = r.pair_id AND k.side = 'kaz' AND r.side = 'rus'))""",
 )
 TABLES["gold_phrases"] = _islands("gold")
 TABLES["graded"] = (

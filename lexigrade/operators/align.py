@@ -1,10 +1,11 @@
 """Word alignment of sentence pairs.
 
-One row per sentence pair is the unit of work: its pieces are bounded by the encoder's
-input limit, so the word-by-word similarity matrix is a small dense product done inside
-the row. Only links leave it. A link needs both probabilities above the threshold and
-each word's probabilities sum to one, so a word has fewer than 1/threshold links and the
-output grows linearly with the text.
+One row per sentence pair is the unit of work: the word-by-word similarities are computed
+inside the row, in blocks of Russian words, so a text of any length needs a bounded matrix.
+Only links leave the row. A link needs both probabilities above the threshold and each
+word's probabilities sum to one, so a word has fewer than 1/threshold links and the output
+grows linearly with the text. No length is cut here; an encoder with a limit of its own
+drops the pieces beyond it, which `with_length_flag` shows.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from lexigrade.functions import text as t
 
 LINK_THRESHOLD = 0.05
-MAX_PIECES = 510  # a 512-piece encoder input less its two special tokens
+BLOCK_CELLS = 1 << 20  # similarities held at once
 
 PIECES = "array<struct<word_idx:int,piece_idx:int,vec:array<float>>>"
 WORD_PAIRS = (
@@ -44,7 +44,9 @@ def with_words(pairs: DataFrame, split: Callable[[Column], Column] = t.words) ->
 def attach_piece_vectors(pairs: DataFrame, piece_vectors: DataFrame) -> DataFrame:
     """Fold a long table (pair_id, side, word_idx, piece_idx, vec) into `pairs`.
 
-    `side` is 'kaz' or 'rus'. The encoder limit bounds each group. For vectors that are
+    `side` is 'kaz' or 'rus'; a group holds the pieces of one text. A stored table is
+    shuffled by `pair_id` with its vectors, unless it is bucketed by it or already folded,
+    as (pair_id, kaz_pieces, rus_pieces); see `attach_folded_pieces`. For vectors that are
     computed rather than stored use `encode_with`, which does not shuffle at all.
     """
     piece = F.struct("word_idx", "piece_idx", "vec")
@@ -55,6 +57,11 @@ def attach_piece_vectors(pairs: DataFrame, piece_vectors: DataFrame) -> DataFram
     folded = piece_vectors.groupBy("pair_id").agg(
         side("kaz").alias("kaz_pieces"), side("rus").alias("rus_pieces")
     )
+    return attach_folded_pieces(pairs, folded)
+
+
+def attach_folded_pieces(pairs: DataFrame, folded: DataFrame) -> DataFrame:
+    """Join (pair_id, kaz_pieces, rus_pieces); a pair without pieces gets empty lists."""
     empty = F.from_json(F.lit("[]"), PIECES)
     return pairs.join(folded, "pair_id", "left").select(
         *pairs.columns,
@@ -65,36 +72,53 @@ def attach_piece_vectors(pairs: DataFrame, piece_vectors: DataFrame) -> DataFram
 
 def encode_with(
     pairs: DataFrame,
-    load: Callable[[], Callable[[list[list[str]]], list[list[tuple[int, list[float]]]]]],
+    load: Callable[[], Callable[[pa.Array], tuple[pa.Array, pa.Array, pa.Array]]],
 ) -> DataFrame:
     """Add piece vectors with a model, batch by batch and without a shuffle.
 
-    `load` is called once per task and returns the encoder: for each word list it gives
-    the (word index, vector) of every piece the model kept, in reading order.
+    `load` is called once per task and returns the encoder. It gets the word lists of a
+    batch as an Arrow list array and returns three: for each row how many pieces the model
+    kept, and for all pieces in reading order the word index (ascending within a row) and
+    the vector, a list array of floats. A model's length limit is its own affair.
     """
+    pieces = T.ArrayType.fromDDL(PIECES)
     schema = T.StructType(
         [
             *pairs.schema.fields,
-            T.StructField("kaz_pieces", T._parse_datatype_string(PIECES)),
-            T.StructField("rus_pieces", T._parse_datatype_string(PIECES)),
+            T.StructField("kaz_pieces", pieces),
+            T.StructField("rus_pieces", pieces),
         ]
     )
+    names = schema.names
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = load()
         for batch in batches:
+            added = []
             for side in ("kaz", "rus"):
-                encoded = encode([list(words) for words in batch[f"{side}_words"]])
-                batch[f"{side}_pieces"] = [
-                    [
-                        {"word_idx": word, "piece_idx": n, "vec": vec}
-                        for n, (word, vec) in enumerate(pieces)
-                    ]
-                    for pieces in encoded
-                ]
-            yield batch
-
-    return pairs.mapInPandas(run, schema)
+                counts, words, vectors = encode(batch.column(f"{side}_words"))
+                ends = np.concatenate([[0], np.cumsum(counts.to_numpy(zero_copy_only=False))])
+                index = words.to_numpy(zero_copy_only=False)
+                firsts = np.isin(np.arange(1, len(index)), ends)
+                if np.any((np.diff(index) < 0) & ~firsts):
+                    raise ValueError("word indices must ascend within a text")
+                place = np.arange(len(index)) - np.repeat(ends[:-1], np.diff(ends))
+                added.append(
+                    pa.ListArray.from_arrays(
+                        pa.array(ends, pa.int32()),
+                        pa.StructArray.from_arrays(
+                            [
+                                pa.array(index, pa.int32()),
+                                pa.array(place, pa.int32()),
+                                vectors.cast(pa.list_(pa.float32())),
+                            ],
+                            names=["word_idx", "piece_idx", "vec"],
+                        ),
+                    )
+                )
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=names)
+
+    return pairs.mapInArrow(run, schema)
 
 
 def pool_words(piece_vectors: DataFrame) -> DataFrame:
@@ -117,68 +141,88 @@ def pool_words(piece_vectors: DataFrame) -> DataFrame:
 # --- similarities, probabilities, links ----------------------------------------------
 
 
-def _pooled(word_idx: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keep, first = np.unique(word_idx, return_index=True)
-    counts = np.diff(np.append(first, len(word_idx)))
+def word_vectors(words: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words that have pieces, and the mean vector of each."""
+    keep, first = np.unique(words, return_index=True)
+    counts = np.diff(np.append(first, len(words)))
     return keep, np.add.reduceat(vectors, first, axis=0) / counts[:, None]
 
 
-def _softmax(scores: np.ndarray, axis: int) -> np.ndarray:
-    powers = np.exp(scores - scores.max(axis=axis, keepdims=True))
-    return powers / powers.sum(axis=axis, keepdims=True)
-
-
-def _unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """List column of pieces → row offsets, word indices, [pieces x dim] matrix."""
-    offsets = column.offsets.to_numpy()
-    pieces = column.values
-    words = pieces.field("word_idx").to_numpy(zero_copy_only=False)
-    vectors = pieces.field("vec")
-    flat = vectors.values.to_numpy(zero_copy_only=False).astype(np.float64)
-    return offsets, words, flat.reshape(len(words), -1) if len(words) else flat.reshape(0, 0)
-
+def pair_blocks(
+    kaz: np.ndarray, rus: np.ndarray, threshold: float, links_only: bool, cells: int | None = None
+) -> Iterator[tuple[np.ndarray, ...]]:
+    """Blocks (kaz position, rus position, p_ru_given_kz, p_kz_given_ru, is_link), by Russian word.
 
-def word_pair_probabilities(threshold: float, links_only: bool):
-    """Arrow function (kaz_pieces, rus_pieces) → word pairs ordered by (ru_idx, kz_idx).
-
-    Word vectors are piece means; similarity is the raw dot product; the two
-    probabilities are softmaxes over the Russian and over the Kazakh words.
+    Similarity is the raw dot product of word vectors; the two probabilities are softmaxes
+    over the Russian and over the Kazakh words. A first pass over the blocks keeps maximum
+    and sum per Kazakh word, the second gives the pairs; one block serves both.
     """
+    step = max(1, (cells or BLOCK_CELLS) // len(kaz))
+    blocks = range(0, len(rus), step)
+    highest, total, scores = np.full(len(kaz), -np.inf), np.zeros(len(kaz)), None
+    for at in blocks:
+        scores = rus[at : at + step] @ kaz.T
+        peak = np.maximum(highest, scores.max(axis=0))
+        total = total * np.exp(highest - peak) + np.exp(scores - peak).sum(axis=0)
+        highest = peak
+    for at in blocks:
+        if len(blocks) > 1:
+            scores = rus[at : at + step] @ kaz.T
+        p_ru = np.exp(scores - highest) / total
+        p_kz = np.exp(scores - scores.max(axis=1, keepdims=True))
+        p_kz /= p_kz.sum(axis=1, keepdims=True)
+        link = (p_ru > threshold) & (p_kz > threshold)
+        r, k = np.nonzero(link if links_only else np.ones_like(link))
+        yield k, r + at, p_ru[r, k], p_kz[r, k], link[r, k]
+
+
+class _Side:
+    """One side's list column of pieces."""
+
+    def __init__(self, column: pa.Array) -> None:
+        self.offsets = column.offsets.to_numpy()
+        pieces = column.values
+        self.words = pieces.field("word_idx").to_numpy(zero_copy_only=False)
+        vectors = pieces.field("vec")
+        self.starts = vectors.offsets.to_numpy()
+        self.flat = vectors.values.to_numpy(zero_copy_only=False)
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray] | None:
+        a, b = self.offsets[i], self.offsets[i + 1]
+        if a == b:
+            return None
+        flat = self.flat[self.starts[a] : self.starts[b]].astype(np.float64)
+        return word_vectors(self.words[a:b], flat.reshape(b - a, -1))
+
+
+def row_blocks(
+    kaz: _Side, rus: _Side, row: int, threshold: float, links_only: bool
+) -> Iterator[tuple[np.ndarray, ...]]:
+    """`pair_blocks` of one row, with word indices; nothing where a side has no vectors."""
+    k, r = kaz.row(row), rus.row(row)
+    if k is None or r is None:
+        return
+    for kz, ru, *rest in pair_blocks(k[1], r[1], threshold, links_only):
+        yield k[0][kz], r[0][ru], *rest
+
+
+def word_pair_probabilities(threshold: float):
+    """Arrow function (kaz_pieces, rus_pieces) → links ordered by (ru_idx, kz_idx)."""
 
     @F.arrow_udf(WORD_PAIRS)
     def run(kaz: pa.Array, rus: pa.Array) -> pa.Array:
-        k_off, k_word, k_vec = _unpack(kaz)
-        r_off, r_word, r_vec = _unpack(rus)
-        columns: list[list[np.ndarray]] = [[], [], [], [], []]
+        k_side, r_side = _Side(kaz), _Side(rus)
+        found: list[tuple[np.ndarray, ...]] = []
         lengths = [0]
         for row in range(len(kaz)):
-            ks, ke, rs, re = k_off[row], k_off[row + 1], r_off[row], r_off[row + 1]
-            if ks == ke or rs == re:
-                lengths.append(0)
-                continue
-            k_keep, k_rep = _pooled(k_word[ks:ke], k_vec[ks:ke])
-            r_keep, r_rep = _pooled(r_word[rs:re], r_vec[rs:re])
-            scores = r_rep @ k_rep.T
-            p_ru, p_kz = _softmax(scores, 0), _softmax(scores, 1)
-            link = (p_ru > threshold) & (p_kz > threshold)
-            r_pos, k_pos = np.nonzero(link if links_only else np.ones_like(link))
-            for target, part in zip(
-                columns,
-                (
-                    k_keep[k_pos],
-                    r_keep[r_pos],
-                    p_ru[r_pos, k_pos],
-                    p_kz[r_pos, k_pos],
-                    link[r_pos, k_pos],
-                ),
-            ):
-                target.append(part)
-            lengths.append(len(k_pos))
+            blocks = list(row_blocks(k_side, r_side, row, threshold, True))
+            found += blocks
+            lengths.append(sum(len(block[0]) for block in blocks))
         types = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.bool_()]
         names = ["kz_idx", "ru_idx", "p_ru_given_kz", "p_kz_given_ru", "is_link"]
         flat = [
             pa.array(np.concatenate(part) if part else np.empty(0), type=kind)
-            for part, kind in zip(columns, types)
+            for part, kind in zip(zip(*found) if found else [()] * 5, types)
         ]
         return pa.ListArray.from_arrays(
             pa.array(np.cumsum(lengths), type=pa.int32()),
@@ -188,6 +232,33 @@ def word_pair_probabilities(threshold: float, links_only: bool):
     return run
 
 
+def with_usable_pieces(encoded: DataFrame) -> DataFrame:
+    """Drop pieces whose vector is missing or of another length than the pair's longest; count them.
+
+    Adds `bad_pieces`. A word that loses all its pieces has no links; the job goes on.
+    """
+    sizes = F.transform(
+        F.concat("kaz_pieces", "rus_pieces"), lambda p: F.coalesce(F.size(p["vec"]), F.lit(0))
+    )
+    measured = encoded.withColumn("_dim", F.coalesce(F.array_max(sizes), F.lit(0)))
+
+    def usable(piece: Column) -> Column:
+        whole = (F.size(piece["vec"]) == F.col("_dim")) & (F.col("_dim") > 0)
+        return F.coalesce(whole & ~F.exists(piece["vec"], lambda x: x.isNull()), F.lit(False))
+
+    kept = measured.withColumns(
+        {f"_{side}": F.filter(f"{side}_pieces", usable) for side in ("kaz", "rus")}
+    )
+    before = F.size("kaz_pieces") + F.size("rus_pieces")
+    others = [c for c in encoded.columns if c not in ("kaz_pieces", "rus_pieces")]
+    return kept.select(
+        *others,
+        F.col("_kaz").alias("kaz_pieces"),
+        F.col("_rus").alias("rus_pieces"),
+        (before - F.size("_kaz") - F.size("_rus")).alias("bad_pieces"),
+    )
+
+
 def with_length_flag(encoded: DataFrame) -> DataFrame:
     """Add `too_long`: the encoder's limit cut off the last word of either side."""
 
@@ -200,19 +271,14 @@ def with_length_flag(encoded: DataFrame) -> DataFrame:
     return encoded.select("*", (cut("kaz") | cut("rus")).alias("too_long"))
 
 
-def _pair_column(threshold: float, links_only: bool) -> Column:
+def with_links(encoded: DataFrame, threshold: float = LINK_THRESHOLD) -> DataFrame:
+    """Replace the piece vectors by `too_long`, `bad_pieces` and `links` (empty where too long)."""
+    flagged = with_usable_pieces(with_length_flag(encoded))
     usable = ~F.col("too_long")
-    return word_pair_probabilities(threshold, links_only)(
+    links = word_pair_probabilities(threshold)(
         F.when(usable, F.col("kaz_pieces")), F.when(usable, F.col("rus_pieces"))
     )
-
-
-def with_links(encoded: DataFrame, threshold: float = LINK_THRESHOLD) -> DataFrame:
-    """Replace the piece vectors by `too_long` and `links` (empty where too long)."""
-    flagged = with_length_flag(encoded)
-    return flagged.withColumn("links", _pair_column(threshold, True)).drop(
-        "kaz_pieces", "rus_pieces"
-    )
+    return flagged.withColumn("links", links).drop("kaz_pieces", "rus_pieces")
 
 
 def joint(link: Column) -> Column:
@@ -220,11 +286,58 @@ def joint(link: Column) -> Column:
     return F.least(link["p_ru_given_kz"], link["p_kz_given_ru"])
 
 
-def _word_pair_rows(df: DataFrame, column: str) -> DataFrame:
+DIAGNOSTICS = (
+    "pair_id {0}, kaz_index int, kaz_token string, rus_index int, rus_token string, "
+    "p_ru_given_kz double, p_kz_given_ru double, joint_prob double, is_link boolean"
+)
+
+
+def diagnostics(encoded: DataFrame, threshold: float = LINK_THRESHOLD) -> DataFrame:
+    """Every word pair of each usable sentence pair, linked or not, in the columns of `link_rows`.
+
+    For inspecting alignments. The rows leave in batches of a block of similarities, so no
+    cell and no batch holds all pairs of a text; jobs that need only links use `link_rows`.
+    """
+    flagged = with_usable_pieces(with_length_flag(encoded)).where(~F.col("too_long"))
+    needed = flagged.select("pair_id", "kaz_words", "rus_words", "kaz_pieces", "rus_pieces")
+    schema = DIAGNOSTICS.format(dict(encoded.dtypes)["pair_id"])
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kaz, rus = _Side(batch.column("kaz_pieces")), _Side(batch.column("rus_pieces"))
+            ids = batch.column("pair_id")
+            tokens = [batch.column("kaz_words"), batch.column("rus_words")]
+            for row in range(batch.num_rows):
+                k_words, r_words = tokens[0][row].values, tokens[1][row].values
+                for kz, ru, p_ru, p_kz, link in row_blocks(kaz, rus, row, threshold, False):
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([ids[row].as_py()] * len(kz), ids.type),
+                            pa.array(kz, pa.int32()),
+                            k_words.take(pa.array(kz)),
+                            pa.array(ru, pa.int32()),
+                            r_words.take(pa.array(ru)),
+                            pa.array(p_ru),
+                            pa.array(p_kz),
+                            pa.array(np.minimum(p_ru, p_kz)),
+                            pa.array(link),
+                        ],
+                        names=names,
+                    )
+
+    return needed.mapInArrow(run, schema)
+
+
+def link_rows(linked: DataFrame) -> DataFrame:
+    """One row per link.
+
+    An outer explode with a filter above it: from a plain one the optimizer infers a filter
+    on the list's size and computes the list a second time for it.
+    """
     pair = F.col("p")
-    return df.select(
-        "pair_id", "kaz_words", "rus_words", F.explode(column).alias("p")
-    ).select(
+    rows = linked.select("pair_id", "kaz_words", "rus_words", F.explode_outer("links").alias("p"))
+    return rows.where(pair.isNotNull()).select(
         "pair_id",
         pair["kz_idx"].alias("kaz_index"),
         F.get("kaz_words", pair["kz_idx"]).alias("kaz_token"),
@@ -237,21 +350,6 @@ def _word_pair_rows(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def diagnostics(encoded: DataFrame, threshold: float = LINK_THRESHOLD) -> DataFrame:
-    """Every word pair of each usable sentence pair, linked or not.
-
-    For inspecting alignments. At most limit² rows per sentence pair, produced in place
-    and never joined or shuffled here; jobs that need only links use `link_rows`.
-    """
-    flagged = with_length_flag(encoded).withColumn("_all", _pair_column(threshold, False))
-    return _word_pair_rows(flagged, "_all")
-
-
-def link_rows(linked: DataFrame) -> DataFrame:
-    """One row per link, in the diagnostics columns."""
-    return _word_pair_rows(linked, "links")
-
-
 # --- phrases -------------------------------------------------------------------------
 
 
@@ -305,8 +403,10 @@ def phrase_rows(phrased: DataFrame, outer: bool = False) -> DataFrame:
     The lists of the pair stay behind: repeated on every phrase they would outweigh it.
     """
     keep = [c for c in phrased.columns if c not in PER_PAIR_LISTS]
-    unnest = F.explode_outer if outer else F.explode
-    return phrased.select(*keep, unnest("phrases").alias("_p")).select(
+    rows = phrased.select(*keep, F.explode_outer("phrases").alias("_p"))
+    if not outer:
+        rows = rows.where(F.col("_p").isNotNull())  # as in `link_rows`
+    return rows.select(
         *keep, "_p.*", F.array_join("_p.kazakh_tokens", " ").alias("kazakh_phrase")
     )
 
