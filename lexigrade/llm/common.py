@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +52,8 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, offsets = utf8(batch.column(column))
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        offsets = np.append(0, np.cumsum(sizes, dtype=np.int64))
         start = 0
         while start < batch.num_rows:
             end = int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1

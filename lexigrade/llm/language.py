@@ -22,7 +22,7 @@ from lexigrade.llm.common import bounded
 
 UNDETERMINED = "und"
 #: Distinct texts that are sampled of each language, about: four fifths to fit, the rest to calibrate.
-SAMPLE = 1000
+SAMPLE = 600
 
 
 class Leader:
@@ -106,7 +106,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, epochs: int = 4, seed: int = 6) -
     got = drawn.mapInArrow(vectors, "h long, lang string, buckets binary, values binary").toPandas()
     got = got.sort_values(["h", "lang"], kind="stable")
     items = [
-        (np.frombuffer(b, np.int32), np.frombuffer(v, np.float32).astype(float), languages.index(k))
+        (np.frombuffer(b, np.int32), np.frombuffer(v, np.float32), languages.index(k))
         for b, v, k in zip(got["buckets"], got["values"], got["lang"])
     ]
     order = np.random.default_rng(seed).permutation(len(items))

@@ -15,7 +15,7 @@ from lexigrade.llm.common import bounded
 BITS = 17
 ORDERS = (1, 2, 3)
 #: Bytes of text worked on at once.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 def code_points(column: pa.Array, fold: bool) -> tuple[np.ndarray, np.ndarray]:

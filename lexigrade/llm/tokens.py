@@ -15,7 +15,7 @@ from array import array
 import numpy as np
 
 #: Pieces a worker remembers; when there are more it begins anew.
-REMEMBERED = 700_000
+REMEMBERED = 250_000
 
 _BREAK = re.compile(r"(?<=\S)(?= )")
 _WIDE = re.compile(r"\s ")
