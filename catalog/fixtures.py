@@ -15,7 +15,7 @@ from lexigrade.functions.features import with_text_features
 from lexigrade.levels import LEVELS, level_at
 from lexigrade.operators import align
 from lexigrade.operators.joins import lookup_join
-from lexigrade.session import spread_small
+from lexigrade.session import as_read
 
 # The transliteration, and the factor that turns the table's unit vectors
 # into ones with encoder-like norms (similarities times 30).
@@ -42,7 +42,7 @@ def transliterate(text: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): documents in Cyrillic letters."""
-    docs = spread_small(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = as_read(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return docs.select("doc_id", transliterate(F.col("text")).alias("text"))
 
 
@@ -221,7 +221,7 @@ def length_level(chars: Column) -> Column:
 def text_corpus(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFrame:
     """(doc_id, text_en, text_ru, label); with `gaps` every fiftieth document has no label."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
-    return spread_small(docs, "doc_id").select(
+    return as_read(docs, "doc_id").select(
         "doc_id",
         F.col("text").alias("text_en"),
         transliterate(F.col("text")).alias("text_ru"),

@@ -57,9 +57,11 @@ def lookup_join(
 ) -> DataFrame:
     """Left join with a table that holds each `key` at most once.
 
-    A table measured to be small is broadcast, so `left` does not move. A larger one
-    takes the salted way, where no key, however frequent, lands in one task.
+    The table is written once and measured from the copy. Found small it is broadcast, so
+    `left` does not move. A larger one takes the salted way, where no key, however frequent,
+    lands in one task.
     """
+    table = materialise(table)
     if fits_broadcast(table, max_rows, max_bytes):
         columns = [*left.columns, *[c for c in table.columns if c != key]]
         return left.join(F.broadcast(table), key, "left").select(*columns)
@@ -99,6 +101,7 @@ def salted_lookup(
     row in the same place.
     """
     columns = [*left.columns, *[c for c in table.columns if c != key]]
+    left = materialise(left)  # read twice: for its hot keys and for the join
     hot = F.broadcast(materialise(hot_keys(left, key, rows_per_task)))
     identity = F.xxhash64(*[F.col(c) for c in row_key])
     # Rows without a key match nothing; they too are spread instead of meeting in the

@@ -47,18 +47,32 @@ def attach_lemma_level(
 
     A token absent from the lemma dictionary is its own lemma.
     """
-    keyed = tokens.withColumn("_word", strip_lower(F.col(token_col)))
-    lemma_of = lemmas.select(F.col("token").alias("_word"), F.col("lemma").alias("_lemma"))
-    by_word = lexicon.select(F.col("word").alias("_word"), F.col("level").alias("_word_level"))
-    by_lemma = lexicon.select(
-        F.col("word").alias("_lemma"), F.col("level").alias("_lemma_level")
+    known = lemma_levels(lexicon, lemmas).select(
+        F.col("word").alias("_word"), F.col("lemma").alias("_lemma"), F.col("level").alias("_level")
     )
-    found = lookup_join(keyed, lemma_of, "_word", row_key=row_key, **bounds)
-    found = found.withColumn("_lemma", F.coalesce("_lemma", "_word"))
-    found = lookup_join(found, by_lemma, "_lemma", row_key=row_key, **bounds)
-    found = lookup_join(found, by_word, "_word", row_key=row_key, **bounds)
+    keyed = tokens.withColumn("_word", strip_lower(F.col(token_col)))
+    found = lookup_join(keyed, known, "_word", row_key=row_key, **bounds)
     return found.select(
         *tokens.columns,
-        F.col("_lemma").alias("lemma"),
-        F.coalesce("_lemma_level", "_word_level", F.lit(UNKNOWN)).alias("level"),
+        F.coalesce("_lemma", "_word").alias("lemma"),
+        F.coalesce(F.col("_level"), F.lit(UNKNOWN)).alias("level"),
+    )
+
+
+def lemma_levels(lexicon: DataFrame, lemmas: DataFrame) -> DataFrame:
+    """(word, lemma, level) for every word of either dictionary: what one look-up has to find.
+
+    Joins the dictionaries with each other, whose words are distinct, instead of the corpus
+    with three tables in turn.
+    """
+    lemma_of = lemmas.select(F.col("token").alias("word"), "lemma")
+    by_lemma = lexicon.select(F.col("word").alias("lemma"), F.col("level").alias("_lemma_level"))
+    return (
+        lemma_of.join(by_lemma, "lemma", "left")
+        .join(lexicon, "word", "full")
+        .select(
+            "word",
+            F.coalesce("lemma", "word").alias("lemma"),
+            F.coalesce("_lemma_level", "level").alias("level"),
+        )
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
@@ -16,6 +17,7 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.lexigrade.spreadInputs", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
@@ -46,27 +48,23 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+SPREAD_INPUTS = "spark.lexigrade.spreadInputs"
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash-partition by a unique key ahead of heavy per-row work.
 
-    The number is given explicitly: adaptive coalescing judges by bytes and would put
-    small but expensive texts into one task.
+    No number is given: adaptive execution merges or keeps the partitions by the size of the data.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(partitions, key)
-
-
-SPLIT_BYTES = 128 * 1024 * 1024
+    return df.repartition(F.col(key))
 
 
-def spread_small(df: DataFrame, key: str) -> DataFrame:
-    """Spread an input too small to give every core a split; leave larger ones as read.
+def as_read(df: DataFrame, key: str) -> DataFrame:
+    """Rows as the scan deals them out, or spread by `key` where the session asks for it.
 
-    A file of a few megabytes is one task however long its texts take. At sizes where
-    the scan keeps all cores busy the shuffle would be waste, so none is made.
+    A large table has splits enough, and a shuffle would be waste. A file of a few megabytes
+    is one task however long its texts take: sessions over such files set
+    `spark.lexigrade.spreadInputs`, as `local_session` does.
     """
-    spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= SPLIT_BYTES * spark.sparkContext.defaultParallelism:
-        return df
-    return spread(df, key)
+    asked = df.sparkSession.conf.get(SPREAD_INPUTS, "false") == "true"
+    return spread(df, key) if asked else df

@@ -29,22 +29,22 @@ TABULAR_NUMERIC = (
 TABULAR_TARGET, TABULAR_TARGET_INDEX = "predicted_cefr", "predicted_cefr_int"
 
 
-def read_csv(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, columns: dict[str, str], multiline: bool = False
+) -> DataFrame:
     """CSV with a header. `columns` names the types of the wanted columns.
 
-    Columns are matched by header name; wanted ones absent from the file are simply not
-    in the result, so that the cleaning functions can report or fill them. Quoted line
-    breaks are honoured.
+    Wanted columns absent from the header are simply not in the result, so that the cleaning
+    functions can report or fill them. Every file is checked against the header: one with
+    other columns, or the same in another order, stops the job instead of being misread.
+    Files are split over tasks; with `multiline` quoted line breaks are honoured and a file
+    is one task.
     """
-    header = spark.read.options(header=True, multiLine=True, escape='"').csv(path).columns
-    schema = T.StructType(
-        [
-            T.StructField(name, T._parse_datatype_string(columns.get(name, "string")))
-            for name in header
-        ]
-    )
-    frame = spark.read.options(header=True, multiLine=True, escape='"').schema(schema).csv(path)
-    return frame.select(*[name for name in columns if name in header])
+    options = {"header": True, "multiLine": multiline, "escape": '"'}
+    header = spark.read.options(**options).csv(path).columns
+    ddl = ", ".join(f"`{name}` {columns.get(name, 'string')}" for name in header)
+    frame = spark.read.options(**options, enforceSchema=False).schema(ddl).csv(path)
+    return frame.select(*[F.col(f"`{name}`") for name in columns if name in header])
 
 
 def require_columns(df: DataFrame, names: list[str]) -> None:

@@ -141,9 +141,9 @@ def test_class_filter_and_checks(spark):
         sampling.require_classes(kept.where("false"))
 
 
-@pytest.mark.parametrize("accuracy", [1_000_000, 50])
-def test_median_and_scaling(spark, monkeypatch, accuracy):
-    monkeypatch.setattr(numeric, "SKETCH_ACCURACY", accuracy)
+@pytest.mark.parametrize("buckets", [1024, 3])
+def test_median_and_scaling(spark, monkeypatch, buckets):
+    monkeypatch.setattr(numeric, "BUCKETS", buckets)
     rng = np.random.default_rng(3)
     a = [1.0, 2.0, 4.0, 10.0]
     b = [float(x) for x in rng.integers(0, 5, 2000)] + [7.5]
@@ -190,10 +190,47 @@ def test_tfidf_against_counting(spark):
     assert got == pytest.approx(want)
 
 
+def test_medians_against_numpy(spark):
+    rng = np.random.default_rng(4)
+    rows = [
+        tuple(float(x) for x in (rng.normal(), rng.integers(0, 3), 10.0 ** rng.integers(-9, 9), 7, rng.choice([-np.inf, 0.5, np.inf])))
+        for _ in range(1501)
+    ]
+    for n in (1, 2, 1500, 1501):
+        frame = spark.createDataFrame(rows[:n], "`a b` double, b double, c double, d double, e double")
+        got = {r["name"]: r["median"] for r in numeric.exact_medians(frame, frame.columns).collect()}
+        for k, name in enumerate(frame.columns):
+            values = sorted(r[k] for r in rows[:n])
+            want = (values[(n - 1) // 2] + values[n // 2]) / 2
+            assert got[name] == want or (np.isnan(got[name]) and np.isnan(want)), (n, name)
+
+
+def test_csv_files_must_agree(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("kaz,rus\nk1,r1\n", encoding="utf-8")
+    types = {"kaz": "string", "rus": "string"}
+    assert [tuple(r) for r in corpora.read_csv(spark, str(tmp_path), types).collect()] == [("k1", "r1")]
+    (tmp_path / "b.csv").write_text("rus,kaz\nr2,k2\n", encoding="utf-8")
+    with pytest.raises(Exception, match="(?i)header"):
+        corpora.read_csv(spark, str(tmp_path), types).collect()
+
+
+def test_look_ups_ignore_the_number_of_partitions(spark):
+    tokens = spark.createDataFrame([(i, f"w{i % 7}") for i in range(200)], "id long, token string")
+    lexicon = spark.createDataFrame([("w1", "A1"), ("l2", "B1"), ("w2", "C1"), ("w3", "A2")], "word string, level string")
+    lemmas = spark.createDataFrame([("w2", "l2"), ("w3", "none"), ("w4", "w1")], "token string, lemma string")
+    want = {"w0": ("w0", "Unknown"), "w1": ("w1", "A1"), "w2": ("l2", "B1"), "w3": ("none", "A2"), "w4": ("w1", "A1")}
+    for parts in (1, 8, 64):
+        for bounds in ({}, {"max_rows": 0, "rows_per_task": 5}):
+            got = attach_lemma_level(tokens.repartition(parts), lexicon, lemmas, "token", row_key=["id"], **bounds).collect()
+            assert len(got) == 200
+            for r in got:
+                assert (r["lemma"], r["level"]) == want.get(r["token"], (r["token"], "Unknown"))
+
+
 def test_sources(spark, tmp_path):
     path = tmp_path / "pairs.csv"
     path.write_text('kaz,extra\n"бір ""екі""\nүш",1\n', encoding="utf-8")
-    raw = corpora.read_csv(spark, str(path), {"kaz": "string", "rus": "string"})
+    raw = corpora.read_csv(spark, str(path), {"kaz": "string", "rus": "string"}, multiline=True)
     assert raw.columns == ["kaz"] and raw.first().kaz == 'бір "екі"\nүш'
     corpus = corpora.parallel_corpus(raw.select(F.lit(1).alias("pair_id"), "kaz")).first()
     assert (corpus.kaz, corpus.rus) == ('бір "екі"\nүш', "")
