@@ -325,34 +325,100 @@ def feature_frame(spark, sf_dir):
     )
 
 
-# --- trained models (no SQL: iterative fits) -----------------------------------------
+# --- trained models: what is known about any fit --------------------------------------
 
 
-@register("train_text")
+def _known_sql(needs: str, split: str) -> str:
+    return q.query(
+        needs,
+        f"""SELECT 'support' AS metric, label, count(*)::DOUBLE AS value FROM ({split}) WHERE is_test GROUP BY label
+        UNION ALL SELECT 'confusion_total', label, count(*) FILTER (is_test)::DOUBLE FROM ({split}) GROUP BY label
+        UNION ALL SELECT 'class_share', label,
+          round(count(*)::DOUBLE / (SELECT count(*) FROM ({split})), 6) FROM ({split}) GROUP BY label
+        UNION ALL SELECT 'out_of_range', NULL, 0::DOUBLE""",
+    )
+
+
+def _known(trained):
+    """Held-out support, row totals of the confusion matrix and class shares, which SQL can
+    count, and how many of the scores lie outside 0 to 1."""
+    rows = trained.metric_rows()
+    score = F.col("metric").isin("accuracy", "macro_f1", "precision", "recall", "f1")
+    averages = F.coalesce(F.col("label"), F.lit("")).endswith(" avg")
+    counted = rows.where((F.col("metric") == "support") & ~averages & (F.col("value") > 0))
+    shares = rows.where("metric = 'class_share'").withColumn("value", r6("value"))
+    totals = rows.where("metric = 'confusion'").groupBy("label").agg(F.sum("value").alias("value"))
+    outside = rows.agg(F.count_if(score & ~F.col("value").between(0, 1)).cast("double").alias("value"))
+    return (
+        counted.select("metric", "label", "value")
+        .unionByName(totals.select(F.lit("confusion_total").alias("metric"), "label", "value"))
+        .unionByName(shares.select("metric", "label", "value"))
+        .unionByName(
+            outside.select(F.lit("out_of_range").alias("metric"), F.lit(None).cast("string").alias("label"), "value")
+        )
+    )
+
+
+def _checked_probs(rows, key):
+    """Per key: the trained levels (those with any probability), the sum, and whether all lie in 0 to 1."""
+    named = F.arrays_zip("probs", F.array(*[F.lit(level) for level in LEVELS]).alias("level"))
+    return rows.select(
+        key,
+        F.size("probs").alias("n_probs"),
+        F.array_join(F.transform(F.filter(named, lambda x: x["probs"] > 0), lambda x: x["level"]), ",").alias("levels"),
+        r6(F.aggregate("probs", F.lit(0.0), lambda a, x: a + x)).alias("total"),
+        F.forall("probs", lambda x: x.between(0, 1)).alias("in_range"),
+    )
+
+
+def _probs_sql(key: str, source: str, labels: str) -> str:
+    return f"""SELECT {key}, 6 AS n_probs, levels, 1.0::DOUBLE AS total, true AS in_range
+    FROM ({source}), (SELECT string_agg(label, ',' ORDER BY label) AS levels FROM ({labels}))"""
+
+
+@register("train_text", _known_sql("text_corpus", SPLIT_SQL))
 def train_text(spark, sf_dir):
     raw = fx.text_corpus(spark, sf_dir)
     probs = _corpus_word_probs(corpora.text_corpus(raw))
-    return training.train_text_classifier(raw, "doc_id", word_probs=probs).metric_rows()
+    return _known(training.train_text_classifier(raw, "doc_id", word_probs=probs))
+
+
+TABULAR_SPLIT_SQL = SPLIT_SQL.replace("doc_id", "pair_id").replace(
+    "FROM text_corpus", "FROM (SELECT pair_id, predicted_cefr AS label FROM tabular)"
+)
 
 
-@register("train_tabular")
+@register("train_tabular", _known_sql("tabular", TABULAR_SPLIT_SQL))
 def train_tabular(spark, sf_dir):
     raw = fx.tabular_raw(spark, sf_dir)
-    return training.train_tabular_model(raw, "pair_id").metric_rows()
+    return _known(training.train_tabular_model(raw, "pair_id"))
 
 
-@register("train_word")
+@register(
+    "train_word",
+    q.query(
+        "clean_labels rus_tokens",
+        _probs_sql(
+            "word",
+            "SELECT DISTINCT token AS word FROM rus_tokens",
+            "SELECT label FROM clean_labels GROUP BY label HAVING count(*) >= 2",
+        ),
+    ),
+)
 def train_word(spark, sf_dir):
-    """The word model, shown by its distribution for every distinct Russian word."""
+    """The word model, applied to every distinct Russian word."""
     trained = training.train_word_model(_clean_labels(spark, sf_dir), "row_id")
     words = fx.pairs(spark, sf_dir).select(F.explode(t.words(F.col("rus"))).alias("word"))
-    probs = score_words(words, training.word_scorer(trained))
-    return probs.select(
-        "word", *[F.get("probs", F.lit(i)).alias(f"p_{lv.lower()}") for i, lv in enumerate(LEVELS)]
-    )
+    return _checked_probs(score_words(words, training.word_scorer(trained)), "word")
 
 
-@register("train_sentence")
+@register(
+    "train_sentence",
+    q.query(
+        "text_corpus pairs",
+        _probs_sql("pair_id", "SELECT pair_id FROM pairs", "SELECT DISTINCT label FROM text_corpus"),
+    ),
+)
 def train_sentence(spark, sf_dir):
     """The sentence model, trained on documents, applied to the Russian sides."""
     trained = training.train_sentence_model(fx.text_corpus(spark, sf_dir), "doc_id")
@@ -360,8 +426,4 @@ def train_sentence(spark, sf_dir):
         "pair_id", F.lit("").alias("text_en"), F.col("rus").alias("text_ru")
     )
     frame, _ = training.feature_frame(sides, "pair_id", english=False)
-    probs = training.level_probabilities(trained.model, frame, "pair_id")
-    return probs.select(
-        "pair_id",
-        *[F.get("probs", F.lit(i)).alias(f"p_{lv.lower()}") for i, lv in enumerate(LEVELS)],
-    )
+    return _checked_probs(training.level_probabilities(trained.model, frame, "pair_id"), "pair_id")

@@ -48,7 +48,8 @@ TOLERANCE = 1e-4
 
 @dataclass
 class Trained:
-    """A fitted model, its held-out predictions (label, pred) and the training settings."""
+    """A fitted model, its counted held-out predictions (label, pred, n), the counted classes
+    (label, n) and the training settings. Both counts are written: at most classes² rows."""
 
     model: PipelineModel
     predictions: DataFrame
@@ -126,15 +127,22 @@ def feature_frame(
     return frame, names
 
 
+def _number(value: float) -> str:
+    """A double as SQL reads it back, whatever its size."""
+    return f"CAST('{value!r}' AS double)"
+
+
 def _scaling_stage(train: DataFrame, numeric: list[str]) -> tuple[SQLTransformer, list[str]]:
     """Median filling and standard scaling with the constants of the training rows."""
     fitted = fit_scaling(train, numeric)
-    names = [f"_scaled_{c}" for c in numeric]
-    cells = [
-        f"(coalesce(nanvl(CAST({c} AS double), CAST(NULL AS double)), {m!r}D) - ({a!r}D)) / {s!r}D"
-        f" AS {n}"
-        for n, (c, (m, a, s)) in zip(names, ((c, fitted[c]) for c in numeric))
-    ]
+    names = [f"_scaled_{i}" for i in range(len(numeric))]
+    cells = []
+    for name, column in zip(names, numeric):
+        median, mean, scale = map(_number, fitted[column])
+        value = "CAST(`{}` AS double)".format(column.replace("`", "``"))
+        cells.append(
+            f"(coalesce(nanvl({value}, CAST(NULL AS double)), {median}) - {mean}) / {scale} AS {name}"
+        )
     return SQLTransformer(statement=f"SELECT *, {', '.join(cells)} FROM __THIS__"), names
 
 
@@ -227,12 +235,14 @@ def _train(
     settings: dict[str, Any],
 ) -> Trained:
     labelled = frame.withColumn(label_col, F.col(label_col).cast("string"))
+    # The split sees ids and labels only; the features join it and are written once.
     split = stratified_split(
-        labelled, id_col, label_col, test_size=settings["test_size"], seed=settings["seed"]
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    train = split.where(~F.col("is_test"))
+        labelled.select(id_col, label_col),
+        id_col, label_col, test_size=settings["test_size"], seed=settings["seed"],
+    )
+    rows = materialise(labelled.join(split.select(id_col, "is_test"), id_col))
     model = fit_classifier(
-        train,
+        rows.where(~F.col("is_test")),
         text_cols,
         numeric_cols,
         label_col,
@@ -240,10 +250,13 @@ def _train(
         ngram_max=settings["ngram_max"],
         max_iterations=settings["max_iterations"],
     )
-    predictions = model.transform(split.where("is_test")).select(
-        F.col(id_col), F.col(label_col).alias("label"), "pred"
+    predicted = model.transform(rows.where("is_test")).select(F.col(label_col).alias("label"), "pred")
+    return Trained(
+        model,
+        materialise(metrics.counted(predicted)),
+        materialise(metrics.counted(rows.select(F.col(label_col).alias("label")))),
+        settings,
     )
-    return Trained(model, predictions, split.select(F.col(label_col).alias("label")), settings)
 
 
 def train_text_classifier(
@@ -352,7 +365,7 @@ def train_word_model(
     usable = keep_frequent_classes(materialise(labels.select(id_col, "text", "label")))
     require_classes(usable)
     split = stratified_split(usable, id_col, test_size=test_size, seed=seed)
-    split = split.select("text", "label", "is_test").persist(StorageLevel.MEMORY_AND_DISK)
+    split = materialise(split.select("text", "label", "is_test"))
     train = (
         split.where(~F.col("is_test"))
         .groupBy("text", "label")
@@ -384,7 +397,9 @@ def train_word_model(
         ).fit(ready)
         regression = _without_summary(regression, ready)
         model = PipelineModel([*stages, regression, names])
-        predictions = model.transform(split.where("is_test")).select("label", "pred")
+        predictions = materialise(
+            metrics.counted(model.transform(split.where("is_test")).select("label", "pred"))
+        )
         score = metrics.macro_f1(predictions).first()["macro_f1"] or 0.0
         if best is None or score > best[0]:
             best = (score, strength, model, predictions)
@@ -398,7 +413,8 @@ def train_word_model(
         "strength": strength,
         "max_iterations": max_iterations,
     }
-    return Trained(model, predictions, split.select("label"), settings)
+    classes = materialise(metrics.counted(split.select("label")))
+    return Trained(model, predictions, classes, settings)
 
 
 def word_scorer(trained: Trained):
