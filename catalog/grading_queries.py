@@ -31,8 +31,20 @@ def _lexicon(spark, sf_dir):
 
 
 def _graded_texts(spark, sf_dir):
+    """Of texts whose own translation is missing where the role is not the user's: it is looked up."""
     return grading.grade_texts(
-        _pairs(spark, sf_dir), _lexicon(spark, sf_dir), fx.encoder(spark, sf_dir)
+        _untranslated(spark, sf_dir),
+        _lexicon(spark, sf_dir),
+        fx.encoder(spark, sf_dir),
+        translations=fx.translations(spark, sf_dir),
+    )
+
+
+def _untranslated(spark, sf_dir):
+    """Every turn's text; only the user's turns bring a translation of their own. The table's
+    answer is that of the smallest pair with the same text, in SQL as `translated`."""
+    return fx.pairs(spark, sf_dir).select(
+        "pair_id", "kaz", F.when(F.col("role") == "user", F.col("rus")).alias("rus")
     )
 
 
@@ -70,11 +82,13 @@ def text_level(spark, sf_dir):
 @register(
     "text_report",
     q.query(
-        "graded lengths",
-        """SELECT l.pair_id, coalesce(count(g.pair_id), 0) AS phrases,
+        "graded_tr lengths_tr translated",
+        """SELECT l.pair_id, md5(any_value(t.rus)) AS rus, any_value(t.translation_used) AS translation_used,
+          coalesce(count(g.pair_id), 0) AS phrases,
           md5(coalesce(string_agg(g.russian_index || ':' || g.phrase || '=' || g.token || '/'
             || g.level, '|' ORDER BY g.russian_index, g.start), '')) AS alignments
-        FROM lengths l LEFT JOIN graded g ON g.pair_id = l.pair_id GROUP BY l.pair_id""",
+        FROM lengths_tr l JOIN translated t ON t.pair_id = l.pair_id
+        LEFT JOIN graded_tr g ON g.pair_id = l.pair_id GROUP BY l.pair_id""",
     ),
 )
 def text_report(spark, sf_dir):
@@ -88,6 +102,8 @@ def text_report(spark, sf_dir):
     )
     return _graded_texts(spark, sf_dir).select(
         "pair_id",
+        F.md5(F.col("rus").cast("binary")).alias("rus"),
+        "translation_used",
         F.size("phrase_alignments").alias("phrases"),
         F.md5(F.array_join(line, "|").cast("binary")).alias("alignments"),
     )
@@ -214,20 +230,25 @@ def word_top_levels(spark, sf_dir):
 @register(
     "word_report",
     q.query(
-        "pairs rus_tokens",
-        f"""SELECT p.pair_id, n IS NULL AS no_tokens, coalesce(n, 0) AS n, levels
-        FROM pairs p LEFT JOIN (
+        "translated translated_tokens",
+        f"""SELECT p.pair_id, md5(p.rus) AS rus, translation_used, n IS NULL AS no_tokens,
+          coalesce(n, 0) AS n, levels
+        FROM translated p LEFT JOIN (
           SELECT pair_id, count(*) AS n,
             md5(string_agg(token || ':' || {q.top_level('p')}, '|' ORDER BY word_idx)) AS levels
-          FROM (SELECT *, {q.digest_probs('token')} AS p FROM rus_tokens) GROUP BY pair_id) w
+          FROM (SELECT *, {q.digest_probs('token')} AS p FROM translated_tokens) GROUP BY pair_id) w
         ON w.pair_id = p.pair_id""",
     ),
 )
 def word_report(spark, sf_dir):
-    report = grading.word_report(_pairs(spark, sf_dir), _word_probs(spark, sf_dir))
+    report = grading.word_report(
+        _untranslated(spark, sf_dir), _word_probs(spark, sf_dir), fx.translations(spark, sf_dir)
+    )
     line = F.transform("words", lambda w: F.concat(w["word"], F.lit(":"), w["level"]))
     return report.select(
         "pair_id",
+        F.md5(F.col("rus").cast("binary")).alias("rus"),
+        "translation_used",
         "no_tokens",
         F.coalesce(F.size("words"), F.lit(0)).alias("n"),
         F.md5(F.array_join(line, "|").cast("binary")).alias("levels"),
@@ -260,20 +281,28 @@ _MIXED = ", ".join(
 @register(
     "ensemble",
     q.query(
-        "levels pairs",
-        f"""SELECT pair_id, {q.top_level('p')} AS level, round(list_max(p), 6) AS confidence,
-          {PROBS_SQL}
-        FROM (SELECT pair_id, CASE WHEN list_sum(m) > 0
+        "levels_tr translated graded_tr",
+        f"""SELECT pair_id, md5(rus) AS rus, translation_used,
+          (SELECT count(*) FROM graded_tr g WHERE g.pair_id = m.pair_id) AS phrases,
+          {q.top_level('p')} AS level, round(list_max(p), 6) AS confidence, {PROBS_SQL}
+        FROM (SELECT pair_id, rus, translation_used, CASE WHEN list_sum(m) > 0
                 THEN list_transform(m, lambda x: x / list_sum(m))
                 ELSE list_transform(m, lambda x: 1.0::DOUBLE / 6) END AS p
-              FROM (SELECT v.pair_id, [{_MIXED}] AS m
-                    FROM (SELECT l.pair_id, l.dist, {q.digest_probs('rus')} AS s
-                          FROM levels l JOIN pairs p ON p.pair_id = l.pair_id) v))""",
+              FROM (SELECT v.pair_id, rus, translation_used, [{_MIXED}] AS m
+                    FROM (SELECT l.pair_id, l.dist, p.rus, p.translation_used, {q.digest_probs('rus')} AS s
+                          FROM levels_tr l JOIN translated p ON p.pair_id = l.pair_id) v)) m""",
     ),
 )
 def ensemble(spark, sf_dir):
-    texts = _graded_texts(spark, sf_dir).select("pair_id", "distribution")
-    blended = scoring.ensemble(texts, fx.sentence_probs(_pairs(spark, sf_dir)), 0.6)
+    texts = _graded_texts(spark, sf_dir)
+    sides = grading.translated(_untranslated(spark, sf_dir), fx.translations(spark, sf_dir))
+    blended = scoring.ensemble(texts, fx.sentence_probs(sides), 0.6)
     return blended.select(
-        "pair_id", "level", r6("confidence").alias("confidence"), *_probs("probabilities")
+        "pair_id",
+        F.md5(F.col("rus").cast("binary")).alias("rus"),
+        "translation_used",
+        F.size("phrase_alignments").alias("phrases"),
+        "level",
+        r6("confidence").alias("confidence"),
+        *_probs("probabilities"),
     )

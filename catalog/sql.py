@@ -308,33 +308,56 @@ TABLES["gold"] = (
                   ON k.pair_id = r.pair_id AND k.side = 'kaz' AND r.side = 'rus'))""",
 )
 TABLES["gold_phrases"] = _islands("gold")
-TABLES["graded"] = (
-    ("phrases", "lexicon"),
-    f"""SELECT p.*, coalesce(l.level, 'Unknown') AS level, {cyrillic('p.token')} AS is_cyr
-    FROM phrases p LEFT JOIN lexicon l ON l.word = {strip_lower('p.token')}""",
-)
-_N = [f"coalesce(n{i}, 0)" for i in range(6)]
-_KNOWN = "(" + "+".join(_N) + ")"
-TABLES["level_counts"] = (
-    ("graded", "pairs", "lengths"),
-    f"""SELECT p.pair_id, g.too_long, {", ".join(f"coalesce(n{i}, 0) AS n{i}" for i in range(6))}
-    FROM pairs p JOIN lengths g ON g.pair_id = p.pair_id LEFT JOIN (SELECT pair_id,
-      {", ".join(f"count(*) FILTER (is_cyr AND level = '{lv}') AS n{i}"
-                 for i, lv in enumerate(LEVELS))}
-      FROM graded GROUP BY pair_id) c ON c.pair_id = p.pair_id""",
+def _grading_tables(s: str) -> None:
+    """Levels of the phrases with suffix `s`."""
+    TABLES[f"graded{s}"] = (
+        (f"phrases{s}", "lexicon"),
+        f"""SELECT p.*, coalesce(l.level, 'Unknown') AS level, {cyrillic('p.token')} AS is_cyr
+        FROM phrases{s} p LEFT JOIN lexicon l ON l.word = {strip_lower('p.token')}""",
+    )
+    _N = [f"coalesce(n{i}, 0)" for i in range(6)]
+    _KNOWN = "(" + "+".join(_N) + ")"
+    TABLES[f"level_counts{s}"] = (
+        (f"graded{s}", "pairs", f"lengths{s}"),
+        f"""SELECT p.pair_id, g.too_long, {", ".join(f"coalesce(n{i}, 0) AS n{i}" for i in range(6))}
+        FROM pairs p JOIN lengths{s} g ON g.pair_id = p.pair_id LEFT JOIN (SELECT pair_id,
+          {", ".join(f"count(*) FILTER (is_cyr AND level = '{lv}') AS n{i}"
+                     for i, lv in enumerate(LEVELS))}
+          FROM graded{s} GROUP BY pair_id) c ON c.pair_id = p.pair_id""",
+    )
+    TABLES[f"shares{s}"] = (
+        (f"level_counts{s}",),
+        f"""SELECT pair_id, too_long, known, [{", ".join(
+            f"CASE WHEN known > 0 THEN n{i}::DOUBLE / known ELSE 0 END" for i in range(6))}] AS dist
+        FROM (SELECT *, {"+".join(f"n{i}" for i in range(6))} AS known FROM level_counts{s})""",
+    )
+    TABLES[f"levels{s}"] = (
+        (f"shares{s}",),
+        f"""SELECT *, CASE WHEN known > 0 THEN {LEVEL_LIST}[round_even(0.0::DOUBLE + {" + ".join(
+            f"{i}.0::DOUBLE * dist[{i + 1}]" for i in range(6))}, 0)::INT + 1]
+            ELSE 'Unknown' END AS level FROM shares{s}""",
+    )
+
+
+_grading_tables("")
+TABLES["translated"] = (
+    ("pairs",),
+    """SELECT p.pair_id, p.kaz, CASE WHEN p.role = 'user' THEN p.rus ELSE d.tgt END AS rus,
+      coalesce(p.role, '') <> 'user' AS translation_used
+    FROM pairs p JOIN (SELECT kaz, arg_min(rus, pair_id) AS tgt FROM pairs GROUP BY kaz) d ON d.kaz = p.kaz""",
 )
-TABLES["shares"] = (
-    ("level_counts",),
-    f"""SELECT pair_id, too_long, known, [{", ".join(
-        f"CASE WHEN known > 0 THEN n{i}::DOUBLE / known ELSE 0 END" for i in range(6))}] AS dist
-    FROM (SELECT *, {"+".join(f"n{i}" for i in range(6))} AS known FROM level_counts)""",
+TABLES["translated_lists"] = (
+    ("translated",),
+    f"""SELECT pair_id, 'kaz' AS side, {words('kaz')} AS w FROM translated
+    UNION ALL SELECT pair_id, 'rus', {words('rus')} FROM translated""",
 )
-TABLES["levels"] = (
-    ("shares",),
-    f"""SELECT *, CASE WHEN known > 0 THEN {LEVEL_LIST}[round_even(0.0::DOUBLE + {" + ".join(
-        f"{i}.0::DOUBLE * dist[{i + 1}]" for i in range(6))}, 0)::INT + 1]
-        ELSE 'Unknown' END AS level FROM shares""",
+TABLES["translated_tokens"] = (
+    ("translated",),
+    f"""SELECT pair_id, unnest(range(len(w))) AS word_idx, unnest(w) AS token
+    FROM (SELECT pair_id, {words('rus')} AS w FROM translated)""",
 )
+_alignment_tables("_tr", "translated_lists")
+_grading_tables("_tr")
 TABLES["word_rows"] = (
     ("graded", "word_lists"),
     """SELECT g.pair_id, w.w[kz + 1] AS kazakh_token, token AS russian_token, kz AS kazakh_index,

@@ -99,11 +99,16 @@ def find_words(
 
 
 def ensemble(texts: DataFrame, sentence_probs: DataFrame, weight: float = 0.6) -> DataFrame:
-    """Blend lexicon distributions with a sentence model's, both keyed by pair_id."""
+    """Blend lexicon distributions with a sentence model's, both keyed by pair_id.
+
+    What else the graded texts carry (translation, word alignments) stays in the row.
+    """
     joined = texts.join(sentence_probs, "pair_id", "left")
+    others = [c for c in texts.columns if c not in ("pair_id", "distribution", "average_level")]
     zeros = F.array(*[F.lit(0.0) for _ in LEVELS])
     mixed = joined.select(
         "pair_id",
+        *others,
         F.col("distribution").alias("kazakh_distribution"),
         F.coalesce("probs", zeros).alias("russian_distribution"),
     ).select(
@@ -119,4 +124,5 @@ def ensemble(texts: DataFrame, sentence_probs: DataFrame, weight: float = 0.6) -
         "probabilities",
         "kazakh_distribution",
         "russian_distribution",
+        *others,
     )

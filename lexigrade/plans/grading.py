@@ -23,26 +23,36 @@ def with_translation(
 ) -> DataFrame:
     """Fill `rus` (the given translation) from (src_text, tgt_text) where it is empty.
 
-    Texts are matched through a 128-bit digest, so the shuffle of the look-up moves ids
-    and digests, not texts; a source copied many times is spread over several tasks.
-    Adds `translation_used`.
+    The translations found are looked up for (row key, digest) alone, by a 128-bit digest of
+    the source, and joined to the texts by the row key; a source copied many times is spread
+    over several tasks. Of repeated sources the smallest target is taken. Adds
+    `translation_used`.
     """
     given = F.col("rus")
     has_given = F.coalesce(given != "", F.lit(False))
-    lookup = translations.select(
-        F.md5(F.col("src_text").cast("binary")).alias("_digest"), F.col("tgt_text").alias("_tgt")
+    lookup = translations.groupBy(F.md5(F.col("src_text").cast("binary")).alias("_digest")).agg(
+        F.min("tgt_text").alias("_tgt")
     )
-    keyed = texts.withColumn(
-        "_digest", F.when(~has_given, F.md5(F.col("kaz").cast("binary")))
+    asked = texts.where(~has_given).select(
+        *row_key, F.md5(F.coalesce("kaz", F.lit("")).cast("binary")).alias("_digest")
     )
-    found = lookup_join(keyed, lookup, "_digest", row_key=row_key, **bounds)
-    return found.select(
+    found = lookup_join(asked, lookup, "_digest", row_key=row_key, **bounds).drop("_digest")
+    return texts.join(found, row_key, "left").select(
         *[c for c in texts.columns if c != "rus"],
         F.when(has_given, given).otherwise(F.coalesce("_tgt", F.lit(""))).alias("rus"),
         (~has_given).alias("translation_used"),
     )
 
 
+def translated(texts: DataFrame, translations: DataFrame | None, **bounds) -> DataFrame:
+    """`texts` (pair_id, kaz, rus) with every `rus` filled; without a table they are as given."""
+    if translations is None:
+        return texts.withColumns(
+            {"rus": F.coalesce("rus", F.lit("")), "translation_used": F.lit(False)}
+        )
+    return with_translation(texts, translations, ["pair_id"], **bounds)
+
+
 def aligned_phrases(
     pairs: DataFrame, encode: Encoder, threshold: float = align.LINK_THRESHOLD
 ) -> DataFrame:
@@ -70,12 +80,15 @@ def grade_texts(
     lexicon: DataFrame,
     encode: Encoder,
     threshold: float = align.LINK_THRESHOLD,
+    translations: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per text: shares per level, average level, word alignments.
+    """One row per text: its translation, shares per level, average level, word alignments.
 
-    Texts too long for the encoder keep a flagged row without a level.
+    A text without a given translation takes it from `translations`. Texts too long for the
+    encoder keep a flagged row without a level.
     """
-    phrases = graded_phrases(aligned_phrases(pairs, encode, threshold), lexicon)
+    texts = translated(pairs, translations)
+    phrases = graded_phrases(aligned_phrases(texts, encode, threshold), lexicon)
     alignment = F.struct(
         "russian_index", "kazakh_span", "kazakh_phrase", "russian_token", "level"
     )
@@ -84,6 +97,8 @@ def grade_texts(
         ["pair_id"],
         extra=(
             F.first("too_long").alias("too_long"),
+            F.first("rus").alias("rus"),
+            F.first("translation_used").alias("translation_used"),
             F.sort_array(
                 F.collect_list(F.when(F.col("russian_index").isNotNull(), alignment))
             ).alias("phrase_alignments"),
@@ -96,10 +111,11 @@ def text_levels(
     lexicon: DataFrame,
     encode: Encoder,
     threshold: float = align.LINK_THRESHOLD,
+    translations: DataFrame | None = None,
 ) -> DataFrame:
-    """(pair_id, too_long, cefr_level, confidence, distribution) per text."""
+    """(pair_id, rus, translation_used, too_long, cefr_level, confidence, distribution) per text."""
     return scoring.text_report(
-        grade_texts(pairs, lexicon, encode, threshold).drop("phrase_alignments")
+        grade_texts(pairs, lexicon, encode, threshold, translations).drop("phrase_alignments")
     )
 
 
@@ -137,19 +153,24 @@ def word_levels_of(
     return lookup_join(keyed, table, "_word", row_key=row_key, **bounds).drop("_word")
 
 
-def word_report(texts: DataFrame, word_probs: DataFrame, **bounds) -> DataFrame:
-    """Per text (pair_id, rus): its words in order, each with level and probability.
+def word_report(
+    texts: DataFrame, word_probs: DataFrame, translations: DataFrame | None = None, **bounds
+) -> DataFrame:
+    """Per text (pair_id, kaz, rus): its translation's words in order, each with level and probability.
 
     A text whose translation has no words keeps a row flagged `no_tokens`.
     """
-    scored = word_predictions(texts, word_probs, "pair_id", "rus", **bounds)
+    ready = translated(texts, translations, **bounds)
+    scored = word_predictions(ready, word_probs, "pair_id", "rus", **bounds)
     folded = scored.groupBy("pair_id").agg(
         F.sort_array(
             F.collect_list(F.struct("pos", "word", "level", "probability", "probs"))
         ).alias("words")
     )
-    return texts.select("pair_id").join(folded, "pair_id", "left").select(
+    return ready.select("pair_id", "rus", "translation_used").join(folded, "pair_id", "left").select(
         "pair_id",
+        "rus",
+        "translation_used",
         F.col("words").isNull().alias("no_tokens"),
         "words",
     )
