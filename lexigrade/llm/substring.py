@@ -71,22 +71,19 @@ def chunk_rows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     begins[1:] &= space[:-1]
     begins[offsets[:-1][np.diff(offsets) > 0]] = ~space[offsets[:-1][np.diff(offsets) > 0]]
     total = np.concatenate([[0], np.cumsum(begins)])
-    order = np.lexsort((starts, digests, doc))
-    again = np.zeros(len(ends), bool)
-    again[order[1:]] = (doc[order[1:]] == doc[order[:-1]]) & (digests[order[1:]] == digests[order[:-1]])
-    place = (starts - offsets[doc]) << 28 | (ends - starts) << 14 | (total[ends] - total[starts]) << 1 | again
+    place = (starts - offsets[doc]) << 28 | (ends - starts) << 14 | (total[ends] - total[starts]) << 1
     return pa.RecordBatch.from_arrays(
         [batch.column("row").take(pa.array(doc)), pa.array(place), pa.array(digests.view(np.int64))], names=["row", "chunk", "digest"]
     )
 
 
 def unpack(chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start and length in bytes of the text, words, and whether the chunk stands elsewhere earlier."""
+    """Start and length in bytes of the text, words, and whether the chunk stands in an earlier row."""
     return chunk >> 28, chunk >> 14 & 0x3FFF, chunk >> 1 & 0x1FFF, (chunk & 1).astype(bool)
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """Chunks of `docs` (row, text); the last bit of `chunk` says that its text holds it earlier."""
+    """Chunks of `docs` (row, text); the last bit of `chunk` is free."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text", 1 << 20):
@@ -119,8 +116,8 @@ def passages(chunk: np.ndarray, min_words: int) -> tuple[bool, list[tuple[int, i
 def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Every row of `docs` (doc_id, text) as doc_id, text, repeated, n_removed, spans.
 
-    `text` is without the passages that come earlier, in a row before or in the text itself;
-    `repeated` says that a passage of the row also stands elsewhere, or twice in it;
+    `text` is without the passages that come in a row before; `repeated` says that a passage of
+    the row also stands in another; what only recurs inside one text is left alone.
     `n_removed` counts bytes and `spans` are their byte ranges (start, end) in UTF-8. Of equal
     texts all but the first are emptied. Null counts as empty. Rows are numbered in input
     order, so `docs` must be a plan that returns the same rows in the same order when read
@@ -134,8 +131,8 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.monotonically_increasing_id().alias("row"), docs["doc_id"], F.coalesce(docs["text"], F.lit("")).alias("text")
     )
     found = cut(chunks(rows.select("row", "text")))
-    counted = found.groupBy("digest").agg(F.min("row").alias("owner"), F.count("*").alias("n"))
-    recurring = cut(counted.where("n > 1").select("digest", "owner"))
+    counted = found.groupBy("digest").agg(F.min("row").alias("owner"), F.max("row").alias("last"))
+    recurring = cut(counted.where("last > owner").select("digest", "owner"))
     earlier = (F.col("row") != F.col("owner")).cast("long")
     marked = found.join(recurring, "digest").select("row", F.col("chunk").bitwiseOR(earlier).alias("chunk"))
     by_row = marked.groupBy("row").agg(F.collect_list("chunk").alias("found"))
