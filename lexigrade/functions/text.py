@@ -22,8 +22,8 @@ WHITESPACE = (
 )
 
 # Letters accepted in a Cyrillic word (Russian alphabet plus the
-# Kazakh letters of the reference alphabet; U+049B is deliberately not among
-# them) and the vowels that form syllables.
+# Kazakh letters beyond it; U+049B is deliberately not among them) and the vowels
+# that form syllables.
 CYRILLIC_LETTERS = "а-яёіїңғүұәөһ"
 VOWELS = "аеёиоуыэюя"
 
@@ -99,9 +99,8 @@ def is_cyrillic(token: Column, letters: str = CYRILLIC_LETTERS) -> Column:
 def is_informative(token: Column, letters: str = CYRILLIC_LETTERS) -> Column:
     """Token worth keeping as evidence.
 
-    The reference first rejects empty, symbol-only and digit-led tokens and then
-    asks for a Cyrillic word. Every Cyrillic word starts with a letter, so the
-    first test can never reject what the second accepts.
+    Empty, symbol-only and digit-led tokens are not, and it has to be a Cyrillic
+    word. Every Cyrillic word starts with a letter, so the second test says it all.
     """
     return is_cyrillic(token, letters)
 
