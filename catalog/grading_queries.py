@@ -13,6 +13,7 @@ from lexigrade.operators import scoring
 from lexigrade.operators.lexicon import build_lexicon
 from lexigrade.operators.word_model import score_words, word_predictions
 from lexigrade.plans import grading
+from lexigrade.session import materialise
 
 SHARES = [f"share_{level.lower()}" for level in LEVELS]
 SHARES_SQL = ", ".join(f"round(dist[{i + 1}], 6) AS {n}" for i, n in enumerate(SHARES))
@@ -154,7 +155,7 @@ def word_level(spark, sf_dir):
     asked = _pairs(spark, sf_dir).select(
         "pair_id", F.explode(F.array_distinct(t.words(_capitals("kaz")))).alias("word")
     )
-    graded = _graded_phrases(spark, sf_dir)
+    graded = materialise(_graded_phrases(spark, sf_dir))  # read for the texts and for their words
     texts = scoring.distribution_per(graded, ["pair_id"])
     found = scoring.find_words(asked, scoring.word_alignments(graded), texts)
     return found.select(
