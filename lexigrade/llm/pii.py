@@ -3,6 +3,9 @@
 A value becomes a number below the size of its format, a keyed Feistel network permutes that
 range, and the result is written back in the same format. Equal values get equal pseudonyms
 in every document, different values different ones, and who has the key can go back.
+
+Digits of any script count by their value: a number in Arabic-Indic, Devanagari or full-width
+digits is the number that 0-9 would write, and its pseudonym is written in its own script.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ import datetime as dt
 import hashlib
 import math
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -216,14 +220,31 @@ KINDS: list[tuple[str, re.Pattern, Swap]] = [
     ("ipv4", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"), _address),
 ]
 _DIGIT_OR_SIGN = re.compile(r"[0-9@]|(?i:token|secret|passw|key)")
+#: Decimal digits other than 0-9.
+_OTHER_DIGIT = re.compile(r"[^\D0-9]")
+
+
+def in_script(new: str, old: str) -> str:
+    """`new` with its digits in the script of `old`, place by place where both have as many digits.
+
+    A value that gets another number of digits (a date, an address) is written in the script of the first.
+    """
+    zeros = [ord(c) - unicodedata.decimal(c) for c in old if c.isdecimal()]
+    digits = sum(map(str.isdecimal, new))
+    if digits != len(zeros):
+        zeros = zeros[:1] * digits
+    source = iter(zeros)
+    return "".join(chr(next(source) + int(c)) if c.isdecimal() else c for c in new)
 
 
 def pseudonymise(text: str, cipher: Feistel, inverse: bool = False) -> tuple[str, list[str]]:
     """The text with every validated value replaced, and the kinds replaced in text order."""
-    if not _DIGIT_OR_SIGN.search(text):
+    # As many characters as the text, so places hold in both.
+    rest = text if text.isascii() else _OTHER_DIGIT.sub(lambda m: str(unicodedata.decimal(m[0])), text)
+    if not _DIGIT_OR_SIGN.search(rest):
         return text, []
+    other = rest != text
     taken: list[tuple[int, int, str, str]] = []
-    rest = text
     for kind, pattern, swap in KINDS:
         mine = []
         m = pattern.search(rest)
@@ -242,7 +263,7 @@ def pseudonymise(text: str, cipher: Feistel, inverse: bool = False) -> tuple[str
             taken += mine
     out, at = [], 0
     for start, end, _, new in sorted(taken):
-        out += [text[at:start], new]
+        out += [text[at:start], in_script(new, text[start:end]) if other else new]
         at = end
     return "".join([*out, text[at:]]), [kind for _, _, kind, _ in sorted(taken)]
 
@@ -251,7 +272,8 @@ def protect(docs: DataFrame, key: bytes, inverse: bool = False) -> DataFrame:
     """Every row of `docs` (doc_id, text) as doc_id, text, n_found, kinds (sorted and distinct).
 
     `inverse` goes back with the same key: every number returns as it was, every date as the
-    same day (a day or month that was written with one digit may return with two). Whole texts, no shuffle, nothing kept between rows:
+    same day (a day or month that was written with one digit may return with two; a date or an
+    address that mixed digits of several scripts may return in one of them). Whole texts, no shuffle, nothing kept between rows:
     the pseudonym of a value depends on the key and the value alone. A null text stays null;
     other columns of `docs` are not read.
     """

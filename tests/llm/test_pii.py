@@ -76,3 +76,39 @@ def test_odd_rows(spark):
     assert [(r["doc_id"], r["n_found"]) for r in got] == [(1, 0), (None, 0), (2, 1), (2, 1)]
     assert got[0]["text"] is None and got[1]["text"] == "" and got[2] == got[3]
     assert pii.protect(docs.limit(0), b"k").count() == 0
+
+
+SCRIPTS = {"Arabic-Indic": 0x660, "Persian": 0x6F0, "Devanagari": 0x966, "full-width": 0xFF10, "mathematical": 0x1D7CE}
+
+
+@pytest.mark.parametrize("zero", SCRIPTS.values(), ids=SCRIPTS)
+@pytest.mark.parametrize("beside", ["", "page 7, "])
+@pytest.mark.parametrize(
+    ("value", "kind"),
+    [("555-839-1234", "phone"), ("+44 20 7946 0958", "phone"), ("4111111111111111", "card"), ("123-45-6789", "social"),
+     ("1980-02-28", "date"), ("May 4th, 1990", "date"), ("10.0.200.7", "ipv4"), ("GB82 WEST 1234 5698 7654 32", "iban")],
+)
+def test_digits_of_every_script(zero, beside, value, kind):
+    def written(text):
+        return re.sub("[0-9]", lambda m: chr(zero + int(m[0])), text)
+
+    text = f"{beside}é {written(value)}!"
+    new, kinds = pii.pseudonymise(text, CIPHER)
+    assert kinds == [kind]
+    # The number's own pseudonym, in the number's own script.
+    assert new == f"{beside}é {written(pii.pseudonymise(value, CIPHER)[0])}!"
+    back = pii.pseudonymise(new, CIPHER, inverse=True)[0]
+    assert back == text
+
+
+def test_a_number_in_two_scripts():
+    text = "call \u0661\u0662\u0663-456-789\uff10 now"
+    new, kinds = pii.pseudonymise(text, CIPHER)
+    assert kinds == ["phone"] and re.fullmatch(r"call [\u0660-\u0669]{3}-[0-9]{3}-[0-9]{3}[\uff10-\uff19] now", new)
+    assert pii.pseudonymise(new, CIPHER, inverse=True) == (text, kinds)
+
+
+def test_rows_in_other_digits(spark):
+    rows = [(1, "see 7: \u0665\u0665\u0665-\u0668\u0663\u0669-\u0661\u0662\u0663\u0664"), (2, "x\u00b2 and 1980-02-28")]
+    got = pii.protect(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()
+    assert [r["kinds"] for r in got] == [["phone"], ["date"]]
