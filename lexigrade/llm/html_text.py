@@ -5,8 +5,9 @@ The standard library's parser streams a page once. Every block element begins a
 characters inside links and its tags. Text that markup itself marks as something else
 (menus, forms, scripts, notices, comments of readers ...) is set aside while parsing. The
 ratios of text to tags are smoothed over the neighbouring lines and parted in two clusters;
-the content regions are the lines above the threshold, together with what an article element
-holds where the page declares one.
+the content regions are the lines above the threshold, or all that an article element
+holds where the page declares one. Left-out end tags cost no text: what can't stand in a head ends
+it, and an element that is never closed sets nothing aside from the article on.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ BLOCKS = {
     "hr", "html", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "td",
     "tfoot", "th", "thead", "title", "tr", "ul",
 }
+#: What a head may hold; anything else ends it, but inside the elements that need their own end tag.
+IN_HEAD = {"html", "head", "base", "basefont", "bgsound", "link", "meta", "title", "noscript", "noframes", "style", "script", "template"}
+CLOSED_BY_HAND = {"title", "noscript", "noframes", "template"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 # Words of class, id and role that name parts beside the article.
 BESIDE = {
@@ -48,6 +52,8 @@ BESIDE = {
     "complementary", "alertdialog", "dialog", "tablist",
 }
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar", "tablist"}
+#: Blocks that stand beside others of their kind in the element that holds an article.
+PARAGRAPHS = {"p", "pre"}
 #: A class like `has-sidebar` speaks of another element.
 ABOUT = {"has", "with", "no", "without"}
 _PARTS = re.compile(r"[a-z0-9]+|[A-Z][a-z0-9]*")
@@ -57,19 +63,57 @@ SIGMA = 1.0
 
 
 class Lines(HTMLParser):
-    """Streams one page into lines: [text parts, characters in links, tags, in article, heading]."""
+    """Streams one page into lines: [text parts, characters in links, tags, in article, heading, block].
 
-    def __init__(self) -> None:
+    Elements and blocks are known by their number in page order, -1 is the page. `void` are those that
+    set nothing aside once an article begins: see `unclosed`.
+    """
+
+    def __init__(self, void: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[list] = [[[], 0, 1, False, False]]
-        self.open: list[tuple[str, bool]] = []  # element, whether its content is set aside
-        self.aside = self.article = self.link = self.heading = self.articles = 0
+        self.lines: list[list] = [[[], 0, 1, False, False, -1]]
+        self.open: list[tuple[str, bool, int]] = []  # element, whether its content is set aside, number
+        self.kinds: list[str] = []
+        self.within: list[int] = []  # the block around each element
+        self.aside = self.article = self.link = self.heading = 0
+        self.void, self.shown = void, False
+        self.around: set[int] = set()  # elements that set an article aside
+        self.shut: set[int] = set()  # elements set aside that have their end tag
+
+    def unclosed(self) -> frozenset[int]:
+        """Elements that set an article aside and never end."""
+        return frozenset(self.around - self.shut)
 
     def _line(self) -> None:
         if self.lines[-1][0]:
-            self.lines.append([[], 0, 1, False, False])
+            self.lines.append([[], 0, 1, False, False, -1])
+
+    def _block(self) -> int:
+        if not self.open:
+            return -1
+        tag, _, number = self.open[-1]
+        return number if tag in BLOCKS else self.within[number]
+
+    def _end_head(self, tag: str) -> None:
+        """`tag` begins: an open head ends before what it can't hold."""
+        for k, (name, _, _) in enumerate(self.open[:3]):
+            if name == "head":
+                if tag == "body" or not any(inner in CLOSED_BY_HAND for inner, _, _ in self.open[k + 1 :]):
+                    self._close(k)
+                return
+
+    def _show(self) -> None:
+        """The page's article begins: what never ends doesn't set it aside."""
+        for k, (tag, beside, number) in enumerate(self.open):
+            if beside and number in self.void:
+                self.open[k] = (tag, False, number)
+                self.aside -= 1
+            elif beside:
+                self.around.add(number)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in IN_HEAD:
+            self._end_head(tag)
         if tag in BLOCKS:
             self._line()
         self.lines[-1][2] += 1
@@ -78,7 +122,14 @@ class Lines(HTMLParser):
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
             self._close_implied(tag)
         beside = tag in DROPPED or (tag not in ("html", "body", "main") and named_beside(attrs))
-        self.open.append((tag, beside))
+        if tag in ("article", "main") and not beside and not self.shown:
+            if self.aside:
+                self._show()
+            self.shown = tag == "article" and not self.aside
+        block = self._block()
+        self.open.append((tag, beside, len(self.kinds)))
+        self.kinds.append(tag)
+        self.within.append(block)
         self._count(tag, beside, 1)
 
     def _count(self, tag: str, beside: bool, by: int) -> None:
@@ -87,7 +138,6 @@ class Lines(HTMLParser):
         self.heading += by * (tag in HEADINGS)
         if tag in ("article", "main"):
             self.article += by
-            self.articles += by > 0
 
     def _close_implied(self, tag: str) -> None:
         """A block of one kind ends its open sibling: `<p>` after `<p>`, `<li>` after `<li>`."""
@@ -101,7 +151,7 @@ class Lines(HTMLParser):
                 return
 
     def _close(self, k: int) -> None:
-        for name, beside in reversed(self.open[k:]):
+        for name, beside, _ in reversed(self.open[k:]):
             self._count(name, beside, -1)
         del self.open[k:]
 
@@ -116,17 +166,23 @@ class Lines(HTMLParser):
         self.lines[-1][2] += 1
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
+                if self.open[k][1]:
+                    self.shut.add(self.open[k][2])
                 self._close(k)
                 break
         if tag in BLOCKS:
             self._line()
 
     def handle_data(self, data: str) -> None:
+        if self.aside and self.open[-1][0] == "head" and not data.isspace():
+            self._end_head("")
         if self.aside or not data:
             return
         line = self.lines[-1]
         if not line[0] and data.isspace():
             return
+        if not line[0]:
+            line[5] = self._block()
         line[0].append(data)
         if self.link:
             line[1] += len(data)
@@ -186,25 +242,50 @@ def extract(html: str) -> str:
     parser = Lines()
     parser.feed(html)
     parser.close()
+    if parser.unclosed():
+        parser = Lines(parser.unclosed())
+        parser.feed(html)
+        parser.close()
     lines = [(t, *line[1:]) for line in parser.lines if (t := _SPACE.sub(" ", "".join(line[0])).strip())]
     if not lines:
         return ""
-    own = [math.log1p(max(len(t) - linked, 0) / tags) for t, linked, tags, _, _ in lines]
+    own = [math.log1p(max(len(t) - linked, 0) / tags) for t, linked, tags, *_ in lines]
     ratios = smooth(own)
     bar = threshold(ratios)
-    links = [2 * linked > len(text) for text, linked, _, _, _ in lines]
+    links = [2 * linked > len(text) for text, linked, *_ in lines]
     if any(line[3] for line in lines):
-        # The article is declared: all its lines belong to the content, but link lists.
-        kept = [line[3] and not (link and ratio < bar) for line, link, ratio in zip(lines, links, ratios)]
+        # The article is declared: all its lines belong to the content, lists of links too.
+        kept = [line[3] for line in lines]
     else:
         # A region begins and ends with a line above the bar before and after smoothing.
         kept = [min(ratio, mine) >= bar and not link for ratio, mine, link in zip(ratios, own, links)]
         if any(kept):
-            # It takes in what lies between, and the headings before it.
+            # It takes in what lies between, the paragraphs beside its own in the same element, and
+            # the headings before it. Linked lines belong to it where they lie between in such an element.
             first, last = kept.index(True), len(kept) - 1 - kept[::-1].index(True)
+            blocks = [line[5] for line in lines]
+            kinds = ["" if b < 0 else parser.kinds[b] for b in blocks]
+            homes = [parser.within[b] if kind in PARAGRAPHS or kind in HEADINGS else b for b, kind in zip(blocks, kinds)]
+            own_homes = {home for home, core in zip(homes, kept) if core}
+            inside = {-1: -1 in own_homes}
+
+            def at_home(block: int) -> bool:
+                path = []
+                while block not in inside and block not in own_homes:
+                    path.append(block)
+                    block = parser.within[block]
+                found = block in own_homes or inside[block]
+                inside.update(dict.fromkeys(path, found))
+                return found
+
+            kept = [
+                (not link or at_home(block)) if first <= k <= last else kind in PARAGRAPHS and not link and home in own_homes
+                for k, (link, block, kind, home) in enumerate(zip(links, blocks, kinds, homes))
+            ]
+            first = kept.index(True)
             while first and lines[first - 1][4] and not links[first - 1]:
                 first -= 1
-            kept = [first <= k <= last and not link for k, link in enumerate(links)]
+                kept[first] = True
         else:
             kept = [ratio >= bar and not link for ratio, link in zip(ratios, links)]
     return " ".join(line[0] for line, keep in zip(lines, kept) if keep)
@@ -214,7 +295,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     """Every row of `pages` (page_id, url, html) as page_id, url, text, n_chars.
 
     Whole pages, one task each for its rows and no shuffle. Null or empty html gives the empty
-    text, as does a page whose text is all beside the article; broken markup is read as far
+    text, as does a page whose text is all beside the article. A declared article is kept whole but for what
+    markup sets aside in it; broken markup is read as far
     as the parser can. Other columns are not read.
     """
 

@@ -55,3 +55,35 @@ def test_odd_rows(spark):
     got = html_text.main_text(pages.selectExpr("*", "1 as text", "2 as n_chars")).collect()
     assert [(r["page_id"], r["text"], r["n_chars"]) for r in got] == [(1, "", 0), (None, "", 0), (2, "é", 1)]
     assert html_text.main_text(pages.limit(0)).count() == 0
+
+
+HEAD = "<!doctype html><html><head><meta charset=utf-8><title>A page</title><link rel=x href=y>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        # No </head>: the body, a flow element or text ends it.
+        (f"{HEAD}<body><article><p>{LONG}</p></article></body></html>", LONG.strip()),
+        (f"{HEAD}<article><p>{LONG}</p></article>", LONG.strip()),
+        (f"{HEAD}<noscript><img src=x>Turn it on</noscript><style>p</style><p>{LONG}</p><p>{LONG}</p>", f"{LONG}{LONG.strip()}"),
+        (f"{HEAD} {LONG}", LONG.strip()),
+        (f"<head><title>a <div> b</title></head><article><p>{LONG}</p></article>", LONG.strip()),
+        # Set aside and never closed: up to the article only.
+        (f"<body><nav><a href=x>Home</a> menu<article><p>{LONG}</p><nav>more</nav></article></body>", LONG.strip()),
+        (f"<body><label>Search<main><div class=menu>m</div><article><p>{LONG}</p></article></main></body>", LONG.strip()),
+        (f"<body><main><ul class=menu><li>m<article><p>{LONG}</p></article></main></body>", LONG.strip()),
+        # Closed after a teaser: set aside whole.
+        (f"<body><aside><article><p>Teaser</p></article></aside><label>x<article><p>{LONG}</p></article></body>", LONG.strip()),
+        (f"<body><article><p>{LONG}</p></article><div class=comments><article><p>{LONG}</p></article>", LONG.strip()),
+        # Lists of links in a declared article stay.
+        (f"<article><p>{LONG}</p>" + "<ul>" + "<li><a href=x>One work</a></li><li><a href=y>Two</a></li>" * 3 + "</ul></article>",
+         f"{LONG}{'One work Two ' * 3}".strip()),
+        # No article declared: short paragraphs around the region, linked lines within it.
+        (f"<body><div><a href=x>Home</a></div><div><p>Berlin.</p><p>{LONG}</p><p><a href=x>See the report</a></p><ul><li><a href=y>Two</a></li></ul>"
+         f"<p>{LONG}</p><p>The end.</p></div><div>Terms</div></body>", f"Berlin. {LONG}See the report Two {LONG}The end."),
+        (f"<body><p>{LONG}</p><h2>Head</h2><p>{LONG}</p><p><a href=x>Next page</a></p><div><p>Imprint</p></div></body>", f"{LONG}Head {LONG.strip()}"),
+    ],
+)
+def test_left_out_end_tags_links_and_undeclared_articles(page, want):
+    assert html_text.extract(page) == want
