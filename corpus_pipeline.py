@@ -1,8 +1,8 @@
 """A corpus in five stages: language, exact copies, near copies, benchmark passages, packing.
 
 Each stage takes all documents that the one before kept, written as Parquet and read again;
-all but the last return the columns of documents. Rows are told apart by their place in that
-written copy, so repeated or missing ids lose nothing.
+all but the last return the columns of documents. Rows are told apart by numbers
+that are written with them once, so repeated or missing ids lose nothing.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """A written copy of `docs` with a number for each row: another scan of `docs` may number them otherwise."""
     row = free_name(docs, "row_in_stage")
-    return docs.withColumn(row, F.monotonically_increasing_id()), row
+    return cut(docs.withColumn(row, F.monotonically_increasing_id()), "zstd"), row
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
     rows, row = numbered(docs)
-    dropped = exact.deduplicate(docs.select("doc_id", "text")).where(~F.col("kept")).select(F.col("row").alias(row))
+    dropped = exact.deduplicate(rows.select(row, "doc_id", "text"), row).where(~F.col("kept")).select(F.col("row").alias(row))
     return rows.join(dropped, row, "left_anti").select(*docs.columns)
 
 

@@ -20,17 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Write `df` as Parquet under the shared checkpoint folder and go on from the copy.
 
     Lost executors then cost a re-read instead of a recomputation, and a value that depends
     on how rows were dealt out (a row number) is fixed for every later reader. The copies of
-    an application stay until its checkpoint folder is purged.
+    an application stay until its checkpoint folder is purged. `codec` is the session's unless given.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -22,18 +22,21 @@ def chunks(text: Column, shortest: int = SHORTEST, longest: int = LONGEST, ends:
     return F.regexp_extract_all(text, F.lit(rf"(?s).{{{shortest},{longest}}}?(?:{ends})|.{{1,{longest}}}"), F.lit(0))
 
 
-def recipes(docs: DataFrame) -> DataFrame:
+def recipes(docs: DataFrame, row: str | None = None) -> DataFrame:
     """One row per row of `docs`: row, doc_id, text_sha256, chunks as (key, check), written once.
 
-    `key` is a 64-bit hash and `check` the SHA-256 of the chunk.
+    `key` is a 64-bit hash and `check` the SHA-256 of the chunk. Rows are numbered here unless
+    the column `row` has their numbers.
     """
-    read = docs.select(docs["doc_id"], lower_ascii(docs["text"]).alias("text"))
+    number = F.monotonically_increasing_id() if row is None else F.col("row")
+    given = [] if row is None else [docs[row].alias("row")]
+    read = docs.select(docs["doc_id"], lower_ascii(docs["text"]).alias("text"), *given)
     digest = F.transform(
         chunks(F.col("text")), lambda c: F.struct(F.xxhash64(c).alias("key"), F.unhex(F.sha2(c, 256)).alias("check"))
     )
     return cut(
         read.select(
-            F.monotonically_increasing_id().alias("row"),
+            number.alias("row"),
             "doc_id",
             F.sha2(F.col("text"), 256).alias("text_sha256"),
             digest.alias("chunks"),
@@ -47,16 +50,18 @@ def identifiers(occurrences: DataFrame) -> DataFrame:
     return distinct.select("key", "check", F.row_number().over(Window.partitionBy("key").orderBy("check")).alias("nth"))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, row: str | None = None) -> DataFrame:
     """Groups of equal texts (identical after lower-casing A-Z): one row per row of `docs`.
 
     Columns: row, doc_id, keep_id, group_size, kept, text_sha256. Of equal texts the row with
     the largest doc_id stays; of repeated rows with that id the first in input order; a null
     id is smaller than any. Null text counts as empty, and empty texts are a group. Any other
     column is ignored. An empty table gives no rows. Chunks and groups of any size are summed
-    before they are shuffled, and joined back by joins that Spark can split.
+    before they are shuffled, and joined back by joins that Spark can split. `row` names a
+    column of unique ascending numbers to use for `row`; a caller that joins the result to `docs`
+    needs it, and reads it from a written copy.
     """
-    written = recipes(docs)
+    written = recipes(docs, row)
     occurrences = written.select("row", F.posexplode("chunks").alias("pos", "chunk")).select(
         "row", "pos", "chunk.key", "chunk.check"
     )

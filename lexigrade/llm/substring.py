@@ -120,17 +120,20 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     the row also stands in another; what only recurs inside one text is left alone.
     `n_removed` counts bytes and `spans` are their byte ranges (start, end) in UTF-8. Of equal
     texts all but the first are emptied. Null counts as empty. Rows are numbered in input
-    order, so `docs` must be a plan that returns the same rows in the same order when read
-    again (a table or a written copy). Other columns are not read.
+    order by one scan and written with their numbers, as a second scan of `docs` may be dealt
+    out otherwise. Other columns are not read.
 
     Two narrow shuffles carry chunk digests (24 bytes for about 30 of text, before they are
     compressed) and one the texts. A digest that recurs in any number of rows is summed before it moves
     and joined back by a join that Spark can split.
     """
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), docs["doc_id"], F.coalesce(docs["text"], F.lit("")).alias("text")
+    rows = cut(
+        docs.select(
+            F.monotonically_increasing_id().alias("row"), docs["doc_id"], F.coalesce(docs["text"], F.lit("")).alias("text")
+        ),
+        "zstd",
     )
-    found = cut(chunks(rows.select("row", "text")))
+    found = cut(chunks(rows.select("row", "text")), "zstd")
     counted = found.groupBy("digest").agg(F.min("row").alias("owner"), F.max("row").alias("last"))
     recurring = cut(counted.where("last > owner").select("digest", "owner"))
     earlier = (F.col("row") != F.col("owner")).cast("long")

@@ -3,7 +3,7 @@ import re
 import corpus_pipeline as pipeline
 from pyspark.sql import functions as F
 
-from lexigrade.llm import packing
+from lexigrade.llm import packing, substring
 from tests.llm.test_packing import check
 from tests.llm.test_simhash import slow_components, slow_print
 
@@ -69,3 +69,50 @@ def test_odd_rows(spark):
     for _, stage in pipeline.STAGES:
         empty = pipeline.cut(stage(spark, empty, SF))
     assert empty.count() == 0
+
+
+def test_rows_keep_their_numbers_when_files_are_packed_otherwise(spark, tmp_path):
+    """Each file a partition while a stage decides, all files one partition when its result is read."""
+    base = "This is a story with many words number"
+    rows = [(i, " ".join(f"{base} {i} {j}" for j in range(8)), "en") for i in range(24)]
+    rows += [(100 + i, rows[i][1], "en") for i in range(0, 24, 3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    apart = {"spark.sql.files.openCostInBytes": str(128 << 20), "spark.sql.files.minPartitionNum": "6"}
+    together = {"spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+
+    def shifted(step):
+        try:
+            for k, v in apart.items():
+                spark.conf.set(k, v)
+            assert docs.rdd.getNumPartitions() == 6
+            result = step()
+            for k, v in together.items():
+                spark.conf.set(k, v)
+            assert spark.read.parquet(str(tmp_path / "docs")).rdd.getNumPartitions() == 1
+            return result.collect()
+        finally:
+            for k in apart:
+                spark.conf.unset(k)
+
+    last = {}
+    for doc, text, _ in sorted(rows):
+        last[text] = doc
+    got = shifted(lambda: pipeline.drop_exact_copies(spark, docs, ""))
+    assert sorted(r["doc_id"] for r in got) == sorted(last.values())
+    first = {}
+    for doc, text, _ in sorted(rows):
+        first.setdefault(text, doc)
+    prints = {doc: slow_print(text) for text, doc in first.items()}
+    root, smallest = slow_components(set(prints.values())), {}
+    for doc in sorted(prints):
+        smallest.setdefault(root[prints[doc]], doc)
+    got = shifted(lambda: pipeline.drop_near_copies(spark, docs, ""))
+    assert sorted(r["doc_id"] for r in got) == sorted(smallest.values())
+    texts = {doc: text for doc, text, _ in rows}
+    for r in shifted(lambda: substring.deduplicate(docs)):
+        data, at, left = texts[r["doc_id"]].encode(), 0, b""
+        for s in r["spans"]:
+            left, at = left + data[at : s["start"]], s["end"]
+        assert (left + data[at:]).decode() == r["text"]
+        assert r["doc_id"] not in (100 + i for i in range(0, 24, 3)) or r["repeated"]
