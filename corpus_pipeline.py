@@ -16,6 +16,8 @@ from lexigrade.llm import decontaminate, exact, language, packing, simhash
 from lexigrade.llm.common import cut, free_name, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Below it a document's predicted language is more likely wrong than right.
+SCORE_FLOOR = 0.5
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -25,11 +27,20 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the documents that name their language; those whose text has no letter are rejected."""
+    """Learns from the documents that name their language and rejects those that it can't place.
+
+    A document goes if its text has no letter, or if its likeliest language has a calibrated
+    probability under `SCORE_FLOOR` and isn't the one it names. Where no document names a
+    language, nothing can be learned and all with a letter stay. Text of a language that no document
+    names may still resemble a known one and pass: a probability is shared among known languages.
+    """
     predicted, score = free_name(docs, "predicted_language"), free_name(docs, "predicted_score")
     model = language.fit(docs.select("text", "lang"))
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = language.predict(docs, model, (predicted, score), keep_text=True)
-    return found.where(F.col(predicted) != language.UNDETERMINED).select(*docs.columns)
+    placed = (F.col(score) >= SCORE_FLOOR) | (F.col(predicted).eqNullSafe(F.col("lang")))
+    return found.where((F.col(predicted) != language.UNDETERMINED) & placed).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -116,3 +116,21 @@ def test_rows_keep_their_numbers_when_files_are_packed_otherwise(spark, tmp_path
             left, at = left + data[at : s["start"]], s["end"]
         assert (left + data[at:]).decode() == r["text"]
         assert r["doc_id"] not in (100 + i for i in range(0, 24, 3)) or r["repeated"]
+
+
+CLEAN = {"en": "the cat and the dog sat on the mat with", "de": "der hund und die katze sind nicht auf dem", "es": "el perro y los gatos est\u00e1n en la mesa con", "fr": "les chiens et le chat sont dans une maison avec"}
+
+
+def test_language_decides(spark):
+    rows = [(i * 4 + k, f"{text} {i}", lang) for i in range(12) for k, (lang, text) in enumerate(CLEAN.items())]
+    clean = {r[0] for r in rows} | {100}
+    rows += [(100, CLEAN["de"], None), (101, "\u0436\u0449\u044d\u044e", None), (102, "12 34", "en"), (103, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    got = {r["doc_id"] for r in pipeline.identify_language(spark, docs, "").collect()}
+    assert got == clean
+
+
+def test_nothing_learned_keeps_lettered_documents(spark):
+    rows = [(1, CLEAN["en"], None), (2, "\u65e5\u672c", None), (3, "12 34", None), (4, None, None), (5, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in pipeline.identify_language(spark, docs, "").collect()} == {1, 2}
