@@ -1,7 +1,8 @@
 """Substring deduplication over content-defined chunks cut by a gear rolling hash.
 
 Words end a chunk where the gear hash of the 16 bytes before says so, whatever stands further
-away, so an insertion moves no cut beyond its own neighbourhood. Chunks are compared by
+away, so an insertion moves no cut beyond its own neighbourhood. Where a stretch has no space
+(Chinese, Japanese, Thai, minified code), characters end chunks by the same hash. Chunks are compared by
 digest; runs of chunks that recur are passages, and a passage stays where it comes first.
 """
 
@@ -19,6 +20,12 @@ from lexigrade.llm.common import bounded, cut, mix64, utf8
 
 #: Of 64 places where a word ends, so many end a chunk: one in five words.
 CUT_OF_64 = 13
+#: Bytes without a space from which on characters may end a chunk too, so that few spaced words are
+#: cut, and of 64 places so many do: a cut in about 32 bytes, of ASCII and of three-byte characters.
+STRETCH = 32
+CUT_OF_64_ASCII, CUT_OF_64_WIDE = 2, 6
+#: Beyond that, so many bytes without a space count as another word.
+WORD_BYTES = 12
 #: Bytes without any cut after which one is forced, at the next character.
 LONGEST = 4096
 #: A run of recurring chunks with so many words is a passage. A passage shared by two texts
@@ -36,7 +43,12 @@ def cuts(raw: np.ndarray, offsets: np.ndarray, cut_of_64: int = CUT_OF_64, longe
         h = h.copy()
         h[k:] += moved
     space = raw <= 0x20
-    ends = np.flatnonzero(space & (((h >> np.uint32(10)) & np.uint32(63)) < cut_of_64)) + 1
+    value = (h >> np.uint32(10)) & np.uint32(63)
+    ends = np.flatnonzero(space & (value < cut_of_64)) + 1
+    bare, _ = unspaced(space, offsets)
+    if len(bare):
+        bare = bare[value[bare] < np.where(raw[bare] < 0x80, CUT_OF_64_ASCII, CUT_OF_64_WIDE)] + 1
+        ends = np.union1d(ends, bare[raw[np.minimum(bare, len(raw) - 1)] & 0xC0 != 0x80])
     # The hash must not look back into the text before: near a beginning there is no cut.
     begin = offsets[np.searchsorted(offsets, ends - 1, side="right") - 1]
     ends = np.union1d(ends[ends - begin >= 16], offsets[1:][np.diff(offsets) > 0])
@@ -56,6 +68,18 @@ def cuts(raw: np.ndarray, offsets: np.ndarray, cut_of_64: int = CUT_OF_64, longe
     return ends
 
 
+def unspaced(space: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the bytes with `STRETCH` bytes or more before them and no space, and how many those are."""
+    edges = np.union1d(offsets, np.flatnonzero(space) + 1)
+    start, length = edges[:-1], np.diff(edges)
+    long = length > STRETCH
+    start, length = start[long], length[long] - STRETCH
+    before = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length) + STRETCH
+    at = np.repeat(start, length) + before
+    mine = ~space[at]
+    return at[mine], before[mine]
+
+
 def chunk_rows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     """(row, chunk, digest) of each chunk: `chunk` packs its place, see `unpack`."""
     raw, offsets = utf8(batch.column("text"))
@@ -70,6 +94,8 @@ def chunk_rows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     begins = ~space
     begins[1:] &= space[:-1]
     begins[offsets[:-1][np.diff(offsets) > 0]] = ~space[offsets[:-1][np.diff(offsets) > 0]]
+    bare, before = unspaced(space, offsets)
+    begins[bare[before % WORD_BYTES == 0]] = True
     total = np.concatenate([[0], np.cumsum(begins)])
     place = (starts - offsets[doc]) << 28 | (ends - starts) << 14 | (total[ends] - total[starts]) << 1
     return pa.RecordBatch.from_arrays(
@@ -78,7 +104,7 @@ def chunk_rows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
 
 
 def unpack(chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start and length in bytes of the text, words, and whether the chunk stands in an earlier row."""
+    """Start and length in bytes of the text, words (or what counts as one where no space stands), and whether the chunk stands in an earlier row."""
     return chunk >> 28, chunk >> 14 & 0x3FFF, chunk >> 1 & 0x1FFF, (chunk & 1).astype(bool)
 
 
@@ -119,7 +145,7 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     `text` is without the passages that come in a row before; `repeated` says that a passage of
     the row also stands in another; what only recurs inside one text is left alone.
     `n_removed` counts bytes and `spans` are their byte ranges (start, end) in UTF-8. Of equal
-    texts all but the first are emptied. Null counts as empty. Rows are numbered in input
+    texts with `min_words` words all but the first are emptied; shorter ones hold no passage and stay. Null counts as empty. Rows are numbered in input
     order by one scan and written with their numbers, as a second scan of `docs` may be dealt
     out otherwise. Other columns are not read.
 

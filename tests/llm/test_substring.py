@@ -109,3 +109,40 @@ def test_chunks_cover_texts():
     assert (start[mine][1:] == np.cumsum(length[mine])[:-1]).all()
     assert words[(got["row"] == 9).to_numpy()].tolist() == [1]
     assert not earlier.any()
+
+
+def unspaced(rng, letters, n):
+    return "".join(rng.choice(letters) for _ in range(n))
+
+
+def test_texts_without_spaces(spark):
+    rng = random.Random(5)
+    han, thai, code = [chr(c) for c in range(0x4E00, 0x5000)], [chr(c) for c in range(0xE01, 0xE2F)], list("abcdefgh(){};=.,+")
+    rows, want = [], {}
+    for letters in (han, thai, code):
+        k, body = len(rows), unspaced(rng, letters, 6000)
+        short, passage = unspaced(rng, letters, 300), unspaced(rng, letters, 400)
+        rows += [(k, body), (k + 1, body), (k + 2, body[:2000] + letters[7] + body[2000:]), (k + 3, short), (k + 4, short)]
+        rows += [(k + 5, unspaced(rng, letters, 500) + passage + unspaced(rng, letters, 500)), (k + 6, unspaced(rng, letters, 333) + passage)]
+        rows += [(k + 7, unspaced(rng, letters, 3000))]
+        want |= {k + i: i != 7 for i in range(8)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in substring.deduplicate(docs).collect()}
+    assert {d: r["repeated"] for d, r in got.items()} == want
+    for k in range(0, len(rows), 8):
+        assert [got[k + i]["text"] for i in (0, 3, 5, 7)] == [rows[k + i][1] for i in (0, 3, 5, 7)]
+        assert got[k + 1]["text"] == got[k + 4]["text"] == ""
+        # An inserted character costs the chunk around it, not what follows.
+        assert 0 < len(got[k + 2]["text"]) < 400
+        assert len(got[k + 6]["text"]) < 333 + 250
+
+
+def test_long_words_cut_at_characters():
+    rng = random.Random(6)
+    texts = [unspaced(rng, "日本語を書く文字", 500), "a " + unspaced(rng, "éüxyz", 900), prose(rng, 50)]
+    raw, offsets = layout(texts)
+    ends = substring.cuts(raw, offsets)
+    assert np.diff(ends, prepend=0).max() < 1000
+    for a, b in zip(np.append(0, ends), ends):
+        raw[a:b].tobytes().decode()
+    assert ends[ends > offsets[2]].tolist() == [int(offsets[2]) + e for e in slow_cuts(texts[2].encode(), 13, 4096)]
