@@ -6,7 +6,7 @@ from catalog import fixtures as fx
 from catalog import sql as q
 from catalog.registry import r6, register
 from lexigrade.functions import text as t
-from lexigrade.operators import align
+from lexigrade.operators import align, subwords, tiles
 from lexigrade.session import spread
 
 
@@ -117,6 +117,66 @@ def align_links(spark, sf_dir):
     return rows.select(*[r6(c).alias(c) if c in probs else c for c in rows.columns])
 
 
+@register(
+    "subword_pieces",
+    q.query(
+        "word_lists pieces_sub128",
+        """SELECT l.pair_id, l.side, count(p.piece_id) AS pieces,
+          coalesce(max(p.word_idx), -1) < any_value(len(l.w)) - 1 AS last_word_left_out,
+          md5(coalesce(string_agg(p.word_idx || ':' || p.piece_idx || ':' || p.piece_id, '|' ORDER BY p.piece_idx), '')) AS ids
+        FROM word_lists l LEFT JOIN pieces_sub128 p ON p.pair_id = l.pair_id AND p.side = l.side GROUP BY l.pair_id, l.side""",
+    ),
+)
+def subword_pieces(spark, sf_dir):
+    """Pieces by a public tokenizer's vocabulary, 128 a text at most; each side's folded to a digest."""
+    vocabulary = subwords.ranks_file(fx.VOCABULARY)
+    rows = subwords.with_piece_ids(_words(spark, sf_dir), vocabulary, max_pieces=128)
+
+    def side(name):
+        ids = F.col(f"{name}_ids")
+        line = F.transform(ids, lambda p: F.concat_ws(":", *(p[c].cast("string") for c in ("word_idx", "piece_idx", "piece_id"))))
+        last = F.coalesce(F.array_max(ids["word_idx"]), F.lit(-1))
+        return F.struct(
+            F.lit(name).alias("side"),
+            F.size(ids).alias("pieces"),
+            (last < F.size(f"{name}_words") - 1).alias("last_word_left_out"),
+            F.md5(F.array_join(line, "|").cast("binary")).alias("ids"),
+        )
+
+    return rows.select("pair_id", F.explode(F.array(side("kaz"), side("rus"))).alias("s")).select("pair_id", "s.*")
+
+
+@register("subword_truncated", q.query("lengths_sub128", "SELECT pair_id, too_long AS truncated FROM lengths_sub128"))
+def subword_truncated(spark, sf_dir):
+    vocabulary = subwords.ranks_file(fx.VOCABULARY)
+    return subwords.with_piece_ids(_words(spark, sf_dir), vocabulary, max_pieces=128).select("pair_id", "truncated")
+
+
+LINKS_SUB = "SELECT pair_id, kz AS kaz_index, ru AS rus_index, round(p_ru, 6) AS p_ru_given_kz, round(p_kz, 6) AS p_kz_given_ru FROM links_sub"
+
+
+@register("encoder_links", q.query("links_sub", LINKS_SUB))
+def encoder_links(spark, sf_dir):
+    """Links by vectors that are computed in the batches; only the bare texts are shuffled."""
+    encoded = align.encode_with(_words(spark, sf_dir), fx.computed_encoder(spark, sf_dir))
+    return align.link_rows(align.with_links(encoded)).select(
+        "pair_id", "kaz_index", "rus_index", r6("p_ru_given_kz").alias("p_ru_given_kz"), r6("p_kz_given_ru").alias("p_kz_given_ru")
+    )
+
+
+@register("tiled_links", q.query("links_sub", LINKS_SUB))
+def tiled_links(spark, sf_dir):
+    """The same links with every pair dealt out in tiles of 64 by 64 words."""
+    blocks = tiles.encoded_blocks(_words(spark, sf_dir), fx.computed_encoder(spark, sf_dir), size=64)
+    return tiles.tiled_links(blocks).select(
+        "pair_id",
+        F.col("kz_idx").alias("kaz_index"),
+        F.col("ru_idx").alias("rus_index"),
+        r6("p_ru_given_kz").alias("p_ru_given_kz"),
+        r6("p_kz_given_ru").alias("p_kz_given_ru"),
+    )
+
+
 PHRASE_SQL = """SELECT pair_id, russian_index, token AS russian_token, span AS kazakh_span,
   phrase AS kazakh_phrase, round(conf, 6) AS alignment_conf"""
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lexigrade.functions import text as t
 from lexigrade.functions.features import with_text_features
 from lexigrade.levels import LEVELS, level_at
-from lexigrade.operators import align
+from lexigrade.operators import align, subwords
 from lexigrade.operators.joins import lookup_join
 from lexigrade.session import as_read
 
@@ -23,6 +23,9 @@ LATIN = "abcdefghijklmnopqrstuvwxyz"
 CYRILLIC = "абцдефгхижклмнопярстувщхуз"
 VECTOR_SCALE = 30**0.5
 
+#: Where every node has a public tokenizer's byte strings and their numbers.
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
 TABULAR_SOURCES = {
     "difficulty_score": "average_syllables_per_word",
     "avg_sent_len_mean": "average_sentence_length",
@@ -174,6 +177,22 @@ def encoder(spark: SparkSession, sf_dir: str, max_pieces: int | None = None):
     return encode
 
 
+def computed_encoder(spark: SparkSession, sf_dir: str, max_pieces: int | None = None):
+    """An encoder for `align.encode_with`: the piece's number picks its vector from the embeddings."""
+    vocabulary = subwords.ranks_file(VOCABULARY)
+    vectors = table(spark, sf_dir, "embeddings")
+    scaled = vectors.select(
+        "vec_id",
+        F.transform(
+            "embedding", lambda x: (x.cast("double") * F.lit(VECTOR_SCALE)).cast("float")
+        ).alias("vec"),
+    )
+    numbers = spark.range(max(vocabulary().values()) + 1).select(F.col("id").alias("piece_id"))
+    picked = numbers.withColumn("vec_id", F.col("piece_id") % vectors.count())
+    held = subwords.hold_vectors(picked.join(scaled, "vec_id").select("piece_id", "vec"))
+    return subwords.piece_encoder(vocabulary, held, max_pieces)
+
+
 def digest_probs(text: Column) -> Column:
     """Six probabilities from the first twelve hex digits of the text's digest."""
     weights = [

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catalog.fixtures import CYRILLIC, LATIN, TABULAR_SOURCES, VECTOR_SCALE
+from catalog.fixtures import CYRILLIC, LATIN, TABULAR_SOURCES, VECTOR_SCALE, VOCABULARY
 from lexigrade.functions import text as t
 from lexigrade.levels import LEVELS
 
@@ -293,6 +293,56 @@ def _islands(links: str) -> tuple[tuple[str, ...], str]:
 
 _alignment_tables("", "word_lists")
 _alignment_tables("_short", "word_lists", 256)
+#: A public tokenizer's byte strings in hex; the longest of those that a word goes on with is its next piece.
+TABLES["vocabulary"] = (
+    (),
+    f"""SELECT hex(from_base64(piece)) AS piece, piece_id FROM read_csv({lit(VOCABULARY)}, delim = ' ',
+      header = false, quote = '', escape = '', columns = {{'piece': 'VARCHAR', 'piece_id': 'BIGINT'}})""",
+)
+TABLES["spelled"] = (
+    ("word_lists", "vocabulary"),
+    """SELECT word, k, found AS piece_id FROM (
+      WITH RECURSIVE r AS (
+        SELECT word, hex(encode(' ' || word)) AS h, 0 AS place, -1 AS k, NULL::BIGINT AS found
+        FROM (SELECT DISTINCT unnest(w) AS word FROM word_lists)
+        UNION ALL
+        SELECT word, h, place + n, k + 1, piece_id FROM (
+          SELECT c.*, v.piece_id, row_number() OVER (PARTITION BY word ORDER BY n DESC) AS best
+          FROM (SELECT *, unnest(range(2, least(128, length(h) - place) + 1, 2)) AS n FROM r) c
+          JOIN vocabulary v ON v.piece = substr(h, place + 1, n)) WHERE best = 1)
+      SELECT * FROM r WHERE k >= 0)""",
+)
+
+
+def _subword_tables(suffix: str, max_pieces: int | None = None) -> None:
+    """Pieces by the vocabulary, and vectors mixed with those of the pieces beside them."""
+    s = suffix
+    _alignment_tables(s, "word_lists")
+    limit = "" if max_pieces is None else f" WHERE piece_idx < {max_pieces}"
+    TABLES[f"pieces{s}"] = (
+        ("word_lists", "spelled"),
+        f"""SELECT * FROM (SELECT pair_id, side, word_idx, piece_id,
+            row_number() OVER (PARTITION BY pair_id, side ORDER BY word_idx, k) - 1 AS piece_idx
+          FROM (SELECT pair_id, side, unnest(range(len(w))) AS word_idx, unnest(w) AS word FROM word_lists) l
+          JOIN spelled USING (word)){limit}""",
+    )
+    TABLES[f"pooled{s}"] = (
+        (f"pieces{s}", "vectors"),
+        f"""SELECT pair_id, side, word_idx, list_transform(range(1, len(vecs[1]) + 1),
+            lambda i: list_avg(list_transform(vecs, lambda v: v[i]::DOUBLE))) AS vec
+        FROM (SELECT pair_id, side, word_idx, list(list_transform(range(1, len(vec) + 1), lambda i:
+              ((0.5::DOUBLE * vec[i] + 0.25::DOUBLE * coalesce(a[i], 0) + 0.25::DOUBLE * coalesce(b[i], 0))
+               / (0.5::DOUBLE + CASE WHEN a IS NULL THEN 0 ELSE 0.25 END + CASE WHEN b IS NULL THEN 0 ELSE 0.25 END))::FLOAT)
+              ORDER BY piece_idx) AS vecs
+            FROM (SELECT p.*, vec, lag(vec) OVER t AS a, lead(vec) OVER t AS b FROM pieces{s} p
+                  JOIN vectors ON vec_id = piece_id % (SELECT count(*) FROM vectors)
+                  WINDOW t AS (PARTITION BY pair_id, side ORDER BY piece_idx))
+            GROUP BY pair_id, side, word_idx)""",
+    )
+
+
+_subword_tables("_sub")
+_subword_tables("_sub128", 128)
 TABLES["blank_lists"] = (
     ("pairs",),
     f"""SELECT pair_id, 'kaz' AS side, {find_all('kaz', NON_BLANK)} AS w FROM pairs

@@ -1,0 +1,123 @@
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from catalog import alignment_queries, fixtures
+from lexigrade.operators import align, subwords, tiles
+
+PIECES = {b"a": 0, b"b": 1, b"c": 2, b"ab": 3, b"abc": 4, b" a": 5, b" ": 6, b"cab": 7, "ж".encode(): 8, "жа".encode(): 9}
+
+
+def plain_split(word, vocabulary=PIECES, before=b" "):
+    raw, at, out = before + word.encode(), 0, []
+    while at < len(raw):
+        ends = [e for e in range(len(raw), at, -1) if raw[at:e] in vocabulary]
+        if not ends:
+            return (subwords.UNKNOWN_PIECE,)
+        out.append(vocabulary[raw[at : ends[0]]])
+        at = ends[0]
+    return tuple(out)
+
+
+def test_longest_match():
+    rng, splitter = random.Random(1), subwords.Splitter(PIECES)
+    words = ["", *("".join(rng.choice("abcжx") for _ in range(rng.randint(1, 9))) for _ in range(2000))]
+    for word in [*words, *words]:
+        assert splitter.split(word) == plain_split(word)
+    long = "abcab" * 40_000
+    assert splitter.split(long) == plain_split("abcab")[:1] + splitter.split(long)[1:] and long not in splitter.known
+
+
+def test_public_vocabulary():
+    vocabulary = subwords.ranks_file(fixtures.VOCABULARY)()
+    splitter, spelled = subwords.Splitter(vocabulary), {n: p for p, n in vocabulary.items()}
+    for word in ("тіл", "слово", "日本", "x" * 100, "é"):
+        pieces = splitter.split(word)
+        assert b"".join(spelled[p] for p in pieces) == b" " + word.encode() and pieces == plain_split(word, vocabulary)
+
+
+def test_limit_and_nulls(spark):
+    rows = spark.createDataFrame([(1, ["ab", "abc", "x"], []), (2, None, ["cab", "", "a"])], "pair_id long, kaz_words array<string>, rus_words array<string>")
+    for limit in (None, 1, 2, 3, 100):
+        got = {r["pair_id"]: r for r in subwords.with_piece_ids(rows, lambda: PIECES, limit).collect()}
+        for r in rows.collect():
+            cut = False
+            for side in ("kaz", "rus"):
+                words = r[f"{side}_words"] or []
+                want = [(i, p) for i, w in enumerate(words) for p in plain_split(w)][:limit]
+                found = got[r["pair_id"]][f"{side}_ids"]
+                assert [(p["word_idx"], p["piece_id"]) for p in found] == want
+                assert [p["piece_idx"] for p in found] == list(range(len(want)))
+                cut |= (want[-1][0] if want else -1) < len(words) - 1
+            assert got[r["pair_id"]]["truncated"] == cut
+    assert subwords.with_piece_ids(rows.limit(0), lambda: PIECES).count() == 0
+
+
+def held(spark, vectors):
+    return subwords.hold_vectors(spark.createDataFrame(vectors, "piece_id long, vec array<float>"))
+
+
+VECTORS = [(k, [float(k), 1.0, -0.5 * k]) for k in range(9)]
+
+
+def test_vectors_are_mixed(spark):
+    encode = subwords.piece_encoder(lambda: PIECES, held(spark, VECTORS))()
+    lists = pa.array([["abc", "x", "ab"], [], ["ж"], ["жа"]])
+    counts, words, vectors = encode(lists)
+    at = 0
+    table = {k: np.array(v) for k, v in VECTORS}
+    for row, n in zip(lists.to_pylist(), counts.to_pylist()):
+        ids = [p for w in row for p in plain_split(w)]
+        assert n == len(ids)
+        for j, piece in enumerate(ids):
+            near = [(0.25, j - 1), (0.5, j), (0.25, j + 1)]
+            near = [(w, table[ids[i]]) for w, i in near if 0 <= i < len(ids) and ids[i] in table]
+            want = sum(w * v for w, v in near) / sum(w for w, _ in near) if piece in table else None
+            found = vectors[at + j].as_py()
+            assert (found is None) == (want is None) and (want is None or found == pytest.approx(want))
+        at += n
+    with pytest.raises(ValueError):
+        subwords.hold_vectors(spark.createDataFrame(VECTORS, "piece_id long, vec array<float>"), max_bytes=10)
+
+
+def random_pairs(spark, rng, n, longest):
+    def text():
+        return " ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, longest)))
+
+    return spark.createDataFrame([(i, text(), text()) for i in range(n)], "pair_id long, kaz string, rus string")
+
+
+@pytest.mark.parametrize("size", [1, 4, 64])
+def test_tiles_give_the_links_of_rows(spark, size):
+    words = align.with_words(random_pairs(spark, random.Random(2), 12, 25))
+    load = subwords.piece_encoder(lambda: PIECES, held(spark, VECTORS))
+    in_row = {(r["pair_id"], r["kaz_index"], r["rus_index"]): (r["p_ru_given_kz"], r["p_kz_given_ru"])
+              for r in align.link_rows(align.with_links(align.encode_with(words, load), 0.01)).collect()}
+    tiled = tiles.tiled_links(tiles.encoded_blocks(words, load, size), 0.01).collect()
+    assert len(tiled) == len(in_row) and in_row
+    for r in tiled:
+        assert in_row[r["pair_id"], r["kz_idx"], r["ru_idx"]] == pytest.approx((r["p_ru_given_kz"], r["p_kz_given_ru"]))
+
+
+def test_blocks_from_pooled_words(spark):
+    rows = [(1, s, i, [float(i), 1.0]) for s in ("kaz", "rus") for i in range(7)] + [(2, "kaz", 0, [1.0, 1.0])]
+    pooled = spark.createDataFrame(rows, "pair_id long, side string, word_idx int, vec array<double>")
+    blocks = tiles.blocks_of(pooled, 3)
+    assert {(r["pair_id"], r["side"], r["block"], len(r["word_idx"])) for r in blocks.collect()} == {
+        *((1, s, b, 3 if b < 2 else 1) for s in ("kaz", "rus") for b in range(3)), (2, "kaz", 0, 1)}
+    sims = np.array([[i * j + 1.0 for j in range(7)] for i in range(7)])
+    p_ru = np.exp(sims) / np.exp(sims).sum(axis=1, keepdims=True)
+    p_kz = np.exp(sims) / np.exp(sims).sum(axis=0)
+    got = {(r["kz_idx"], r["ru_idx"]): r["p_ru_given_kz"] for r in tiles.tiled_links(blocks, 0.05).collect()}
+    assert got == {(i, j): pytest.approx(p_ru[i, j]) for i in range(7) for j in range(7) if min(p_ru[i, j], p_kz[i, j]) > 0.05}
+    assert tiles.tiled_links(blocks.limit(0)).count() == 0
+
+
+def test_vectors_are_not_shuffled(spark):
+    plan = alignment_queries.encoder_links(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("MapInArrow")]
+    assert "Exchange" not in above and "Exchange hashpartitioning(pair_id" in plan
+    assert alignment_queries.encoder_links(spark, "/root/testdata/sf0.001").where(F.lit(False)).count() == 0
