@@ -181,7 +181,7 @@ def two_to_one_sql(minimum: float) -> str:
 
 
 def _two_to_one(spark, sf_dir, minimum):
-    rows = grading.two_to_one(phrased(spark, sf_dir), _word_probs(spark, sf_dir), minimum)
+    rows = grading.two_to_one(phrased(spark, sf_dir), fx.digest_word_model, minimum)
     return rows.select(
         "pair_id", "kazakh_phrase", "russian_token",
         F.array_join(F.col("kazakh_span").cast("array<string>"), ",").alias("kazakh_span"),
@@ -295,8 +295,10 @@ _MIXED = ", ".join(
     ),
 )
 def ensemble(spark, sf_dir):
-    texts = _graded_texts(spark, sf_dir)
-    sides = grading.translated(_untranslated(spark, sf_dir), fx.translations(spark, sf_dir))
+    sides = materialise(
+        grading.translated(_untranslated(spark, sf_dir), fx.translations(spark, sf_dir))
+    )
+    texts = grading.grade_texts(sides, _lexicon(spark, sf_dir), fx.encoder(spark, sf_dir))
     blended = scoring.ensemble(texts, fx.sentence_probs(sides), 0.6)
     return blended.select(
         "pair_id",

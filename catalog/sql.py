@@ -408,6 +408,76 @@ TABLES["translated_tokens"] = (
 )
 _alignment_tables("_tr", "translated_lists")
 _grading_tables("_tr")
+TABLES["untranslated"] = (
+    ("pairs",),
+    """SELECT pair_id, CASE WHEN coalesce(role, '') <> 'user' AND (pair_id >> 32) % 2 = 1 THEN kaz || ' *' ELSE kaz END AS kaz,
+      CASE WHEN role = 'user' THEN rus END AS rus FROM pairs""",
+)
+TABLES["em_lists"] = (
+    ("pairs",),
+    f"""SELECT *, greatest(1, ceil(greatest(len(s), len(t)) / 32))::BIGINT AS parts
+    FROM (SELECT pair_id, {words('lower(kaz)')} AS s, {words('lower(rus)')} AS t FROM pairs)""",
+)
+for _side, _list in (("src", "s"), ("tgt", "t")):
+    TABLES[f"em_{_side}"] = (
+        ("em_lists",),
+        f"""SELECT pair_id, i * parts // n AS part, word AS {_side}, count(*) AS n_{_side}
+        FROM (SELECT pair_id, parts, len({_list}) AS n, unnest(range(len({_list}))) AS i, unnest({_list}) AS word FROM em_lists)
+        GROUP BY ALL""",
+    )
+TABLES["em_cells"] = (
+    ("em_src", "em_tgt"),
+    "SELECT * FROM em_src JOIN em_tgt USING (pair_id, part)",
+)
+TABLES["em_shared_0"] = (
+    ("em_cells",),
+    """SELECT *, sum(n_src * p) OVER (PARTITION BY pair_id, part, tgt) AS mass
+    FROM (SELECT *, 1.0::DOUBLE / (SELECT count(DISTINCT tgt) FROM em_cells) AS p FROM em_cells)""",
+)
+for _round in (1, 2, 3):
+    TABLES[f"em_table_{_round}"] = (
+        (f"em_shared_{_round - 1}",),
+        f"""SELECT src, tgt, c / sum(c) OVER (PARTITION BY src) AS probability
+        FROM (SELECT src, tgt, sum(n_src * n_tgt * p / mass) AS c FROM em_shared_{_round - 1} GROUP BY src, tgt)""",
+    )
+    TABLES[f"em_shared_{_round}"] = (
+        ("em_cells", f"em_table_{_round}"),
+        f"""SELECT *, sum(n_src * p) OVER (PARTITION BY pair_id, part, tgt) AS mass
+        FROM (SELECT c.*, probability AS p FROM em_cells c JOIN em_table_{_round} USING (src, tgt))""",
+    )
+    TABLES[f"em_best_{_round}"] = (
+        (f"em_table_{_round}",),
+        f"""SELECT src AS word, tgt AS translation, probability FROM em_table_{_round}
+        QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(probability, 9) DESC, tgt) = 1""",
+    )
+TABLES["known_lemmas"] = (
+    ("lemmas",),
+    f"SELECT * FROM lemmas WHERE {digest_number('token')} % 2 = 0",
+)
+TABLES["lemma_rules"] = (
+    ("known_lemmas",),
+    """SELECT suffix, strip, add, votes FROM (
+      SELECT suffix, strip, add, count(*) AS votes FROM (
+        SELECT right(token, n) AS suffix, strip, add FROM (
+          SELECT *, unnest(range(greatest(strip, 1), least(length(token), greatest(least(strip + 3, 8), strip, 1)) + 1)) AS n
+          FROM (SELECT token, length(token) - same AS strip, substr(lemma, same + 1) AS add
+                FROM (SELECT *, list_max(list_filter(range(least(length(token), length(lemma)) + 1),
+                        lambda n: left(token, n) = left(lemma, n))) AS same FROM known_lemmas))))
+      GROUP BY ALL)
+    QUALIFY row_number() OVER (PARTITION BY suffix ORDER BY votes DESC, strip, add) = 1""",
+)
+TABLES["learned_lemmas"] = (
+    ("rus_tokens", "known_lemmas", "lemma_rules"),
+    """SELECT w.token, coalesce(k.lemma, nullif(left(w.token, length(w.token) - r.strip) || r.add, ''), w.token) AS lemma,
+      CASE WHEN k.lemma IS NOT NULL THEN 'dictionary'
+        WHEN nullif(left(w.token, length(w.token) - r.strip) || r.add, '') IS NOT NULL THEN 'rule' ELSE 'itself' END AS source
+    FROM (SELECT DISTINCT token FROM rus_tokens) w LEFT JOIN known_lemmas k USING (token)
+    LEFT JOIN (SELECT token, strip, add FROM (
+        SELECT token, unnest(range(1, least(length(token), (SELECT greatest(8, max(length(suffix))) FROM lemma_rules)) + 1)) AS n
+        FROM (SELECT DISTINCT token FROM rus_tokens)) e
+      JOIN lemma_rules r ON r.suffix = right(e.token, n)
+      QUALIFY row_number() OVER (PARTITION BY token ORDER BY n DESC) = 1) r ON r.token = w.token""",
+)
 TABLES["word_rows"] = (
     ("graded", "word_lists"),
     """SELECT g.pair_id, w.w[kz + 1] AS kazakh_token, token AS russian_token, kz AS kazakh_index,
@@ -415,17 +485,22 @@ TABLES["word_rows"] = (
     FROM (SELECT *, unnest(kz_list) AS kz FROM graded) g
     JOIN word_lists w ON w.pair_id = g.pair_id AND w.side = 'kaz'""",
 )
-TABLES["silver"] = (
-    ("phrases", "lexicon", "lemmas", "pairs"),
-    f"""SELECT p.pair_id, p.russian_index, p.start, p.phrase AS kaz_item, p.token AS rus_item,
+def _silver(lemmas: str) -> tuple[tuple[str, ...], str]:
+    return (
+        ("phrases", "lexicon", lemmas, "pairs"),
+        f"""SELECT p.pair_id, p.russian_index, p.start, p.phrase AS kaz_item, p.token AS rus_item,
       coalesce(a.level, b.level, 'Unknown') AS cefr, {strip('q.kaz')} AS kaz_sent,
       {strip('q.rus')} AS rus_sent
     FROM phrases p JOIN pairs q ON q.pair_id = p.pair_id
-    LEFT JOIN lemmas m ON m.token = {strip_lower('p.token')}
+    LEFT JOIN {lemmas} m ON m.token = {strip_lower('p.token')}
     LEFT JOIN lexicon a ON a.word = coalesce(m.lemma, {strip_lower('p.token')})
     LEFT JOIN lexicon b ON b.word = {strip_lower('p.token')}
     WHERE {cyrillic('p.token')}""",
-)
+    )
+
+
+TABLES["silver"] = _silver("lemmas")
+TABLES["silver_learned"] = _silver("learned_lemmas")
 TABLES["clean_labels"] = (
     ("silver",),
     f"""SELECT pair_id, russian_index, start, {strip('rus_item')} AS text, upper(cefr) AS label

@@ -109,6 +109,23 @@ def stratified_split(spark, sf_dir):
     return sampling.stratified_split(corpus, "doc_id")
 
 
+EXACT_SPLIT_SQL = """SELECT doc_id, t.label, row_number() OVER (PARTITION BY t.label
+    ORDER BY md5('42:' || doc_id::VARCHAR), doc_id) <= quota AS is_test
+  FROM text_corpus t JOIN (
+    SELECT label, base + (row_number() OVER (ORDER BY rest DESC, label) <= wanted - sum(base) OVER ())::INT AS quota
+    FROM (SELECT label, n * wanted // total AS base, n * wanted % total AS rest, wanted
+          FROM (SELECT label, n, total, ceil(round(0.15::DOUBLE * total, 9))::BIGINT AS wanted
+                FROM (SELECT label, count(*) AS n, sum(count(*)) OVER ()::BIGINT AS total FROM text_corpus GROUP BY label)))) k
+  ON k.label = t.label"""
+
+
+@register("stratified_split_exact", q.query("text_corpus", EXACT_SPLIT_SQL))
+def stratified_split_exact(spark, sf_dir):
+    """15 % of all rows, to the row: the classes' quotas by largest remainders."""
+    corpus = _corpus(spark, sf_dir).select("doc_id", "label")
+    return sampling.stratified_split(corpus, "doc_id", test_size=0.15, exact_total=True)
+
+
 @register(
     "label_encoding",
     q.query(

@@ -12,8 +12,9 @@ from lexigrade.functions import text as t
 from lexigrade.operators import align, scoring
 from lexigrade.operators.joins import lookup_join
 from lexigrade.operators.lexicon import attach_level
-from lexigrade.operators.word_model import word_predictions
-from lexigrade.session import spread
+from lexigrade.operators.translate import translate_words
+from lexigrade.operators.word_model import score_words, word_predictions
+from lexigrade.session import materialise, spread
 
 Encoder = Callable[[DataFrame], DataFrame]
 
@@ -45,14 +46,37 @@ def with_translation(
 
 
 def translated(texts: DataFrame, translations: DataFrame | None, **bounds) -> DataFrame:
-    """`texts` (pair_id, kaz, rus) with every `rus` filled; without a table they are as given."""
+    """`texts` (pair_id, kaz, rus) with every `rus` filled; without a table they are as given.
+
+    Texts that come translated from here keep their `translation_used`.
+    """
     if translations is None:
-        return texts.withColumns(
-            {"rus": F.coalesce("rus", F.lit("")), "translation_used": F.lit(False)}
-        )
+        filled = texts.withColumn("rus", F.coalesce("rus", F.lit("")))
+        return filled if "translation_used" in texts.columns else filled.withColumn("translation_used", F.lit(False))
     return with_translation(texts, translations, ["pair_id"], **bounds)
 
 
+def translated_with_words(
+    texts: DataFrame, translations: DataFrame, best: DataFrame, **bounds
+) -> DataFrame:
+    """`translated`, and texts that no table knows word by word with `translate.best_targets`.
+
+    Adds `source`: given, table or words. The texts are written once translated from the table, as
+    those it doesn't know are taken out of them.
+    """
+    ready = materialise(with_translation(texts, translations, ["pair_id"], **bounds))
+    open_ = ready.where("translation_used AND rus = '' AND kaz <> ''")
+    made = translate_words(open_, best, "pair_id", "kaz", **bounds).select("pair_id", "translation")
+    source = (
+        F.when(~F.col("translation_used"), "given")
+        .when(F.col("translation").isNotNull(), "words")
+        .otherwise("table")
+    )
+    joined = ready.join(made, "pair_id", "left")
+    kept = [c for c in ready.columns if c != "rus"]
+    return joined.select(*kept, F.coalesce("translation", "rus").alias("rus"), source.alias("source"))
+
+
 def aligned_phrases(
     pairs: DataFrame, encode: Encoder, threshold: float = align.LINK_THRESHOLD
 ) -> DataFrame:
@@ -67,8 +91,12 @@ def aligned_phrases(
 
 
 def graded_phrases(phrased: DataFrame, lexicon: DataFrame, **bounds) -> DataFrame:
-    """One row per phrase with the level of its Russian word; empty pairs keep a row."""
-    rows = align.phrase_rows(phrased, outer=True)
+    """One row per phrase with the level of its Russian word; empty pairs keep a row.
+
+    Neither texts nor word lists go along: repeated on every phrase they would grow with the
+    square of the text. Who needs them joins them by pair.
+    """
+    rows = align.phrase_rows(phrased.select("pair_id", "too_long", "phrases"), outer=True)
     return attach_level(
         rows, lexicon, "russian_token", row_key=["pair_id", "russian_index", "kazakh_phrase"],
         **bounds,
@@ -84,26 +112,28 @@ def grade_texts(
 ) -> DataFrame:
     """One row per text: its translation, shares per level, average level, word alignments.
 
-    A text without a given translation takes it from `translations`. Texts too long for the
-    encoder keep a flagged row without a level.
+    A text without a given translation takes it from `translations`; the texts are then written, as
+    they are read for the alignment and joined to its result. Texts too long for the encoder keep
+    a flagged row without a level.
     """
     texts = translated(pairs, translations)
+    if translations is not None:
+        texts = materialise(texts)
     phrases = graded_phrases(aligned_phrases(texts, encode, threshold), lexicon)
     alignment = F.struct(
         "russian_index", "kazakh_span", "kazakh_phrase", "russian_token", "level"
     )
-    return scoring.distribution_per(
+    graded = scoring.distribution_per(
         phrases,
         ["pair_id"],
         extra=(
             F.first("too_long").alias("too_long"),
-            F.first("rus").alias("rus"),
-            F.first("translation_used").alias("translation_used"),
             F.sort_array(
                 F.collect_list(F.when(F.col("russian_index").isNotNull(), alignment))
             ).alias("phrase_alignments"),
         ),
     )
+    return graded.join(texts.select("pair_id", "rus", "translation_used"), "pair_id")
 
 
 def text_levels(
@@ -120,14 +150,24 @@ def text_levels(
 
 
 def two_to_one(
-    phrased: DataFrame, word_probs: DataFrame, min_confidence: float = 0.8, **bounds
+    phrased: DataFrame,
+    word_probs: DataFrame | Callable[[DataFrame], DataFrame],
+    min_confidence: float = 0.8,
+    **bounds,
 ) -> DataFrame:
     """Two Kazakh words against one Russian word, with the word model's level of it.
 
+    `word_probs` is a table, or a model (see `score_words`) that then scores the words of the
+    phrases that are left, and no others.
+
     p(kz|ru) sums to one over the Kazakh words, so two links of one Russian word cannot
     both exceed 0.5: the default confidence always gives an empty result.
     """
-    chosen = align.confident(align.spans_of(align.phrase_rows(phrased), 2), min_confidence)
+    rows = align.phrase_rows(phrased.select("pair_id", "phrases"))
+    chosen = align.confident(align.spans_of(rows, 2), min_confidence)
+    if callable(word_probs):
+        chosen = materialise(chosen)
+        word_probs = score_words(chosen.select(F.col("russian_token").alias("word")), word_probs)
     graded = word_levels_of(
         chosen, word_probs, "russian_token",
         row_key=["pair_id", "russian_index", "kazakh_phrase"], **bounds,

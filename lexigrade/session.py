@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,12 +41,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write `df` once to the checkpoint folder and go on from there.
+    """Write `df` once, as Parquet in the checkpoint folder, and go on from there.
 
-    The copy lives on the shared file system, so it survives lost executors.
+    The copy lives on the shared file system, so it survives lost executors; readers take only
+    the columns they need. Copies stay until the folder is purged.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 SPREAD_INPUTS = "spark.lexigrade.spreadInputs"

@@ -1,0 +1,150 @@
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from lexigrade.operators import lemmas, sampling, translate
+from lexigrade.plans import grading
+
+PAIRS = "pair_id long, kaz string, rus string"
+
+
+def parts_of(kaz, rus, width):
+    """Segments of two word lists, by each word's place."""
+    parts = max(1, -(-max(len(kaz), len(rus)) // width))
+    out = [([], []) for _ in range(parts)]
+    for side, words in enumerate((kaz, rus)):
+        for i, word in enumerate(words):
+            out[i * parts // len(words)][side].append(word)
+    return out
+
+
+def plain_rounds(rows, rounds, width):
+    found = [p for _, k, r in rows for p in parts_of((k or "").lower().split(), (r or "").lower().split(), width)]
+    targets = {t for s, ts in found if s for t in ts}
+    table = defaultdict(lambda: 1.0 / max(len(targets), 1))
+    measured = []
+    for turn in range(rounds + 1):
+        counts, total, n = defaultdict(float), 0.0, 0
+        for sources, words in found:
+            for tgt in words if sources else ():
+                mass = sum(table[s, tgt] for s in sources)
+                total, n = total + math.log(mass / len(sources)), n + 1
+                for s in sources:
+                    counts[s, tgt] += table[s, tgt] / mass
+        measured.append(total / max(n, 1))
+        if turn < rounds:
+            sums = defaultdict(float)
+            for (s, _), c in counts.items():
+                sums[s] += c
+            table = defaultdict(float, {(s, tgt): c / sums[s] for (s, tgt), c in counts.items()})
+    return table, measured
+
+
+def corpus(rng, n):
+    words = [chr(ord("а") + i) * 2 for i in range(12)]
+    meaning = {w: w[0] + "ь" for w in words}
+    rows = []
+    for i in range(n):
+        kaz = [rng.choice(words) for _ in range(rng.randint(0, 14))]
+        rows.append((i, " ".join(kaz), " ".join(rng.sample([meaning[w] for w in kaz], len(kaz)))))
+    return rows + [(n, None, "аь"), (n + 1, "аа", ""), (n + 2, "аа бб " * 30, "аь бь " * 45)], meaning
+
+
+def test_rounds_equal_plain_counting(spark):
+    rows, meaning = corpus(random.Random(4), 60)
+    pairs = spark.createDataFrame(rows, PAIRS)
+    measured = []
+    got = {(r["src"], r["tgt"]): r["probability"] for r in translate.learn(pairs, 4, 5, measured).collect()}
+    want, likelihoods = plain_rounds(rows, 4, 5)
+    assert got.keys() == {k for k, p in want.items() if p} and all(got[k] == pytest.approx(want[k]) for k in got)
+    assert measured == pytest.approx(likelihoods)
+    assert all(a < b + 1e-12 for a, b in zip(measured, measured[1:]))
+    best = translate.best_targets(translate.learn(pairs, 6, 5))
+    learned = {r["word"]: r["translation"] for r in best.collect()}
+    assert sum(learned[w] == m for w, m in meaning.items()) >= 11
+    # Four thousand words a side make at most `width` cells each.
+    long = spark.createDataFrame([(1, "а б в г " * 1000, "д е ё ж " * 1000)], PAIRS)
+    sizes = translate.segments(long, 8).select(F.size("src").alias("s"), F.size("tgt").alias("t"))
+    assert sizes.where("s > 8 OR t > 8").count() == 0 and sizes.agg(F.sum("s")).first()[0] == 4000
+
+
+def test_nothing_to_learn(spark):
+    for rows in ([], [(1, None, None), (2, "", "а")]):
+        measured = []
+        assert translate.learn(spark.createDataFrame(rows, PAIRS), 2, measured=measured).count() == 0
+        assert measured == [0.0] * 3
+
+
+def test_unseen_texts_are_translated_by_words(spark):
+    texts = spark.createDataFrame([(1, "Аа, бб!", None), (2, "аа", "given"), (3, "known", ""), (4, "", None), (5, "..", None), (6, "zz аа", None)], PAIRS)
+    table = spark.createDataFrame([("known", "table")], "src_text string, tgt_text string")
+    best = spark.createDataFrame([("аа", "аь", 1.0), ("бб", "бь", 1.0)], "word string, translation string, probability double")
+    got = {r["pair_id"]: (r["rus"], r["source"]) for r in grading.translated_with_words(texts, table, best).collect()}
+    assert got == {1: ("аь бь", "words"), 2: ("given", "given"), 3: ("table", "table"), 4: ("", "table"), 5: ("", "words"), 6: ("zz аь", "words")}
+
+
+def plain_rules(entries, context=3, longest=8):
+    votes = Counter()
+    for token, lemma in set(entries):
+        same = max(n for n in range(min(len(token), len(lemma)) + 1) if token[:n] == lemma[:n])
+        strip, add = len(token) - same, lemma[same:]
+        first = max(strip, 1)
+        for n in range(first, min(len(token), max(min(strip + context, longest), first)) + 1):
+            votes[token[-n:], strip, add] += 1
+    rules = {}
+    for (suffix, strip, add), n in votes.items():
+        rules.setdefault(suffix, []).append((-n, strip, add))
+    return {s: (min(r)[1], min(r)[2], -min(r)[0]) for s, r in rules.items()}
+
+
+def test_lemma_rules(spark):
+    rng = random.Random(9)
+    stems = ["".join(rng.choice("бвгдж") for _ in range(rng.randint(2, 5))) for _ in range(80)]
+    entries = [(s + e, s + a) for s in stems for e, a in rng.sample([("ами", "а"), ("ы", "а"), ("ого", "ый"), ("", ""), ("ла", "ть")], 3)]
+    entries += [("шёл", "идти"), ("очень" * 3, "о")]
+    dictionary = spark.createDataFrame(entries, "token string, lemma string")
+    rules = lemmas.learn_rules(dictionary)
+    want = plain_rules(entries)
+    assert {r["suffix"]: (r["strip"], r["add"], r["votes"]) for r in rules.collect()} == want
+    unseen = ["мамами", "новогого", "ы", "я", entries[0][0], "длинноеслово" * 2000 + "ами", None, "", "ы"]
+    got = {r["token"]: (r["lemma"], r["source"]) for r in lemmas.lemmatise(spark.createDataFrame([(w,) for w in unseen], "token string"), dictionary, rules).collect()}
+    assert set(got) == {w for w in unseen if w}
+    known = defaultdict(set)
+    for token, lemma in entries:
+        known[token].add(lemma)
+    for word, (lemma, source) in got.items():
+        suffix = next((word[-n:] for n in range(min(len(word), 30), 0, -1) if word[-n:] in want), None)
+        made = suffix and word[: len(word) - want[suffix][0]] + want[suffix][1]
+        expected = (min(known[word]), "dictionary") if word in known else (made, "rule") if made else (word, "itself")
+        assert (lemma, source) == expected
+    assert lemmas.learn_rules(dictionary.limit(0)).count() == 0
+    assert [tuple(r) for r in lemmas.lemmatise(spark.createDataFrame([("ы",)], "token string"), dictionary.limit(0), rules.limit(0)).collect()] == [("ы", "ы", "itself")]
+
+
+@pytest.mark.parametrize("sizes, share", [((10, 10, 10), 0.25), ((1, 2, 3, 50), 0.1), ((7,), 0.5), ((3, 3, 3, 3), 0.2), ((5, 6), 1.0), ((4, 5), 0.0)])
+def test_exact_quotas(spark, sizes, share):
+    rows = [(100 * k + i, f"c{k}") for k, n in enumerate(sizes) for i in range(n)]
+    frame = spark.createDataFrame(rows, "id long, label string")
+    got = sampling.stratified_split(frame, "id", test_size=share, exact_total=True)
+    counts = {r["label"]: r["n"] for r in got.where("is_test").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    total = sum(sizes)
+    wanted = math.ceil(round(share * total, 9))
+    base = {f"c{k}": n * wanted // total for k, n in enumerate(sizes)}
+    rest = sorted((-(n * wanted % total), f"c{k}") for k, n in enumerate(sizes))
+    for _, label in rest[: wanted - sum(base.values())]:
+        base[label] += 1
+    assert counts == {k: n for k, n in base.items() if n} and got.count() == total
+
+
+def test_graded_phrases_carry_no_text(spark):
+    """Neither texts nor their word lists lie between the phrases' explode and their grouping."""
+    from catalog import grading_queries
+
+    plan = grading_queries._graded_phrases(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    top = plan[: plan.index("Generate explode")]
+    outputs = re.findall(r"Project \[([^\n]*)\]", top)
+    assert outputs and not any(re.search(r"\b(kaz|rus|kaz_words|rus_words)#", line) for line in outputs)
