@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -54,6 +55,22 @@ BESIDE = {
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar", "tablist"}
 #: Blocks that stand beside others of their kind in the element that holds an article.
 PARAGRAPHS = {"p", "pre"}
+# Words among these that parts of an article are called by too (side effects, legal analysis).
+OWN = {
+    "side", "legal", "discussion", "feedback", "notice", "notices", "form", "search", "follow", "register", "reply", "replies",
+    "respond", "rail", "foot", "alert", "social", "header", "disclaimer", "copyright", "dialog", "subscription", "consent",
+    "notification", "promotion", "advertising", "navigation", "recommended", "recommendations", "share", "sharing", "comment", "skip",
+}
+# Words that only say that an element is one.
+BOXES = {
+    "box", "area", "wrap", "wrapper", "container", "block", "section", "list", "bar", "panel", "links", "link", "buttons", "button",
+    "item", "items", "inner", "outer", "module", "left", "right", "top", "bottom", "form", "icons", "content", "group", "row", "col",
+}
+#: What lists, tables and quotes are made of.
+LISTED = {
+    "ul", "ol", "li", "dl", "dt", "dd", "table", "caption", "thead", "tbody", "tfoot", "tr", "td", "th", "blockquote", "figure", "figcaption",
+    "p", "pre",
+}
 #: A class like `has-sidebar` speaks of another element.
 ABOUT = {"has", "with", "no", "without"}
 _PARTS = re.compile(r"[a-z0-9]+|[A-Z][a-z0-9]*")
@@ -63,7 +80,9 @@ SIGMA = 1.0
 
 
 class Lines(HTMLParser):
-    """Streams one page into lines: [text parts, characters in links, tags, in article, heading, block].
+    """Streams one page into lines: [text parts, characters in links, tags, declared, heading, block].
+
+    A line is declared 2 in an article element, 1 in a main element alone, else 0.
 
     Elements and blocks are known by their number in page order, -1 is the page. `void` are those that
     set nothing aside once an article begins: see `unclosed`.
@@ -71,11 +90,14 @@ class Lines(HTMLParser):
 
     def __init__(self, void: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[list] = [[[], 0, 1, False, False, -1]]
+        self.lines: list[list] = [[[], 0, 1, 0, False, -1]]
         self.open: list[tuple[str, bool, int]] = []  # element, whether its content is set aside, number
+        self.at: dict[str, list[int]] = defaultdict(list)  # where open elements of a name stand in `open`
+        self.fences: list[int] = []  # where blocks stand that an inner block doesn't end
+        self.scanned = 0  # how much of `open` has been asked for what sets an article aside
         self.kinds: list[str] = []
         self.within: list[int] = []  # the block around each element
-        self.aside = self.article = self.link = self.heading = 0
+        self.aside = self.article = self.declared = self.link = self.heading = 0
         self.void, self.shown = void, False
         self.around: set[int] = set()  # elements that set an article aside
         self.shut: set[int] = set()  # elements set aside that have their end tag
@@ -86,7 +108,7 @@ class Lines(HTMLParser):
 
     def _line(self) -> None:
         if self.lines[-1][0]:
-            self.lines.append([[], 0, 1, False, False, -1])
+            self.lines.append([[], 0, 1, 0, False, -1])
 
     def _block(self) -> int:
         if not self.open:
@@ -98,18 +120,20 @@ class Lines(HTMLParser):
         """`tag` begins: an open head ends before what it can't hold."""
         for k, (name, _, _) in enumerate(self.open[:3]):
             if name == "head":
-                if tag == "body" or not any(inner in CLOSED_BY_HAND for inner, _, _ in self.open[k + 1 :]):
+                if tag == "body" or not any(self.at[inner] and self.at[inner][-1] > k for inner in CLOSED_BY_HAND):
                     self._close(k)
                 return
 
     def _show(self) -> None:
         """The page's article begins: what never ends doesn't set it aside."""
-        for k, (tag, beside, number) in enumerate(self.open):
+        for k in range(self.scanned, len(self.open)):
+            tag, beside, number = self.open[k]
             if beside and number in self.void:
                 self.open[k] = (tag, False, number)
                 self.aside -= 1
             elif beside:
                 self.around.add(number)
+        self.scanned = len(self.open)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in IN_HEAD:
@@ -121,12 +145,16 @@ class Lines(HTMLParser):
             return
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
             self._close_implied(tag)
-        beside = tag in DROPPED or (tag not in ("html", "body", "main") and named_beside(attrs))
+        label = tag == "label" and self.article > 0 and bool(self.at["p"])  # a word of a paragraph
+        beside = (tag in DROPPED and not label) or (tag not in ("html", "body", "main") and named_beside(attrs, tag))
         if tag in ("article", "main") and not beside and not self.shown:
             if self.aside:
                 self._show()
             self.shown = tag == "article" and not self.aside
         block = self._block()
+        self.at[tag].append(len(self.open))
+        if tag in BLOCKS and tag != "p":
+            self.fences.append(len(self.open))
         self.open.append((tag, beside, len(self.kinds)))
         self.kinds.append(tag)
         self.within.append(block)
@@ -138,21 +166,23 @@ class Lines(HTMLParser):
         self.heading += by * (tag in HEADINGS)
         if tag in ("article", "main"):
             self.article += by
+            self.declared += by * (tag == "article")
 
     def _close_implied(self, tag: str) -> None:
         """A block of one kind ends its open sibling: `<p>` after `<p>`, `<li>` after `<li>`."""
         ends = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
-        for k in range(len(self.open) - 1, -1, -1):
-            name = self.open[k][0]
-            if name in ends:
-                self._close(k)
-                return
-            if name in BLOCKS and name not in ("p",):
-                return
+        last = max((self.at[name][-1] for name in ends if self.at[name]), default=-1)
+        if last >= (self.fences[-1] if self.fences else 0):
+            self._close(last)
 
     def _close(self, k: int) -> None:
+        """Closes all open elements from the `k`th on. Every element is closed once, so a page is read in linear time."""
         for name, beside, _ in reversed(self.open[k:]):
             self._count(name, beside, -1)
+            self.at[name].pop()
+        while self.fences and self.fences[-1] >= k:
+            self.fences.pop()
+        self.scanned = min(self.scanned, k)
         del self.open[k:]
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -164,12 +194,11 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self._line()
         self.lines[-1][2] += 1
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                if self.open[k][1]:
-                    self.shut.add(self.open[k][2])
-                self._close(k)
-                break
+        if self.at[tag]:
+            k = self.at[tag][-1]
+            if self.open[k][1]:
+                self.shut.add(self.open[k][2])
+            self._close(k)
         if tag in BLOCKS:
             self._line()
 
@@ -186,12 +215,30 @@ class Lines(HTMLParser):
         line[0].append(data)
         if self.link:
             line[1] += len(data)
-        line[3] = line[3] or self.article > 0
+        line[3] = max(line[3], (self.article > 0) + (self.declared > 0))
         line[4] = line[4] or self.heading > 0
 
 
-def named_beside(attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether class, id, role or a hidden mark say that the element isn't part of the article."""
+def beside_name(name: str) -> bool:
+    """Whether one class or id names a part beside the article.
+
+    Words that an article's own parts are called by too count only as what the name is about: its
+    last word but for those that just say box.
+    """
+    words = [word.lower() for word in _PARTS.findall(name)]
+    if ABOUT.intersection(words):
+        return False
+    about = len(words)
+    while about > 1 and (words[about - 1] in BOXES or words[about - 1].isdigit()):
+        about -= 1
+    return any(word in BESIDE and (word not in OWN or k == about - 1) for k, word in enumerate(words))
+
+
+def named_beside(attrs: list[tuple[str, str | None]], tag: str = "div") -> bool:
+    """Whether class, id, role or a hidden mark say that the element isn't part of the article.
+
+    What a paragraph or a heading is called doesn't.
+    """
     for name, value in attrs:
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
@@ -199,11 +246,9 @@ def named_beside(attrs: list[tuple[str, str | None]]) -> bool:
             return True
         if name == "role" and value and value.strip().lower() in ROLES:
             return True
-        if name in ("class", "id") and value:
-            for one in value.split():
-                words = {word.lower() for word in _PARTS.findall(one)}
-                if words & BESIDE and not words & ABOUT:
-                    return True
+        if name in ("class", "id") and value and tag not in PARAGRAPHS and tag not in HEADINGS:
+            if any(map(beside_name, value.split())):
+                return True
     return False
 
 
@@ -253,9 +298,12 @@ def extract(html: str) -> str:
     ratios = smooth(own)
     bar = threshold(ratios)
     links = [2 * linked > len(text) for text, linked, *_ in lines]
-    if any(line[3] for line in lines):
-        # The article is declared: all its lines belong to the content, lists of links too.
-        kept = [line[3] for line in lines]
+    declared = [sum(len(line[0]) for line in lines if line[3] == k) for k in range(3)]
+    if declared[1] or declared[2]:
+        # The article is declared: all its lines belong to the content, lists of links too. Where both
+        # are there, an article with the better part of main's text is it.
+        bar = 2 if declared[2] >= declared[1] else 1
+        kept = [line[3] >= bar for line in lines]
     else:
         # A region begins and ends with a line above the bar before and after smoothing.
         kept = [min(ratio, mine) >= bar and not link for ratio, mine, link in zip(ratios, own, links)]
@@ -278,8 +326,20 @@ def extract(html: str) -> str:
                 inside.update(dict.fromkeys(path, found))
                 return found
 
+            listed = {-1: False}
+
+            def in_list(block: int) -> bool:
+                """Whether nothing but lists, tables and quotes lies between the block and the region's element."""
+                path = []
+                while block not in listed and parser.kinds[block] in LISTED and parser.within[block] not in own_homes:
+                    path.append(block)
+                    block = parser.within[block]
+                found = listed[block] if block in listed else parser.kinds[block] in LISTED
+                listed.update(dict.fromkeys([*path, block], found))
+                return found
+
             kept = [
-                (not link or at_home(block)) if first <= k <= last else kind in PARAGRAPHS and not link and home in own_homes
+                (not link or at_home(block)) if first <= k <= last else not link and (kind in PARAGRAPHS and home in own_homes or in_list(block))
                 for k, (link, block, kind, home) in enumerate(zip(links, blocks, kinds, homes))
             ]
             first = kept.index(True)

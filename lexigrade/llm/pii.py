@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from lexigrade.llm.common import bounded
 
 ROUNDS = 8
+#: Characters that are permuted as one number.
+BLOCK = 256
 _FIRST_DAY, _DAYS = dt.date(1900, 1, 1).toordinal(), (dt.date(2100, 1, 1) - dt.date(1900, 1, 1)).days
 # English month names as dates write them.
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
@@ -61,6 +63,25 @@ class Feistel:
         return self.mixed(value, sets, tweak, inverse)
 
     def mixed(self, value: str, sets: list[str], tweak: str, inverse: bool = False) -> str:
+        """Permutes strings whose places have the letters of `sets`.
+
+        A value longer than `BLOCK` goes block by block, forth and back, each block under a tweak of all
+        that the pass has read before it; so every character weighs in and the work is in proportion.
+        """
+        if len(value) <= BLOCK:
+            return self._block(value, sets, tweak, inverse)
+        spans = [slice(at, at + BLOCK) for at in range(0, len(value), BLOCK)]
+        parts = [value[span] for span in spans]
+        for turn in (1, 0) if inverse else (0, 1):
+            seen = hashlib.blake2b(b"%d|%d" % (turn, len(value)), digest_size=16)
+            for k in reversed(range(len(parts))) if turn else range(len(parts)):
+                # The chain reads what stood before the pass, which the way back has restored by then.
+                name, before = f"{tweak}|{seen.hexdigest()}", parts[k]
+                parts[k] = self._block(before, sets[spans[k]], name, inverse)
+                seen.update((parts[k] if inverse else before).encode())
+        return "".join(parts)
+
+    def _block(self, value: str, sets: list[str], tweak: str, inverse: bool) -> str:
         number, size = 0, 1
         for c, letters in zip(value, sets):
             number, size = number * len(letters) + letters.index(c), size * len(letters)
@@ -175,20 +196,17 @@ def _date(f: Feistel, m: re.Match, back: bool) -> str | None:
     number = _day(*parts)
     if number is None:
         return None
-    while True:
-        number = f.permute(number, _DAYS, "date", back)
-        new = dt.date.fromordinal(_FIRST_DAY + number)
-        if g.get("name"):
-            name = MONTHS[new.month - 1]
-            name = name if len(g["name"].rstrip(".")) > 3 or g["name"] == "May" else name[:3]
-            return _named(m, new, name)
-        if g.get("y"):
-            return f"{new.year:04d}{m['s']}{new.month:02d}{m['s']}{new.day:02d}"
-        # Written day first, a day up to 12 would be read back as a month: go on to one that isn't.
-        if g["sep"] == "/" and not flipped and new.day <= 12:
-            continue
-        first, second = (new.month, new.day) if flipped else (new.day, new.month)
-        return f"{first:02d}{g['sep']}{second:02d}{g['sep']}{new.year:04d}"
+    new = dt.date.fromordinal(_FIRST_DAY + f.permute(number, _DAYS, "date", back))
+    if g.get("name"):
+        name = MONTHS[new.month - 1]
+        name = name if len(g["name"].rstrip(".")) > 3 or g["name"] == "May" else name[:3]
+        return _named(m, new, name)
+    if g.get("y"):
+        return f"{new.year:04d}{m['s']}{new.month:02d}{m['s']}{new.day:02d}"
+    # With slashes a first number up to 12 is read as a month, so such a day can't stand first.
+    month_first = g["sep"] == "/" and (flipped or new.day <= 12)
+    first, second = (new.month, new.day) if month_first else (new.day, new.month)
+    return f"{first:02d}{g['sep']}{second:02d}{g['sep']}{new.year:04d}"
 
 
 def _named(m: re.Match, new: dt.date, name: str) -> str:
@@ -272,10 +290,12 @@ def protect(docs: DataFrame, key: bytes, inverse: bool = False) -> DataFrame:
     """Every row of `docs` (doc_id, text) as doc_id, text, n_found, kinds (sorted and distinct).
 
     `inverse` goes back with the same key: every number returns as it was, every date as the
-    same day (a day or month that was written with one digit may return with two; a date or an
-    address that mixed digits of several scripts may return in one of them). Whole texts, no shuffle, nothing kept between rows:
-    the pseudonym of a value depends on the key and the value alone. A null text stays null;
-    other columns of `docs` are not read.
+    same day (a day or month that was written with one digit may return with two, a day before its month
+    with slashes behind it; a date or an address that mixed digits of several scripts may return in one of
+    them). Equal days have equal pseudonyms in all notations. Whole texts, no shuffle, nothing kept between rows:
+    the pseudonym of a value depends on the key and the value alone, whatever its length. A null text stays null, an
+    empty one empty; repeated rows are treated each by itself and alike; an empty table gives no rows; other columns
+    of `docs` are not read.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,3 +1,6 @@
+import datetime as dt
+import hashlib
+import random
 import re
 
 import pytest
@@ -112,3 +115,73 @@ def test_rows_in_other_digits(spark):
     rows = [(1, "see 7: \u0665\u0665\u0665-\u0668\u0663\u0669-\u0661\u0662\u0663\u0664"), (2, "x\u00b2 and 1980-02-28")]
     got = pii.protect(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()
     assert [r["kinds"] for r in got] == [["phone"], ["date"]]
+
+
+@pytest.mark.parametrize("length", [16, 255, 256, 257, 600, 7_000, 100_000, 1_000_000])
+def test_long_secrets_there_and_back(length):
+    rng, cipher = random.Random(length), pii.Feistel(b"k")
+    for letters in ("0123456789", "0123456789abcdef", "abcXYZ019"):
+        value = "".join(rng.choice(letters) for _ in range(length))
+        text = f"token={value} end"
+        hidden, kinds = pii.pseudonymise(text, cipher)
+        assert kinds == ["secret"] and len(hidden) == len(text) and hidden != text
+        assert pii.pseudonymise(hidden, cipher, True)[0] == text
+        # A change anywhere changes the whole.
+        other = value[:-1] + ("1" if value[-1] != "1" else "0")
+        changed = pii.pseudonymise(f"token={other} end", cipher)[0]
+        if length >= 600:
+            differ = sum(a != b for a, b in zip(hidden, changed))
+            assert differ > length / 3
+
+
+def test_long_secret_through_spark(spark):
+    rows = [(1, "password: " + "aB3" * 200_000), (2, ""), (3, None), (1, "password: " + "aB3" * 200_000), (4, "on 31/01/2020")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as kinds", "2 as n_found")
+    hidden = pii.protect(docs, b"k")
+    got = [tuple(r) for r in hidden.select("doc_id", "text", "n_found").orderBy("doc_id").collect()]
+    assert got[0] == got[1] and got[0][2] == 1 and got[2][1:] == ("", 0) and got[3][1:] == (None, 0)
+    back = {r["doc_id"]: r["text"] for r in pii.protect(hidden, b"k", True).collect()}
+    assert back[1] == rows[0][1]
+    assert pii.protect(docs.limit(0), b"k").count() == 0
+
+
+def test_equal_days_are_linked_in_all_notations():
+    cipher = pii.Feistel(b"k")
+
+    def read(text):
+        m = re.search(r"(\d+)([/.-])(\d+)[/.-](\d+)", text)
+        a, sep, b, c = int(m[1]), m[2], int(m[3]), int(m[4])
+        if a > 31:
+            return dt.date(a, b, c)
+        return dt.date(c, a, b) if sep == "/" and a <= 12 else dt.date(c, b, a)
+
+    for k in range(0, 3000, 7):
+        day = dt.date(2013, 1, 1) + dt.timedelta(k)
+        forms = [f"{day:%Y-%m-%d}", f"{day:%Y/%m/%d}", f"{day:%d.%m.%Y}", f"{day:%m/%d/%Y}", *([f"{day:%d/%m/%Y}"] if day.day > 12 else [])]
+        hidden = [pii.pseudonymise(f"on {form} it", cipher)[0] for form in forms]
+        assert len({read(h) for h in hidden}) == 1
+        assert {read(pii.pseudonymise(h, cipher, True)[0]) for h in hidden} == {day}
+
+
+def test_plain_feistel():
+    """The network by its definition, on a range of its own."""
+    cipher = pii.Feistel(b"key")
+    key = hashlib.blake2b(b"key", digest_size=32).digest()
+    size, a, b = 1000, 32, 32
+
+    def step(value):
+        left, right = divmod(value, b)
+        for i in range(8):
+            x, m = (left, b) if i % 2 else (right, a)
+            draw = int.from_bytes(hashlib.blake2b(f"t|{i}|{x}|{m}".encode(), key=key, digest_size=32).digest(), "big") % m
+            if i % 2:
+                right = (right + draw) % b
+            else:
+                left = (left + draw) % a
+        return left * b + right
+
+    for value in range(size):
+        want = step(value)
+        while want >= size:
+            want = step(want)
+        assert cipher.permute(value, size, "t") == want
