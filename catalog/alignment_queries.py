@@ -61,6 +61,44 @@ def word_pooling(spark, sf_dir):
     )
 
 
+@register(
+    "pooled_vectors",
+    q.query(
+        "pooled",
+        """SELECT pair_id, side, word_idx, md5(list_aggregate(list_transform(vec,
+          lambda x: round(x * 10000 + 0.003::DOUBLE)::BIGINT::VARCHAR), 'string_agg', ',')) AS vec FROM pooled""",
+    ),
+)
+def pooled_vectors(spark, sf_dir):
+    """Every word's mean vector, value by value in units of 1/10,000, folded to a digest."""
+    pooled = align.pool_words(fx.piece_vectors(spark, sf_dir, _words(spark, sf_dir)))
+    units = F.transform("vec", lambda x: F.round(x * 10000 + 0.003).cast("bigint").cast("string"))
+    return pooled.select("pair_id", "side", "word_idx", F.md5(F.array_join(units, ",").cast("binary")).alias("vec"))
+
+
+@register(
+    "alignment_matrix",
+    q.query(
+        "word_pairs",
+        """SELECT pair_id, kz AS kaz_index, any_value(kz_token) AS kaz_token, md5(string_agg(ru || ':' || ru_token || ':'
+          || round(p_ru * 100000 + 0.003::DOUBLE)::BIGINT || ':' || round(p_kz * 100000 + 0.003::DOUBLE)::BIGINT || ':' || is_link,
+          ',' ORDER BY ru)) AS cells FROM word_pairs GROUP BY pair_id, kz""",
+    ),
+)
+def alignment_matrix(spark, sf_dir):
+    """Every word pair, linked or not, with both probabilities in units of 1/100,000; a Kazakh word's row folded to a digest."""
+    rows = align.diagnostics(_encoded(spark, sf_dir))
+
+    def units(name):
+        return F.round(F.col(name) * 100000 + 0.003).cast("bigint").cast("string")
+
+    cell = F.concat_ws(":", F.col("rus_index").cast("string"), "rus_token", units("p_ru_given_kz"), units("p_kz_given_ru"), F.col("is_link").cast("string"))
+    grouped = rows.groupBy("pair_id", "kaz_index").agg(
+        F.first("kaz_token").alias("kaz_token"), F.sort_array(F.collect_list(F.struct("rus_index", cell.alias("cell")))).alias("c")
+    )
+    return grouped.select("pair_id", "kaz_index", "kaz_token", F.md5(F.array_join("c.cell", ",").cast("binary")).alias("cells"))
+
+
 @register(
     "sequence_guard",
     q.query(

@@ -1,5 +1,8 @@
 """Silver labels, class handling, features, metrics and the trained models."""
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
@@ -10,15 +13,17 @@ from catalog.text_queries import bilingual_sql
 from lexigrade.functions import text as t
 from lexigrade.functions.features import TEXT_FEATURES
 from lexigrade.levels import LEVELS
-from lexigrade.operators import metrics, numeric, sampling, tfidf
+from lexigrade.operators import metrics, numeric, sampling, softmax, tfidf
 from lexigrade.operators.lexicon import build_lexicon
 from lexigrade.operators.word_model import (
     feature_names,
     score_words,
     word_distribution_features as word_features,
 )
-from lexigrade.plans import silver, training
+from lexigrade.plans import epochs, silver, training
+from lexigrade.session import ensure_checkpoint_dir, materialise
 from lexigrade.sources import corpora
+from lexigrade.streaming import conversations
 
 # --- silver labels -------------------------------------------------------------------
 
@@ -444,3 +449,116 @@ def train_sentence(spark, sf_dir):
     )
     frame, _ = training.feature_frame(sides, "pair_id", english=False)
     return _checked_probs(training.level_probabilities(trained.model, frame, "pair_id"), "pair_id")
+
+
+@register(
+    "train_word_epochs",
+    q.query(
+        "clean_labels rus_tokens",
+        _probs_sql(
+            "word",
+            "SELECT DISTINCT token AS word FROM rus_tokens",
+            "SELECT label FROM clean_labels GROUP BY label HAVING count(*) >= 2",
+        ),
+    ),
+)
+def train_word_epochs(spark, sf_dir):
+    """The word model of the best of two epochs, applied batch by batch to every distinct Russian word."""
+    model, _ = epochs.train_word_epochs(
+        _clean_labels(spark, sf_dir), "row_id", epochs=2, batches=4, max_features=1000
+    )
+    words = fx.pairs(spark, sf_dir).select(F.explode(t.words(F.col("rus"))).alias("word"))
+    return _checked_probs(score_words(words, softmax.batch_scorer(spark, model)), "word")
+
+
+@register(
+    "saved_word_model",
+    q.query(
+        "rus_tokens",
+        """SELECT count(DISTINCT token) AS words, 0::BIGINT AS differing, 0::BIGINT AS empty,
+          (SELECT count(*) FROM rus_tokens) AS tokens FROM rus_tokens""",
+    ),
+)
+def saved_word_model(spark, sf_dir):
+    """Written, read back, and scored both as a pipeline and by the batch hook: how many words differ."""
+    trained = training.train_word_model(_clean_labels(spark, sf_dir), "row_id", strengths=(1.0,))
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/word-model-{uuid.uuid4().hex}"
+    trained.write(folder)
+    loaded = training.load_model(folder)
+    plain = softmax.WordModel.of_pipeline(loaded)
+    plain.save(spark, f"{folder}/plain")
+    hook = softmax.batch_scorer(spark, softmax.WordModel.load(spark, f"{folder}/plain"))
+    tokens = materialise(fx.pairs(spark, sf_dir).select(F.explode(t.words(F.col("rus"))).alias("word")))
+    by_hook = score_words(tokens, hook)
+    by_pipeline = score_words(tokens, training.word_scorer(replace(trained, model=loaded)))
+    both = by_hook.withColumnRenamed("probs", "a").join(by_pipeline.withColumnRenamed("probs", "b"), "word")
+    gap = F.aggregate(F.zip_with("a", "b", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda m, x: F.greatest(m, x))
+    compared = both.agg(F.count(F.lit(1)).alias("words"), F.count_if(gap > 1e-9).alias("differing"))
+    # One row each.
+    counts = softmax.unscorable(tokens).select(F.col("empty"), F.col("words").alias("tokens"), F.lit(1).alias("one"))
+    return compared.withColumn("one", F.lit(1)).join(counts, "one").drop("one")
+
+
+@register(
+    "saved_metrics",
+    q.query(
+        "text_corpus",
+        f"""SELECT label, count(*)::DOUBLE AS support, count(*)::DOUBLE AS confused, true AS equal
+        FROM ({SPLIT_SQL}) WHERE is_test GROUP BY label""",
+    ),
+)
+def saved_metrics(spark, sf_dir):
+    """Metrics written as JSON and read back: each class's support, its row of the confusion matrix, and whether
+    precision, recall and F1 equal those of the written confusion counts."""
+    trained = training.train_text_classifier(fx.text_corpus(spark, sf_dir), "doc_id", max_features=300, max_iterations=20)
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/text-model-{uuid.uuid4().hex}"
+    trained.write(folder)
+    read = materialise(spark.read.schema("metric string, label string, pred string, value double").json(f"{folder}/metrics"))
+    cells = read.where("metric = 'confusion'")
+    rows = cells.groupBy("label").agg(F.sum("value").alias("confused"), F.sum(F.when(F.col("label") == F.col("pred"), F.col("value"))).alias("hit"))
+    columns = cells.groupBy(F.col("pred").alias("label")).agg(F.sum("value").alias("given"))
+    scores = read.where("metric IN ('precision', 'recall', 'f1', 'support')").groupBy("label").pivot("metric", ["precision", "recall", "f1", "support"]).agg(F.first("value"))
+    joined = scores.join(rows, "label").join(columns, "label").where("support > 0")
+    equal = (
+        (F.abs(F.col("recall") - t.safe_ratio(F.col("hit"), F.col("confused"))) < 1e-9)
+        & (F.abs(F.col("precision") - t.safe_ratio(F.col("hit"), F.col("given"))) < 1e-9)
+        & (F.abs(F.col("f1") - t.safe_ratio(2 * F.col("hit"), F.col("given") + F.col("confused"))) < 1e-9)
+    )
+    return joined.select("label", "support", "confused", equal.alias("equal"))
+
+
+# --- streams -------------------------------------------------------------------------
+
+
+@register(
+    "stream_conversation_levels",
+    q.query(
+        "turns lexicon",
+        f"""SELECT conv_id, turns, words, {", ".join(f"n{i}" for i in range(6))},
+          CASE WHEN known > 0 THEN {q.LEVEL_LIST}[round_even((0.0::DOUBLE + {" + ".join(f"{i}.0::DOUBLE * (n{i}::DOUBLE / known)" for i in range(6))}), 0)::INT + 1]
+            ELSE 'Unknown' END AS level
+        FROM (SELECT *, {" + ".join(f"n{i}" for i in range(6))} AS known FROM (
+          SELECT t.conv_id, any_value(t.turns) AS turns, count(w.word) AS words, {", ".join(f"count(*) FILTER (level = '{lv}') AS n{i}" for i, lv in enumerate(LEVELS))}
+          FROM (SELECT conv_id, count(DISTINCT turn) AS turns FROM turns GROUP BY conv_id) t
+          LEFT JOIN (SELECT conv_id, lower(word) AS word FROM (SELECT conv_id, unnest({q.words('text')}) AS word FROM turns) WHERE {q.cyrillic('word')}) w
+            ON w.conv_id = t.conv_id
+          LEFT JOIN lexicon l ON l.word = w.word GROUP BY t.conv_id))""",
+    ),
+)
+def stream_conversation_levels(spark, sf_dir):
+    """The conversations read as a stream; a state per conversation, the last counts of each."""
+    lexicon = conversations.hold_lexicon(build_lexicon(fx.lexicon_raw(spark, sf_dir)))
+    given = fx.table(spark, sf_dir, "conversations")
+    # A pattern, as a plain path may only name a folder here and the table may be one file.
+    turns = spark.readStream.schema(given.schema).parquet(f"{sf_dir}/conversations.parque[t]").select(
+        "conv_id", "turn", fx.transliterate(F.col("text")).alias("text"), F.timestamp_seconds(F.col("turn") + 86400).alias("time")
+    )
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    counts = conversations.conversation_counts(turns, lexicon, watermark="30 days")
+    conversations.run_available(counts, f"{folder}/counts", f"{folder}/checkpoint").awaitTermination()
+    written = spark.read.parquet(f"{folder}/counts")
+    levels = [F.get("counts", F.lit(i)).alias(f"n{i}") for i in range(len(LEVELS))]
+    return conversations.latest(written).select("conv_id", "turns", "words", *levels, "level")
