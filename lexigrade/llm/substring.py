@@ -3,12 +3,14 @@
 Words end a chunk where the gear hash of the 16 bytes before says so, whatever stands further
 away, so an insertion moves no cut beyond its own neighbourhood. Where a stretch has no space
 (Chinese, Japanese, Thai, minified code), characters end chunks by the same hash. Chunks are compared by
-digest; runs of chunks that recur are passages, and a passage stays where it comes first.
+the digest of as many adjoining ones as hold a passage's words, so what recurs stood together; a passage
+stays where it comes first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,13 @@ CUT_OF_64_ASCII, CUT_OF_64_WIDE = 2, 6
 WORD_BYTES = 12
 #: Bytes without any cut after which one is forced, at the next character.
 LONGEST = 4096
-#: A run of recurring chunks with so many words is a passage. A passage shared by two texts
+#: Adjoining chunks with so many words that recur together are a passage. A passage shared by two texts
 #: loses the words before its first and after its last cut, ten to twenty in all.
 MIN_WORDS = 18
 
+#: Odd, so that it has an inverse.
+BASE = 0x9E3779B97F4A7C15
+
 GEAR = (mix64(np.arange(256, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
@@ -80,63 +85,108 @@ def unspaced(space: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return at[mine], before[mine]
 
 
-def chunk_rows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-    """(row, chunk, digest) of each chunk: `chunk` packs its place, see `unpack`."""
-    raw, offsets = utf8(batch.column("text"))
-    if not len(raw):
-        return None
+@dataclass
+class Windows:
+    """The chunks of some texts, and the windows that begin at them: the adjoining chunks that first hold `min_words` words.
+
+    The last window of a text comes twice, as far as its words reach and to the text's end (`closing`), so
+    that windows cover a text whole.
+    """
+
+    begin: np.ndarray  # first byte of each chunk, in the bytes of all texts
+    end: np.ndarray
+    doc: np.ndarray
+    first: np.ndarray  # chunks of each window
+    last: np.ndarray
+    closing: np.ndarray
+
+
+def windows(raw: np.ndarray, offsets: np.ndarray, min_words: int) -> Windows:
     ends = cuts(raw, offsets)
     starts = np.concatenate([[0], ends[:-1]])
     doc = np.searchsorted(offsets, starts, side="right") - 1
-    data, digest = raw.tobytes(), xxhash.xxh3_64_intdigest
-    digests = np.fromiter((digest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(ends))
     space = raw <= 0x20
     begins = ~space
     begins[1:] &= space[:-1]
     begins[offsets[:-1][np.diff(offsets) > 0]] = ~space[offsets[:-1][np.diff(offsets) > 0]]
     bare, before = unspaced(space, offsets)
     begins[bare[before % WORD_BYTES == 0]] = True
-    total = np.concatenate([[0], np.cumsum(begins)])
-    place = (starts - offsets[doc]) << 28 | (ends - starts) << 14 | (total[ends] - total[starts]) << 1
-    return pa.RecordBatch.from_arrays(
-        [batch.column("row").take(pa.array(doc)), pa.array(place), pa.array(digests.view(np.int64))], names=["row", "chunk", "digest"]
+    total = np.concatenate([[0], np.cumsum(begins)])[np.append(starts, ends[-1])]
+    reach = np.searchsorted(total, total[:-1] + min_words) - 1
+    final = np.searchsorted(doc, doc, side="right") - 1
+    first = np.flatnonzero(reach <= final)
+    last = reach[first]
+    # The last window of each text, where it leaves a rest.
+    closes = np.append(doc[first][1:] != doc[first][:-1], True) if len(first) else np.zeros(0, bool)
+    closes &= last < final[first]
+    return Windows(
+        starts, ends, doc, np.append(first, first[closes]), np.append(last, final[first[closes]]), np.append(np.zeros(len(first), bool), closes[closes])
     )
 
 
-def unpack(chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start and length in bytes of the text, words (or what counts as one where no space stands), and whether the chunk stands in an earlier row."""
-    return chunk >> 28, chunk >> 14 & 0x3FFF, chunk >> 1 & 0x1FFF, (chunk & 1).astype(bool)
+def window_rows(batch: pa.RecordBatch, min_words: int) -> pa.RecordBatch | None:
+    """(row, place, digest) of each window: `place` packs where it begins in its text, whether it closes it, and a free bit.
+
+    The digest is that of the window's chunk digests: a difference of sums in powers of an odd number.
+    """
+    raw, offsets = utf8(batch.column("text"))
+    if not len(raw):
+        return None
+    w = windows(raw, offsets, min_words)
+    if not len(w.first):
+        return None
+    data, digest = raw.tobytes(), xxhash.xxh3_64_intdigest
+    single = np.fromiter((digest(data[a:b]) for a, b in zip(w.begin.tolist(), w.end.tolist())), np.uint64, len(w.end))
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.append(np.uint64(1), np.full(len(single), BASE, np.uint64)))
+        back = np.cumprod(np.append(np.uint64(1), np.full(len(single), pow(BASE, -1, 1 << 64), np.uint64)))
+        sums = np.append(np.uint64(0), np.cumsum(single * powers[:-1]))
+        digests = mix64((sums[w.last + 1] - sums[w.first]) * back[w.first] + mix64((w.last - w.first).astype(np.uint64)))
+    place = (w.begin[w.first] - offsets[w.doc[w.first]]) << 2 | w.closing.astype(np.int64) << 1
+    return pa.RecordBatch.from_arrays(
+        [batch.column("row").take(pa.array(w.doc[w.first])), pa.array(place), pa.array(digests.view(np.int64))], names=["row", "place", "digest"]
+    )
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """Chunks of `docs` (row, text); the last bit of `chunk` is free."""
+def passage_digests(docs: DataFrame, min_words: int) -> DataFrame:
+    """Windows of `docs` (row, text); the last bit of `place` is free."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text", 1 << 20):
-            found = chunk_rows(batch)
+            found = window_rows(batch, min_words)
             if found is not None:
                 yield found
 
-    return docs.mapInArrow(scan, "row long, chunk long, digest long")
-
-
-def passages(chunk: np.ndarray, min_words: int) -> tuple[bool, list[tuple[int, int]]]:
-    """Whether a text's recurring chunks hold a passage, and the byte spans that stand elsewhere first.
-
-    Both are runs of adjoining chunks with `min_words` words; the second kind of chunks that come earlier.
-    """
-    start, length, words, earlier = unpack(np.sort(chunk))
-
-    def runs(which: np.ndarray) -> list[tuple[int, int]]:
-        a, n, w = start[which], length[which], words[which]
-        if not len(a):
-            return []
-        first = np.flatnonzero(np.append(True, a[1:] != a[:-1] + n[:-1]))
-        last = np.append(first[1:], len(a)) - 1
-        long = np.add.reduceat(w, first) >= min_words
-        return list(zip(a[first][long].tolist(), (a + n)[last][long].tolist()))
-
-    return bool(runs(np.ones(len(start), bool))), runs(earlier)
+    return docs.mapInArrow(scan, "row long, place long, digest long")
+
+
+def merged(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
+    """The spans that windows cover together, begins ascending."""
+    if not len(begin):
+        return []
+    reach = np.maximum.accumulate(end)
+    new = np.append(True, begin[1:] > reach[:-1])
+    at = np.flatnonzero(new)
+    return list(zip(begin[at].tolist(), reach[np.append(at[1:], len(begin)) - 1].tolist()))
+
+
+def earlier_spans(texts: pa.Array, found: pa.Array, min_words: int) -> Iterator[list[tuple[int, int]]]:
+    """For each text the byte spans of its recurring windows that stand in an earlier row, by their places `found`."""
+    raw, offsets = utf8(texts)
+    w = windows(raw, offsets, min_words) if len(raw) else None
+    for row in range(len(texts)):
+        place = found[row].values.to_numpy() if found[row].is_valid else np.zeros(0, np.int64)
+        place = np.sort(place[(place & 1) == 1])
+        if not len(place):
+            yield []
+            continue
+        begin = (place >> 2) + offsets[row]
+        chunk = np.searchsorted(w.begin, begin)
+        # Windows stand in the order of their first chunk, the closing ones behind all others.
+        plain = len(w.closing) - int(w.closing.sum())
+        at = np.searchsorted(w.first[:plain], chunk)
+        last = np.where((place & 2) > 0, np.searchsorted(w.doc, row, side="right") - 1, w.last[np.minimum(at, plain - 1)])
+        yield merged(begin - offsets[row], w.end[last] - offsets[row])
 
 
 def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -149,8 +199,8 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     order by one scan and written with their numbers, as a second scan of `docs` may be dealt
     out otherwise. Other columns are not read.
 
-    Two narrow shuffles carry chunk digests (24 bytes for about 30 of text, before they are
-    compressed) and one the texts. A digest that recurs in any number of rows is summed before it moves
+    Two narrow shuffles carry the windows' digests (24 bytes for about 30 of text, before they are
+    compressed) and one the texts, whose chunks are then found again. A digest that recurs in any number of rows is summed before it moves
     and joined back by a join that Spark can split.
     """
     rows = cut(
@@ -159,19 +209,20 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         ),
         "zstd",
     )
-    found = cut(chunks(rows.select("row", "text")), "zstd")
+    found = cut(passage_digests(rows.select("row", "text"), min_words), "zstd")
     counted = found.groupBy("digest").agg(F.min("row").alias("owner"), F.max("row").alias("last"))
     recurring = cut(counted.where("last > owner").select("digest", "owner"))
     earlier = (F.col("row") != F.col("owner")).cast("long")
-    marked = found.join(recurring, "digest").select("row", F.col("chunk").bitwiseOR(earlier).alias("chunk"))
-    by_row = marked.groupBy("row").agg(F.collect_list("chunk").alias("found"))
+    marked = found.join(recurring, "digest").select("row", F.col("place").bitwiseOR(earlier).alias("place"))
+    by_row = marked.groupBy("row").agg(F.collect_list("place").alias("found"))
     joined = rows.join(by_row, "row", "left").select("doc_id", "text", "found")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "text"):
-            texts, flags, gone, where = [], [], [], []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("found")):
-                repeated, spans = passages(found.values.to_numpy(), min_words) if found.is_valid else (False, [])
+        for batch in bounded(batches, "text", 1 << 20):
+            texts, gone, where = [], [], []
+            marks = batch.column("found")
+            flags = marks.is_valid().to_pylist()
+            for text, spans in zip(batch.column("text").to_pylist(), earlier_spans(batch.column("text"), marks, min_words)):
                 if spans:
                     data, at, left = text.encode(), 0, []
                     for start, end in spans:
@@ -179,7 +230,6 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                         at = end
                     text = b"".join([*left, data[at:]]).decode()
                 texts.append(text)
-                flags.append(repeated)
                 gone.append(sum(b - a for a, b in spans))
                 where.append([{"start": a, "end": b} for a, b in spans])
             yield pa.RecordBatch.from_arrays(

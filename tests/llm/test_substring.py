@@ -100,15 +100,70 @@ def test_odd_rows(spark):
     assert substring.deduplicate(docs.limit(0)).count() == 0
 
 
-def test_chunks_cover_texts():
-    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9]), pa.array(["ab cd " * 40, None, " é"])], names=["row", "text"])
-    got = substring.chunk_rows(batch).to_pandas()
-    start, length, words, earlier = substring.unpack(got["chunk"].to_numpy())
-    mine = (got["row"] == 7).to_numpy()
-    assert length[mine].sum() == 240 and words[mine].sum() == 80 and start[mine][0] == 0
-    assert (start[mine][1:] == np.cumsum(length[mine])[:-1]).all()
-    assert words[(got["row"] == 9).to_numpy()].tolist() == [1]
-    assert not earlier.any()
+def plain_windows(text, min_words):
+    """Spans of the windows of a spaced text."""
+    data = text.encode()
+    ends = slow_cuts(data, 13, 4096)
+    spans = list(zip([0, *ends], ends))
+
+    def words(a, b):
+        before = data[:a][-1:]
+        return len(data[a:b].split()) - (before > b" " and data[a : a + 1] > b" " if before else 0)
+
+    out = []
+    for i, (a, _) in enumerate(spans):
+        reach = [b for _, b in spans[i:] if words(a, b) >= min_words]
+        if reach:
+            out.append((a, reach[0]))
+    return out + ([(out[-1][0], len(data))] if out and out[-1][1] < len(data) else [])
+
+
+def test_windows_by_definition():
+    rng = random.Random(8)
+    texts = [prose(rng, n) for n in (300, 17, 18, 40)] + ["", "  " * 300 + prose(rng, 30) + " " * 99]
+    raw, offsets = layout(texts)
+    w = substring.windows(raw, offsets, 18)
+    got = sorted((int(w.doc[f]), int(w.begin[f] - offsets[w.doc[f]]), int(w.end[z] - offsets[w.doc[f]])) for f, z in zip(w.first, w.last))
+    assert got == sorted((k, a, b) for k, text in enumerate(texts) for a, b in plain_windows(text, 18))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["row", "text"])
+    rows = substring.window_rows(batch, 18).to_pandas()
+    same = {}
+    for (k, a, b), digest in zip(sorted(got), rows.sort_values(["row", "place"]).digest):
+        same.setdefault(texts[k].encode()[a:b], set()).add(digest)
+    assert all(len(v) == 1 for v in same.values()) and len({next(iter(v)) for v in same.values()}) == len(same)
+
+
+def test_stitched_lines_stay(spark):
+    """Texts made of short lines that each stand in another row: nothing stood together anywhere."""
+    rng = random.Random(9)
+    lines = [prose(rng, 9) + "\n" for _ in range(600)]
+    rows = [(i, prose(rng, 30) + "\n" + line + prose(rng, 30)) for i, line in enumerate(lines)]
+    rows += [(1000 + i, "".join(rng.sample(lines, 8))) for i in range(200)]
+    got = substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert not [r["doc_id"] for r in got if r["repeated"] or r["spans"]]
+
+
+def test_against_all_pairs_of_windows(spark):
+    rng = random.Random(10)
+    parts = [prose(rng, rng.randint(5, 60)) for _ in range(12)]
+    texts = [" ".join(rng.sample(parts, rng.randint(1, 5)) + [prose(rng, rng.randint(0, 30))]) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in substring.deduplicate(docs).collect()}
+
+    def chunks_in(text, a, b):
+        """The window's chunks: near a text's beginning the same bytes may be cut otherwise."""
+        ends = [e for e in slow_cuts(text.encode(), 13, 4096) if a < e <= b]
+        return tuple(text.encode()[x:y] for x, y in zip([a, *ends], ends))
+
+    found = [[(chunks_in(text, a, b), a, b) for a, b in plain_windows(text, 18)] for text in texts]
+    for i, mine in enumerate(found):
+        others = [{w for w, _, _ in found[j]} for j in range(len(texts))]
+        assert got[i]["repeated"] == any(w in others[j] for w, _, _ in mine for j in range(len(texts)) if j != i)
+        gone = set()
+        for w, a, b in mine:
+            if any(w in others[j] for j in range(i)):
+                gone |= set(range(a, b))
+        assert {k for s in got[i]["spans"] for k in range(s["start"], s["end"])} == gone
 
 
 def unspaced(rng, letters, n):
