@@ -22,7 +22,7 @@ from lexigrade.llm.common import bounded
 
 UNDETERMINED = "und"
 #: Distinct texts that are sampled of each language, about: four fifths to fit, the rest to calibrate.
-SAMPLE = 600
+SAMPLE = 1000
 
 
 class Leader:
