@@ -23,24 +23,62 @@ def test_statistics_of_a_text():
     assert got[0, 7] == 1 and got[0, 8] == 0 and got[0, 9] == pytest.approx(0.2)
 
 
+def ones(x):
+    return np.append(x, np.ones((len(x), 1)), axis=1)
+
+
+def over(x):
+    """Sums over rows in memory."""
+    return lambda part: part(x, np.arange(len(x)) % 2)
+
+
 def test_prior_and_risk_on_two_gaussians():
     rng = np.random.default_rng(3)
-    positive = rng.normal(2, 1, (3000, 2))
-    unlabelled = np.concatenate([rng.normal(2, 1, (2100, 2)), rng.normal(-2, 1, (900, 2))])[rng.permutation(3000)]
-    prior = quality.estimate_prior(positive, unlabelled, 300)
+    positive = ones(rng.normal(2, 1, (3000, 2)))
+    unlabelled = ones(np.concatenate([rng.normal(2, 1, (2100, 2)), rng.normal(-2, 1, (900, 2))])[rng.permutation(3000)])
+    prior = quality.estimate_prior(positive, over(unlabelled))
     assert prior == pytest.approx(0.7, abs=0.04)
-    w = quality.minimise(positive, unlabelled, prior, 500)
-    test, label = np.concatenate([rng.normal(2, 1, (500, 2)), rng.normal(-2, 1, (500, 2))]), np.repeat([1, 0], 500)
-    score = quality.sigmoid(test @ w[:-1] + w[-1])
-    assert ((score > 0.5) == label).mean() > 0.97
+    (w,) = quality.minimise([positive], over(unlabelled), [None], prior, [np.zeros(3)])
+    test, label = ones(np.concatenate([rng.normal(2, 1, (500, 2)), rng.normal(-2, 1, (500, 2))])), np.repeat([1, 0], 500)
+    assert ((quality.sigmoid(test @ w) > 0.5) == label).mean() > 0.97
+
 
+def test_risk_is_least_where_nothing_holds_it():
+    """Where the negative risk is above zero the gradient of the risk vanishes; it is taken here by plain differences."""
+    rng = np.random.default_rng(5)
+    positive = ones(rng.normal(1, 1, (500, 3)))
+    unlabelled = ones(np.concatenate([rng.normal(1, 1, (300, 3)), rng.normal(-1, 1, (700, 3))]))
+    (w,) = quality.minimise([positive], over(unlabelled), [None], 0.3, [np.zeros(4)])
 
-def test_negative_risk_stays_near_zero():
+    def risk(v):
+        fp, fu = positive @ v, unlabelled @ v
+        negative = np.logaddexp(0, fu).mean() - 0.3 * np.logaddexp(0, fp).mean()
+        assert negative > 0
+        return 0.3 * np.logaddexp(0, -fp).mean() + negative + quality.DECAY / 2 * (v[:-1] ** 2).sum()
+
+    for i in range(4):
+        step = np.eye(4)[i] * 1e-4
+        assert abs(risk(w + step) - risk(w - step)) / 2e-4 < 1e-3
+
+
+def test_negative_risk_stays_above_zero():
     rng = np.random.default_rng(4)
-    positive, unlabelled = rng.normal(size=(30, 200)), rng.normal(size=(40, 200))  # more inputs than rows
-    w = quality.minimise(positive, unlabelled, 0.6, 600)
-    fp, fu = positive @ w[:-1] + w[-1], unlabelled @ w[:-1] + w[-1]
-    assert np.logaddexp(0, fu).mean() - 0.6 * np.logaddexp(0, fp).mean() > -0.1
+    positive, unlabelled = ones(rng.normal(size=(30, 200))), ones(rng.normal(size=(40, 200)))  # more inputs than rows
+    (w,) = quality.minimise([positive], over(unlabelled), [None], 0.6, [np.zeros(201)])
+    fp, fu = positive @ w, unlabelled @ w
+    assert np.logaddexp(0, fu).mean() - 0.6 * np.logaddexp(0, fp).mean() >= 0
+    assert 0.6 * np.logaddexp(0, -fp).mean() < 0.6 * np.log(2)
+
+
+def test_sums_over_all_rows(spark):
+    """What Spark gathers equals one sum in memory, in as many partitions as there are."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, quality.STATISTICS))
+    rows = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "doc_id long, x array<double>").repartition(7)
+    middle, spread, w = x.mean(axis=0), x.std(axis=0), rng.normal(size=quality.STATISTICS + 1)
+    got = quality.gatherer(rows, middle, spread)(lambda part, half: np.append(quality.curvature(part, w), [half.sum(), (1 - half).sum()]))
+    assert np.allclose(got[:-2], quality.curvature(quality.standard(x, middle, spread), w))
+    assert got[-2:].sum() == 500 and got[-2:].min() > 150
 
 
 def test_held_out_documents(spark):
