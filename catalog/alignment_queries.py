@@ -1,5 +1,7 @@
 """Pooling, similarity, links, phrases and their quality."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
@@ -7,7 +9,8 @@ from catalog import sql as q
 from catalog.registry import r6, register
 from lexigrade.functions import text as t
 from lexigrade.operators import align, subwords, tiles
-from lexigrade.session import spread
+from lexigrade.session import ensure_checkpoint_dir, spread
+from lexigrade.sources import stored
 
 
 def _words(spark, sf_dir, split=t.words):
@@ -140,21 +143,43 @@ def align_diagnostics(spark, sf_dir):
     )
 
 
-@register(
-    "align_links",
-    q.query(
-        "links",
-        """SELECT pair_id, kz AS kaz_index, kz_token AS kaz_token, ru AS rus_index,
-          ru_token AS rus_token, round(p_ru, 6) AS p_ru_given_kz, round(p_kz, 6) AS p_kz_given_ru,
-          round(joint, 6) AS joint_prob, is_link FROM links""",
-    ),
+LINKS_SQL = q.query(
+    "links",
+    """SELECT pair_id, kz AS kaz_index, kz_token AS kaz_token, ru AS rus_index,
+      ru_token AS rus_token, round(p_ru, 6) AS p_ru_given_kz, round(p_kz, 6) AS p_kz_given_ru,
+      round(joint, 6) AS joint_prob, is_link FROM links""",
 )
-def align_links(spark, sf_dir):
-    rows = align.link_rows(linked(spark, sf_dir))
+
+
+def _link_columns(rows):
     probs = ("p_ru_given_kz", "p_kz_given_ru", "joint_prob")
     return rows.select(*[r6(c).alias(c) if c in probs else c for c in rows.columns])
 
 
+@register("align_links", LINKS_SQL)
+def align_links(spark, sf_dir):
+    return _link_columns(align.link_rows(linked(spark, sf_dir)))
+
+
+def stored_alignment(spark, sf_dir):
+    """Names of tables of texts and folded pieces, as many buckets as the session has shuffle partitions."""
+    ensure_checkpoint_dir(spark)
+    folder, run = spark.sparkContext.getCheckpointDir(), uuid.uuid4().hex
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts, pieces = f"texts_{run}", f"pieces_{run}"
+    words = _words(spark, sf_dir)
+    stored.store(words.select("pair_id", "kaz_words", "rus_words"), texts, buckets, f"{folder}/{texts}")
+    vectors = fx.piece_vectors(spark, sf_dir, spark.table(texts))
+    stored.store_pieces(vectors, pieces, buckets, f"{folder}/{pieces}")
+    return texts, pieces
+
+
+@register("stored_links", LINKS_SQL)
+def stored_links(spark, sf_dir):
+    """Links read from bucketed tables of words and vectors, without an exchange."""
+    return _link_columns(align.link_rows(stored.stored_links(spark, *stored_alignment(spark, sf_dir))))
+
+
 @register(
     "subword_pieces",
     q.query(
@@ -272,6 +297,17 @@ def link_probability(spark, sf_dir):
     return _phrase_columns(align.phrase_rows(phrased(spark, sf_dir)))
 
 
+@register("stored_link_probability", q.query("phrases", f"{PHRASE_SQL} FROM phrases"))
+def stored_link_probability(spark, sf_dir):
+    """Phrases and their probabilities from a bucketed table of links, next to that of the words."""
+    texts, pieces = stored_alignment(spark, sf_dir)
+    links = texts.replace("texts", "links")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = stored.stored_links(spark, texts, pieces).drop("kaz_words", "rus_words")
+    stored.store(found, links, buckets, f"{spark.sparkContext.getCheckpointDir()}/{links}")
+    return _phrase_columns(stored.stored_phrases(spark, links, texts))
+
+
 def _share_sql(needs: str = "", gold: str = "", found: str = "") -> str:
     return q.query(
         f"pairs links {needs}",

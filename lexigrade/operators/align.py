@@ -41,23 +41,29 @@ def with_words(pairs: DataFrame, split: Callable[[Column], Column] = t.words) ->
 # --- piece vectors -------------------------------------------------------------------
 
 
-def attach_piece_vectors(pairs: DataFrame, piece_vectors: DataFrame) -> DataFrame:
-    """Fold a long table (pair_id, side, word_idx, piece_idx, vec) into `pairs`.
+def fold_pieces(piece_vectors: DataFrame) -> DataFrame:
+    """A long table (pair_id, side, word_idx, piece_idx, vec) as (pair_id, kaz_pieces, rus_pieces).
 
-    `side` is 'kaz' or 'rus'; a group holds the pieces of one text. A stored table is
-    shuffled by `pair_id` with its vectors, unless it is bucketed by it or already folded,
-    as (pair_id, kaz_pieces, rus_pieces); see `attach_folded_pieces`. For vectors that are
-    computed rather than stored use `encode_with`, which does not shuffle at all.
+    `side` is 'kaz' or 'rus'; the pieces come in the order of the text.
     """
     piece = F.struct("word_idx", "piece_idx", "vec")
 
     def side(name: str) -> Column:
         return F.sort_array(F.collect_list(F.when(F.col("side") == name, piece)))
 
-    folded = piece_vectors.groupBy("pair_id").agg(
+    return piece_vectors.groupBy("pair_id").agg(
         side("kaz").alias("kaz_pieces"), side("rus").alias("rus_pieces")
     )
-    return attach_folded_pieces(pairs, folded)
+
+
+def attach_piece_vectors(pairs: DataFrame, piece_vectors: DataFrame) -> DataFrame:
+    """Fold a long table (pair_id, side, word_idx, piece_idx, vec) into `pairs`.
+
+    The table is shuffled by `pair_id` with its vectors. A table that is read often is stored
+    in buckets instead (`sources.stored`), and vectors that are computed rather than stored come
+    from `encode_with`; both read without a shuffle.
+    """
+    return attach_folded_pieces(pairs, fold_pieces(piece_vectors))
 
 
 def attach_folded_pieces(pairs: DataFrame, folded: DataFrame) -> DataFrame:
