@@ -132,7 +132,8 @@ def find(
     Nothing is shuffled: each pass broadcasts at most `pass_words` benchmark words and reads
     every document; a larger benchmark means more passes over the rows in the same task.
     Null or wordless texts have no hit, null or wordless items no window; a null item id
-    reads as the empty id, and items with equal ids are one item. The `names` must be free.
+    reads as the empty id, and items with equal ids are one item. Repeated rows are searched one by one,
+    and a text of any length is searched whole, in a slice of its own. The `names` must be free.
     """
     n_words, spans, hit_items = names
     rows = docs.withColumns(

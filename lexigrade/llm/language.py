@@ -160,7 +160,8 @@ def remainder(docs: DataFrame, modulus: int):
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Every row of `docs` (doc_id, text, lang) as doc_id, held_out, lang_pred, score.
 
-    Learns from rows whose id's crc32 is not 1 modulo 3. An empty table gives no rows.
+    Learns from rows whose id's crc32 is not 1 modulo 3. An empty table gives no rows. Texts are
+    scored whole at any length, repeated rows alike and one by one; other columns are not read.
     """
     fold = remainder(docs, 3)
     model = fit(docs.where(fold != 1).select("text", "lang"), sample)

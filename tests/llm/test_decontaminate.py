@@ -71,3 +71,14 @@ def test_odd_rows(spark):
     assert {(r["doc_id"], *tuple(r)[1:]) for r in got} == {(d, *brute_force(t, items)) for d, t, _ in rows}
     assert not any(r["contaminated"] for r in decontaminate.report(decontaminate.find(docs, benchmark.limit(0))).collect())
     assert decontaminate.find(docs.limit(0), benchmark).count() == 0
+
+
+def test_long_and_repeated_documents(spark):
+    """A window at the end of a long text is found, and each of several equal rows has its own result."""
+    rng = random.Random(9)
+    item = " ".join(f"term{i}" for i in range(14))
+    long = " ".join(rng.choice("abcdefgh") for _ in range(300_000)) + " " + item
+    docs = spark.createDataFrame([(1, long), (2, long), (2, long), (3, long[:-1])], "doc_id long, text string")
+    got = decontaminate.report(decontaminate.find(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"]) for r in got) == [
+        (1, 300_014, 14, 1), (2, 300_014, 14, 1), (2, 300_014, 14, 1), (3, 300_014, 13, 1)]

@@ -81,3 +81,14 @@ def test_odd_rows(spark):
     nothing = language.identify(docs.withColumn("lang", docs["lang"].substr(1, 0)).where("doc_id is null")).collect()
     assert [r["lang_pred"] for r in nothing] == ["und"]
     assert language.identify(docs.limit(0)).count() == 0
+
+
+def test_long_and_repeated_texts(spark):
+    """A text of a million letters is scored whole, and equal rows have equal scores."""
+    english, german = "the cat sat on the mat ", "der hund und die katze "
+    rows = [(i, english * (1 + i % 3), "en") for i in range(20)] + [(100 + i, german * (1 + i % 3), "de") for i in range(20)]
+    rows += [(500, german * 50_000, None), (501, german * 50_000, None), (502, english + german * 40_000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language.identify(docs).collect()}
+    assert len(got) == len(rows) and {got[i]["lang_pred"] for i in (500, 501, 502)} == {"de"}
+    assert got[500]["score"] == got[501]["score"] > 0.5

@@ -100,3 +100,12 @@ def test_odd_rows(spark):
         pieces = packing.pack(docs, shard_tokens=shard_tokens).collect()
         check(spark, docs.collect(), pieces, 2048)
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_names_of_the_operator_in_the_table(spark):
+    rows = [(i, f"word{i} " * (i * 7)) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    named = docs.selectExpr("*", "1 as number", "2 as term", "3 as tokens", "4 as own", "5 as start", "6 as sequence_id")
+    want = sorted(map(tuple, packing.pack(docs).collect()))
+    assert sorted(map(tuple, packing.pack(named).collect())) == want
+    check(spark, named.collect(), packing.pack(named).collect(), 2048)

@@ -1,8 +1,11 @@
+import math
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lexigrade.llm import shards
@@ -54,3 +57,32 @@ def test_hot_keys_and_odd_rows(spark):
     assert shards.shard_documents(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         shards.shard_documents(docs, weights=[1.0, 0.0])
+
+
+def mixed(x):
+    x = (x + 0x9E3779B97F4A7C15) % 2**64
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+    return x ^ (x >> 31)
+
+
+def plain_winner(doc_id, n):
+    key = xxhash.xxh64_intdigest(struct.pack("<q", doc_id), seed=42)
+
+    def draw(s):
+        return 1 / -math.log(((mixed(key ^ mixed(s)) >> 11) + 0.5) / 2**53)
+
+    return max(range(n), key=lambda s: (draw(s), -s))
+
+
+def test_whole_table_against_a_plain_loop(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = shards.shard_documents(docs).collect()
+    assert len(got) == docs.count()
+    assert all((r["shard"], r["grown_shard"]) == (plain_winner(r["doc_id"], 16), plain_winner(r["doc_id"], 17)) for r in got)
+
+
+def test_long_text(spark):
+    docs = spark.createDataFrame([(1, "é" * 2_000_000), (2, "a")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in shards.shard_documents(docs).collect()}
+    assert got[1]["size"] == 4_000_001 and got[1]["text_crc32"] == zlib.crc32(("é" * 2_000_000).encode())
