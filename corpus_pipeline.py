@@ -57,14 +57,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with any window of a benchmark item go."""
+    """Documents with any window of a benchmark item go, repeated rows alike; null and wordless texts have none and stay."""
     names = tuple(free_name(docs, name) for name in ("found_words", "found_spans", "found_items"))
     found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"), names=names)
     return found.where(F.size(names[1]) == 0).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences."""
+    """Pieces of all documents in sequences; repeated rows are packed each, a null text as its closing id alone."""
     return packing.pack(docs)
 
 
