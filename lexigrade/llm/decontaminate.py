@@ -7,20 +7,23 @@ ends a pattern leads to its bucket, and the words of the window decide.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrade.llm.common import bounded, texts
+from lexigrade.llm.common import bounded, cut, texts
 
 WINDOW = 10
 #: Benchmark words held by a task at once; more are searched in further passes.
 PASS_WORDS = 1_000_000
 #: Words of an item that one pass takes as a piece; pieces overlap so that no window is lost.
 PIECE_WORDS = 4_096
+#: Bytes of documents that a task searches under one pass before it loads the next.
+GATHERED = 64 << 20
 
 _WORD = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _WORD else 0x20 for b in range(256))
@@ -86,51 +89,97 @@ class Searcher:
         return hits
 
 
-def passes(benchmark: DataFrame, pass_words: int, window: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items in passes of at most `pass_words` words, as (item id, words); long items in overlapping pieces.
-
-    Item rows stream to the driver one partition at a time, and it holds one pass.
+def pieces(benchmark: DataFrame, window: int, piece_words: int) -> DataFrame:
+    """The items' words in pieces that overlap by a window: item, words (joined by spaces), n, and where
+    the piece stands: `part`, the task that cut it, and `before`, the words of the pieces before it there."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = TaskContext.get().partitionId(), 0
+        for batch in bounded(batches, "text"):
+            rows = []
+            for item, text in zip(batch.column("item").to_pylist(), texts(batch.column("text"))):
+                found = words(text)
+                for start in range(0, max(len(found) - window + 1, 1) if found else 0, piece_words - window + 1):
+                    piece = found[start : start + piece_words]
+                    rows.append((item, b" ".join(piece), len(piece), part, before))
+                    before += len(piece)
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = [pa.string(), pa.binary(), pa.int64(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["item", "words", "n", "part", "before"])
+
+    rows = benchmark.select(F.coalesce(benchmark["item_id"].cast("string"), F.lit("")).alias("item"), benchmark["text"].alias("text"))
+    return rows.mapInArrow(scan, "item string, words binary, n long, part int, before long")
+
+
+def written_passes(benchmark: DataFrame, pass_words: int, window: int, piece_words: int) -> list[str]:
+    """Cuts the items into passes of about `pass_words` words and writes each as a Parquet file that tasks
+    find by the returned name.
+
+    Tasks cut and number the pieces; the driver sees one word count per task. The files are
+    registered with the application: an executor fetches them before its first task that follows,
+    also one that takes the place of a lost one. A pass holds `pass_words` words at most as long as a
+    piece has no more than half of them.
     """
-    held: list[tuple[str, list[bytes]]] = []
-    room = pass_words
-    for row in benchmark.select(F.coalesce(benchmark["item_id"].cast("string"), F.lit("")).alias("item"), benchmark["text"].alias("text")).toLocalIterator():
-        found = words((row["text"] or "").encode())
-        step = PIECE_WORDS - window + 1
-        for start in range(0, max(len(found) - window + 1, 1) if found else 0, step):
-            piece = found[start : start + PIECE_WORDS]
-            if len(piece) > room and held:
-                yield held
-                held, room = [], pass_words
-            held.append((row["item"], piece))
-            room -= len(piece)
-    yield held
-
-
-_SEARCHERS: dict[str, tuple[list[str], Searcher]] = {}
-
-
-def _searcher(key: str, items: list[tuple[str, list[bytes]]], window: int) -> tuple[list[str], Searcher]:
-    """Built once in each Python worker and kept for its later tasks."""
+    spark = benchmark.sparkSession
+    found = cut(pieces(benchmark, window, piece_words))
+    total, offsets = 0, []
+    for part, n in sorted(map(tuple, found.groupBy("part").agg(F.sum("n")).collect())):
+        offsets.append((part, total))
+        total += n
+    if not total:
+        return []
+    step = max(pass_words - piece_words, pass_words // 2, 1)
+    placed = found.join(F.broadcast(spark.createDataFrame(offsets, "part int, offset long")), "part")
+    number = F.floor((F.col("offset") + F.col("before")) / step).cast("int")
+    files = cut(placed.repartitionById(-(-total // step), number).select("item", "words")).inputFiles()
+    for file in files:
+        spark.sparkContext.addFile(file)
+    return sorted(file.rpartition("/")[2] for file in files)
+
+
+_SEARCHERS: dict[tuple[str, int], tuple[list[str], Searcher]] = {}
+
+
+def _searcher(name: str, window: int) -> tuple[list[str], Searcher]:
+    """Tables of the pass in file `name`, kept in the Python worker for its later tasks (two passes at most)."""
+    key = name, window
     if key not in _SEARCHERS:
         if len(_SEARCHERS) > 1:
             _SEARCHERS.clear()
-        ids = sorted({item for item, _ in items})
+        held = pq.read_table(SparkFiles.get(name))
+        items = held.column("item").to_pylist()
+        ids = sorted(set(items))
         at = {item: i for i, item in enumerate(ids)}
-        _SEARCHERS[key] = ids, Searcher([(at[item], w) for item, w in items], window)
+        _SEARCHERS[key] = ids, Searcher([(at[item], w.split()) for item, w in zip(items, held.column("words").to_pylist())], window)
     return _SEARCHERS[key]
 
 
+def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[pa.RecordBatch]]:
+    """Lists of batches with about `limit` bytes, one batch at least."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def find(
     docs: DataFrame,
     benchmark: DataFrame,
     window: int = WINDOW,
     pass_words: int = PASS_WORDS,
     names: tuple[str, str, str] = ("n_words", "spans", "items"),
+    piece_words: int = PIECE_WORDS,
 ) -> DataFrame:
     """`docs` (text and others) with n_words, spans (merged runs of hit words), items (sorted ids).
 
-    Nothing is shuffled: each pass broadcasts at most `pass_words` benchmark words and reads
-    every document; a larger benchmark means more passes over the rows in the same task.
+    No document is shuffled, and no item passes through the driver: a task loads one written pass
+    of at most `pass_words` benchmark words after the other. Where there are more passes than one, it
+    searches `GATHERED` bytes of documents under each before it takes the next documents.
     Null or wordless texts have no hit, null or wordless items no window; a null item id
     reads as the empty id, and items with equal ids are one item. Repeated rows are searched one by one,
     and a text of any length is searched whole, in a slice of its own. The `names` must be free.
@@ -143,26 +192,31 @@ def find(
             hit_items: F.array().cast("array<string>"),
         }
     )
-    for items in passes(benchmark, pass_words, window):
-        held, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
-
-        def search(batches: Iterator[pa.RecordBatch], held=held, key=key) -> Iterator[pa.RecordBatch]:
-            ids, searcher = _searcher(key, held.value, window)
-            for batch in bounded(batches, "text"):
-                count, where, hit = [], batch.column(spans).to_pylist(), batch.column(hit_items).to_pylist()
-                for at, text in enumerate(texts(batch.column("text"))):
-                    found = words(text)
-                    count.append(len(found))
-                    hits = searcher.search(found)
-                    if hits:
-                        hit[at] = sorted({*hit[at], *(ids[i] for _, _, mine in hits for i in mine)})
-                        where[at] = merged([*zip(where[at][::2], where[at][1::2]), *((s, s + n) for s, n, _ in hits)])
-                new = {n_words: pa.array(count, pa.int64()), spans: pa.array(where, pa.list_(pa.int32())), hit_items: pa.array(hit, pa.list_(pa.string()))}
+    passes = written_passes(benchmark, pass_words, window, piece_words)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in gathered(bounded(batches, "text"), GATHERED if len(passes) > 1 else 0):
+            count = [[] for _ in group]
+            where = [[[] for _ in range(batch.num_rows)] for batch in group]
+            hit = [[[] for _ in range(batch.num_rows)] for batch in group]
+            for name in passes or [None]:
+                ids, searcher = _searcher(name, window) if name else ([], Searcher([], window))
+                for k, batch in enumerate(group):
+                    count[k] = []
+                    for at, text in enumerate(texts(batch.column("text"))):
+                        found = words(text)
+                        count[k].append(len(found))
+                        hits = searcher.search(found)
+                        if hits:
+                            hit[k][at] = sorted({*hit[k][at], *(ids[i] for _, _, mine in hits for i in mine)})
+                            before = where[k][at]
+                            where[k][at] = merged([*zip(before[::2], before[1::2]), *((s, s + n) for s, n, _ in hits)])
+            for k, batch in enumerate(group):
+                new = {n_words: pa.array(count[k], pa.int64()), spans: pa.array(where[k], pa.list_(pa.int32())), hit_items: pa.array(hit[k], pa.list_(pa.string()))}
                 columns = [new.get(name, column) for name, column in zip(batch.schema.names, batch.columns)]
                 yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-        rows = rows.mapInArrow(search, rows.schema)
-    return rows
+    return rows.mapInArrow(search, rows.schema)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[int]:

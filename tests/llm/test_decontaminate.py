@@ -2,6 +2,9 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import functions as F
 
 from lexigrade.llm import decontaminate
@@ -43,17 +46,39 @@ def test_few_words_in_many_orders(spark):
     assert result(d, b, pass_words=20) == want  # many passes
 
 
-def test_pieces_of_long_items_lose_no_window(spark, monkeypatch):
+def test_pieces_of_long_items_lose_no_window(spark):
     rng = random.Random(8)
     item = " ".join(rng.choice("abcdefgh") for _ in range(400))
-    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 25)
     items = spark.createDataFrame([(1, item)], "item_id long, text string")
-    pieces = [p for held in decontaminate.passes(items, 60, 10) for p in held]
-    got = {tuple(p[i : i + 10]) for _, p in pieces for i in range(len(p) - 9)}
+    pieces = [bytes(r["words"]).split() for r in decontaminate.pieces(items, 10, 25).collect()]
+    assert max(map(len, pieces)) == 25
+    got = {tuple(p[i : i + 10]) for p in pieces for i in range(len(p) - 9)}
     w = item.encode().split()
     assert got == {tuple(w[i : i + 10]) for i in range(len(w) - 9)}
 
 
+def test_passes_are_bounded_and_hold_every_piece(spark):
+    """Items of many tasks; a pass is one file, and a long run of documents meets each of them."""
+    rng = random.Random(10)
+    text = lambda n: " ".join(rng.choice("abcde") for _ in range(n))
+    items = [(i, text(rng.randint(0, 90))) for i in range(60)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string").repartition(5)
+    files = decontaminate.written_passes(benchmark, 100, 10, 30)
+    held = [pq.read_table(SparkFiles.get(name)).column("words").to_pylist() for name in files]
+    assert len(files) > 10 and max(sum(len(w.split()) for w in words) for words in held) <= 100
+    want = [bytes(r["words"]) for r in decontaminate.pieces(benchmark, 10, 30).collect()]
+    assert sorted(w for words in held for w in words) == sorted(want)
+    docs = [(i, text(rng.randint(0, 80))) for i in range(150)]
+    got = result(spark.createDataFrame(docs, "doc_id long, text string"), benchmark, pass_words=100, piece_words=30)
+    assert got == {i: brute_force(t, items) for i, t in docs}
+
+
+def test_batches_are_gathered_whole():
+    batches = [pa.record_batch({"text": ["x" * 100]}) for _ in range(7)]
+    assert [len(g) for g in decontaminate.gathered(iter(batches), 0)] == [1] * 7
+    assert [len(g) for g in decontaminate.gathered(iter(batches), 250)] == [3, 3, 1]
+
+
 def test_crowded_bucket():
     patterns = [(i, [f"w{i}".encode(), b"x", *[b"y"] * 8]) for i in range(30)]
     searcher = decontaminate.Searcher(patterns, 10)
