@@ -1,7 +1,7 @@
 """Lexical retrieval packing: windows of tokens filled with a document and its BM25 neighbours.
 
 Every document is cut into full windows and a tail. Tails are dealt to shards of bounded
-size, lexically alike ones to the same; a shard is an inverted index. The longest unused tail
+size, those that share their first terms to the same; a shard is an inverted index. The longest unused tail
 is a seed, the index returns its unused neighbours, and they fill the seed's window greedily;
 what is left of the window takes the beginning of the best neighbour that doesn't fit.
 """
@@ -24,6 +24,10 @@ WINDOW = 2048
 END = 1
 #: Tokens in a shard, about: what one task indexes at once.
 SHARD_TOKENS = 1 << 20
+#: Terms of a tail by which its shard is found; a term that fills shards is parted by the next.
+TERMS = 4
+#: Prefixes of terms that fill shards are broadcast up to this number, and joined by shuffles beyond it.
+HOT_ROWS = 1 << 20
 #: Terms of a seed that are looked up, its heaviest, and the usual BM25 constants.
 QUERY_TERMS = 32
 K1, B = 1.2, 0.75
@@ -41,17 +45,34 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def term_order(size: int) -> np.ndarray:
+    """Token ids, the one to be preferred as a shard's term first.
+
+    Each token has an exponential waiting time by its hash, shorter for higher ids: byte-pair
+    ids rise as merges grow rarer. Two tails have the same first term the likelier, the larger the
+    share of such tokens that they have in common.
+    """
+    ids = np.arange(size, dtype=np.uint64)
+    uniform = ((mix64(ids) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+    return np.argsort(-np.log(uniform) / (ids.astype(np.float64) + 1) ** 2, kind="stable")
+
+
 def cut_documents(docs: DataFrame, files: tuple[str, ...], window: int) -> DataFrame:
-    """Full windows, which are sequences of their own, and tails with their ids (little-endian) and `term`.
+    """Full windows, which are sequences of their own, tails with their ids (little-endian) and first `terms`, and counts.
 
-    `number` counts a task's pieces, with the task in front. `term` is the tail's token of least
-    hash, by which lexically alike tails meet.
+    `number` counts a task's pieces, with the task in front. A task's last rows say in how many (`n`) of its
+    tails each `token` occurs; token -1 stands for its tails and -2 for their length.
     """
-    schema = f"{PIECE}, number long, term long, ids binary"
+    schema = f"{PIECE}, number long, terms array<int>, ids binary, token int, n long"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = encoder(*files), np.array([END])
-        mixed = mix64(np.arange(coder.tokenizer.get_vocab_size(), dtype=np.uint64))
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "number", "terms", "ids", "token", "n"]
+        kinds = [pa.int64()] * 8 + [pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.int64()]
+        order = term_order(coder.tokenizer.get_vocab_size())
+        place = np.empty(len(order), coder.kind)
+        place[order] = np.arange(len(order))
+        counts, tails, length = np.zeros(len(order), np.int64), 0, 0
         number = TaskContext.get().partitionId() << 40
         for batch in bounded(batches, "text"):
             rows = []
@@ -63,58 +84,64 @@ def cut_documents(docs: DataFrame, files: tuple[str, ...], window: int) -> DataF
                     piece = ids[start : start + window]
                     number += 1
                     if len(piece) == window:
-                        rows.append((doc, start, window, crc(piece), total, number << 1, 0, number, None, None))
+                        rows.append((doc, start, window, crc(piece), total, number << 1, 0, number, None, None, None, None))
                     else:
-                        term = int(piece[np.argmin(mixed[piece])])
-                        rows.append((doc, start, len(piece), None, total, None, None, number, term, piece.tobytes()))
-            kinds = [pa.int64()] * 9 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(values, kind) for values, kind in zip(zip(*rows), kinds)],
-                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "number", "term", "ids"],
-            )
+                        places = np.unique(place[piece])
+                        counts[places] += 1
+                        tails, length = tails + 1, length + len(piece)
+                        terms = order[places[:TERMS]].tolist()
+                        rows.append((doc, start, len(piece), None, total, None, None, number, terms, piece.tobytes(), None, None))
+            yield pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(zip(*rows), kinds)], names=names)
+        at = np.flatnonzero(counts)
+        token, n = [*order[at].tolist(), -1, -2], [*counts[at].tolist(), tails, length]
+        empty = [pa.nulls(len(token), kind) for kind in kinds[:-2]]
+        yield pa.RecordBatch.from_arrays([*empty, pa.array(token, kinds[-2]), pa.array(n, kinds[-1])], names=names)
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(scan, schema)
 
 
-def term_frequency(tails: DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray, float]:
-    """Tokens, in how many of all tails each occurs, and the mean length of a tail (one number per token of the vocabulary)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows, length = np.zeros(1 << 16, np.int64), 0, 0
-        for batch in batches:
-            for raw in batch.column("ids"):
-                ids = np.unique(np.frombuffer(raw.as_buffer(), kind))
-                if len(ids) and ids[-1] >= len(total):
-                    total = np.append(total, np.zeros(int(ids[-1]) + 1, np.int64))
-                total[ids] += 1
-                rows += 1
-            length += int(batch.column("length").to_numpy().sum())
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([at, [-1, -2]])), pa.array(np.concatenate([total[at], [rows, length]]))], names=["token", "n"]
-        )
-
-    counts = tails.select("ids", "length").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+def term_frequency(pieces: DataFrame) -> tuple[np.ndarray, float]:
+    """Each token's weight by the number of all tails it occurs in, and the mean length of a tail; a row per token of the vocabulary."""
+    counts = pieces.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
     found = dict(zip(counts["token"], counts["n"]))
     rows, length = int(found.pop(-1, 0)), int(found.pop(-2, 0))
     frequency = np.zeros(int(max(found, default=0)) + 1)
     frequency[list(found)] = list(found.values())
-    return np.log(1 + (rows - frequency + 0.5) / (frequency + 0.5)), frequency, length / max(rows, 1)
+    return np.log(1 + (rows - frequency + 0.5) / (frequency + 0.5)), length / max(rows, 1)
 
 
-def with_shards(tails: DataFrame, shard_tokens: int) -> DataFrame:
-    """`tails` with `shard`: a term that fills shards is dealt over its own, the other terms share shards.
+def with_shards(tails: DataFrame, shard_tokens: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """`tails` (number, length, terms and others) with `shard`, a hash.
 
-    The table of terms has a row for each token of the vocabulary at most, hence the broadcast.
+    The first terms of a tail are a path in a tree. A node with more than `shard_tokens` tokens is
+    parted by the next term; its children that are no larger share its shards by their hash. Only below the
+    last term, where tails agree in all of them, are tails dealt by their number. Nodes that fill shards
+    are as many as the shards at each depth: `hot_rows` of them are broadcast, and more are joined with bare numbers.
     """
-    sizes = tails.groupBy("term").agg(F.sum("length").alias("tokens"))
-    sizes = sizes.withColumn("own", F.ceil(F.col("tokens") / shard_tokens).cast("long"))
-    shared = sizes.where("tokens < {0}".format(shard_tokens)).agg(F.sum("tokens")).first()[0] or 0
-    bins = max(1, -(-shared // shard_tokens))
-    shard = F.when(
-        F.col("tokens") >= shard_tokens, (F.col("term") + 1) * (1 << 24) + F.pmod(F.xxhash64("number"), "own")
-    ).otherwise(F.pmod(F.xxhash64("term"), F.lit(bins)))
-    return tails.join(F.broadcast(sizes), "term").withColumn("shard", shard).drop("tokens", "own", "term")
+    levels = range(1, TERMS + 1)
+    keys = {"key0": F.lit(0).cast("long"), **{f"key{j}": F.xxhash64(F.lit(j), F.slice("terms", 1, j)) for j in levels}}
+    tails = tails.withColumns(keys)
+    nodes = [F.struct(F.col(f"key{j}").alias("key"), (F.col(f"key{j - 1}") if j else F.lit(None).cast("long")).alias("parent")) for j in (0, *levels)]
+    sizes = tails.select("length", F.inline(F.array(*nodes))).groupBy("key", "parent").agg(F.sum("length").alias("tokens"))
+    hot = cut(sizes.where((F.col("tokens") > shard_tokens) | F.col("parent").isNull()))
+    inside = hot.where("parent is not null").groupBy(F.col("parent").alias("key")).agg(F.sum("tokens").alias("inside"))
+    rest = F.col("tokens") - F.coalesce("inside", F.lit(0))
+    shards = lambda tokens: F.greatest(F.ceil(tokens / shard_tokens), F.lit(1)).cast("long")
+    hot = cut(hot.join(inside, "key", "left").select("key", shards(F.col("tokens")).alias("own"), shards(rest).alias("shared")))
+    few = hot.count() <= hot_rows
+
+    rows = tails if few else tails.select("number", *keys)
+    for j in (0, *levels):
+        node = hot.toDF(f"key{j}", f"own{j}", f"shared{j}")
+        rows = rows.join(F.broadcast(node) if few else node, f"key{j}", "left")
+    last = f"key{TERMS}"
+    shard = F.xxhash64(last, F.lit("number"), F.pmod(F.xxhash64("number"), f"own{TERMS}"))
+    for j in reversed(levels):
+        child = F.xxhash64(f"key{j - 1}", F.lit("child"), F.pmod(f"key{j}", f"shared{j - 1}"))
+        shard = F.when(F.col(f"own{j}").isNull(), child).otherwise(shard)
+    rows = rows.withColumn("shard", shard)
+    rows = rows if few else tails.join(rows.select("number", "shard"), "number")
+    return rows.drop("terms", *keys, *(f"{name}{j}" for name in ("own", "shared") for j in (0, *levels)))
 
 
 class Index:
@@ -199,24 +226,23 @@ def pack(docs: DataFrame, files: tuple[str, ...] | None = None, window: int = WI
     """
     files = files or default_files()
     pieces = cut(cut_documents(docs, files, window))
-    tails = pieces.where("ids is not null").select("doc_id", "start", "length", "doc_tokens", "number", "term", "ids")
+    tails = pieces.where("ids is not null").select("doc_id", "start", "length", "doc_tokens", "number", "terms", "ids")
     kind = encoder(*files).kind.str
-    idf, _, mean = term_frequency(tails, kind)
+    idf, mean = term_frequency(pieces)
     held = docs.sparkSession.sparkContext.broadcast(idf)
 
     def shard(table: pa.Table) -> pa.Table:
         table = table.sort_by("number").combine_chunks()
-        doc, first, total = (table.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens"))
+        doc, first, total, number = (table.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "number"))
         ids = [np.frombuffer(raw, kind) for raw in table.column("ids").to_pylist()]
-        base = (table.column("shard")[0].as_py() << 21) + 1
         rows = []
-        for k, placed in enumerate(fill(ids, held.value, mean, window)):
-            offset = 0
+        for placed in fill(ids, held.value, mean, window):
+            sequence, offset = (number[placed[0][0]] << 1) + 1, 0  # a tail is the seed of one window at most
             for d, start, length in placed:
-                rows.append((doc[d], first[d] + start, length, crc(ids[d][start : start + length]), total[d], base + (k << 1), offset))
+                rows.append((doc[d], first[d] + start, length, crc(ids[d][start : start + length]), total[d], sequence, offset))
                 offset += length
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         return pa.Table.from_arrays([pa.array(values, pa.int64()) for values in zip(*rows)], names=names)
 
     packed = with_shards(tails, shard_tokens).groupBy("shard").applyInArrow(shard, PIECE)
-    return pieces.where("ids is null").select(packed.columns).unionByName(packed)
+    return pieces.where("sequence_id is not null").select(packed.columns).unionByName(packed)

@@ -109,3 +109,63 @@ def test_names_of_the_operator_in_the_table(spark):
     want = sorted(map(tuple, packing.pack(docs).collect()))
     assert sorted(map(tuple, packing.pack(named).collect())) == want
     check(spark, named.collect(), packing.pack(named).collect(), 2048)
+
+
+def shards_of(spark, tails, limit, **how):
+    rows = [(i, 100, list(terms)) for i, terms in enumerate(tails)]
+    placed = packing.with_shards(spark.createDataFrame(rows, "number long, length long, terms array<int>"), limit, **how)
+    assert placed.columns == ["number", "length", "shard"]
+    return {r["number"]: r["shard"] for r in placed.collect()}
+
+
+def test_a_term_of_all_tails_is_parted_by_the_next(spark):
+    """Every tail begins with the same term; the second has 40 values, two of which fill shards themselves."""
+    second = lambda i: 1000 + (i % 4 if i % 4 < 2 else 2 + i % 38)
+    tails = [(7, second(i), 2000 + i % 90, 3000 + i) for i in range(3000)]
+    shard = shards_of(spark, tails, 20_000)
+    sizes, met = defaultdict(int), defaultdict(set)
+    for i, s in shard.items():
+        sizes[s] += 100
+        met[tails[i][:2]].add(s)
+    assert len(shard) == len(tails) and max(sizes.values()) <= 60_000
+    assert all((len(found) > 1) == (term[1] < 1002) for term, found in met.items())
+    whole = defaultdict(set)
+    for i, s in shard.items():
+        whole[tails[i][:3]].add(s)
+    assert all(len(found) == 1 for found in whole.values())
+    assert shards_of(spark, tails, 20_000, hot_rows=0) == shard
+
+
+def test_copies_and_short_tails_are_dealt_out(spark):
+    """A third are copies and another third have one term only: no shard takes them all, and none is lost."""
+    rng = random.Random(3)
+    tails = [(1, 2, 3, 4)] * 1000 + [(5,)] * 1000 + [tuple(rng.sample(range(10, 5000), 4)) for _ in range(1000)]
+    shard = shards_of(spark, tails, 10_000)
+    sizes = defaultdict(int)
+    for s in shard.values():
+        sizes[s] += 100
+    assert len(shard) == 3000 and max(sizes.values()) < 30_000
+    assert {shard[i] for i in range(1000)}.isdisjoint(shard[i] for i in range(1000, 3000))
+    assert shards_of(spark, tails, 10_000, hot_rows=0) == shard
+    assert len(set(shards_of(spark, tails, 10**9).values())) == 1
+
+
+def test_weights_are_counted_over_all_tails(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [r["text"] or "" for r in docs.collect()]
+    idf, mean = packing.term_frequency(packing.cut_documents(docs.repartition(3), packing.default_files(), 512))
+    plain, found, tails, length = Tokenizer.from_file(JSON), defaultdict(int), 0, 0
+    for text in rows:
+        ids = [*plain.encode(text, add_special_tokens=False).ids, 1]
+        tail = ids[len(ids) - len(ids) % 512 :]
+        tails, length = tails + bool(tail), length + len(tail)
+        for t in set(tail):
+            found[t] += 1
+    assert mean == pytest.approx(length / tails)
+    assert {t: idf[t] for t in found} == pytest.approx({t: np.log(1 + (tails - n + 0.5) / (n + 0.5)) for t, n in found.items()})
+
+
+def test_order_of_terms():
+    order = packing.term_order(5000)
+    assert sorted(order.tolist()) == list(range(5000))
+    assert order[:100].mean() > order[-100:].mean()
