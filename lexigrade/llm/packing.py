@@ -127,12 +127,15 @@ def with_shards(tails: DataFrame, shard_tokens: int, hot_rows: int = HOT_ROWS) -
     inside = hot.where("parent is not null").groupBy(F.col("parent").alias("key")).agg(F.sum("tokens").alias("inside"))
     rest = F.col("tokens") - F.coalesce("inside", F.lit(0))
     shards = lambda tokens: F.greatest(F.ceil(tokens / shard_tokens), F.lit(1)).cast("long")
-    hot = cut(hot.join(inside, "key", "left").select("key", shards(F.col("tokens")).alias("own"), shards(rest).alias("shared")))
-    few = hot.count() <= hot_rows
+    hot = cut(hot.join(inside, "key", "left").select("key", "parent", shards(F.col("tokens")).alias("own"), shards(rest).alias("shared")))
+    root = hot.where("parent is null").first()
+    nodes = hot.where("parent is not null").select("key", "own", "shared")
+    few = nodes.count() <= hot_rows
 
     rows = tails if few else tails.select("number", *keys)
-    for j in (0, *levels):
-        node = hot.toDF(f"key{j}", f"own{j}", f"shared{j}")
+    rows = rows.withColumn("shared0", F.lit(root["shared"] if root else 1))
+    for j in levels:
+        node = nodes.toDF(f"key{j}", f"own{j}", f"shared{j}")
         rows = rows.join(F.broadcast(node) if few else node, f"key{j}", "left")
     last = f"key{TERMS}"
     shard = F.xxhash64(last, F.lit("number"), F.pmod(F.xxhash64("number"), f"own{TERMS}"))
@@ -141,7 +144,7 @@ def with_shards(tails: DataFrame, shard_tokens: int, hot_rows: int = HOT_ROWS) -
         shard = F.when(F.col(f"own{j}").isNull(), child).otherwise(shard)
     rows = rows.withColumn("shard", shard)
     rows = rows if few else tails.join(rows.select("number", "shard"), "number")
-    return rows.drop("terms", *keys, *(f"{name}{j}" for name in ("own", "shared") for j in (0, *levels)))
+    return rows.drop("terms", *keys, "shared0", *(f"{name}{j}" for name in ("own", "shared") for j in levels))
 
 
 class Index:

@@ -169,3 +169,10 @@ def test_order_of_terms():
     order = packing.term_order(5000)
     assert sorted(order.tolist()) == list(range(5000))
     assert order[:100].mean() > order[-100:].mean()
+
+
+def test_shards_need_no_nested_loop(spark):
+    rows = spark.createDataFrame([(i, 100, [1, i]) for i in range(50)], "number long, length long, terms array<int>")
+    placed = packing.with_shards(rows, 1000)
+    assert "NestedLoop" not in placed._jdf.queryExecution().executedPlan().toString()
+    assert packing.with_shards(rows.limit(0), 1000).count() == 0
