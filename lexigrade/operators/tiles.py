@@ -4,7 +4,8 @@ Words travel in blocks of vectors. Every block of the one side meets every block
 such tile in a group of its own, so one pair fills as many tasks as it has tiles and none holds more than two
 blocks and their similarities. The two softmaxes need a maximum and a sum per word over
 all its tiles: a first pass gives each tile's part, the parts are merged, and a second pass
-over the tiles gives the links. The results are those of `align.with_links`.
+over the tiles gives the links. The results are those of `align.with_links`. The tiles of a pair whose words
+all come before `HELD_WORDS` share a group, so its blocks travel once and both passes are made over them there.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from lexigrade.operators import align
 from lexigrade.session import materialise
 
 BLOCK_WORDS = 1024
+#: Pairs whose words all have lower indices are held by one task, block by block.
+HELD_WORDS = 4096
 
 TILE = ["pair_id", "kaz_block", "rus_block"]
 LINKS = "kz_idx int, ru_idx int, p_ru_given_kz double, p_kz_given_ru double"
@@ -122,9 +125,59 @@ def word_totals(blocks: DataFrame) -> DataFrame:
 def tiled_links(blocks: DataFrame, threshold: float = align.LINK_THRESHOLD) -> DataFrame:
     """Links (pair_id, kz_idx, ru_idx, p_ru_given_kz, p_kz_given_ru) of all pairs in `blocks`.
 
-    A pair with an empty side has none. The blocks and the totals are written once, as both passes read them.
+    A pair with an empty side has none; a pair_id stands for one pair. The blocks are written once; those of pairs
+    beyond `HELD_WORDS` go through `dealt_links`.
     """
     blocks = materialise(blocks)
+    last = F.get("word_idx", F.size("word_idx") - 1)
+    long = materialise(blocks.where(last >= HELD_WORDS).select("pair_id").distinct())
+    short = blocks.where(F.col("pair_id").isNotNull()).join(long, "pair_id", "left_anti")
+    found = held_links(short, threshold)
+    if long.isEmpty():
+        return found
+    return found.unionByName(dealt_links(blocks.join(long, "pair_id", "left_semi"), threshold))
+
+
+def held_links(blocks: DataFrame, threshold: float = align.LINK_THRESHOLD) -> DataFrame:
+    """Links as from `dealt_links`, a pair in one group: tile by tile, first the totals, then the links."""
+    kind = dict(blocks.dtypes)["pair_id"]
+    names = ["pair_id", *(c.split()[0] for c in LINKS.split(", "))]
+    kinds = [pa.int32(), pa.int32(), pa.float64(), pa.float64()]
+
+    def links(table: pa.Table) -> pa.Table:
+        side, number = (table.column(c).to_pylist() for c in ("side", "block"))
+        order = sorted(range(table.num_rows), key=lambda i: number[i])
+        kaz, rus = ([_matrix(table.slice(i, 1)) for i in order if side[i] == s] for s in ("kaz", "rus"))
+        if len({*zip(side, number)}) < table.num_rows:
+            raise ValueError("a pair_id must stand for one pair")
+        highs, totals = ([[fill(len(words)) for words, _ in part] for part in (kaz, rus)]
+                         for fill in (lambda n: np.full(n, -np.inf), np.zeros))
+        for a, (_, k_vectors) in enumerate(kaz):
+            for b, (_, r_vectors) in enumerate(rus):
+                scores = k_vectors @ r_vectors.T
+                for which, at, axis in ((0, a, 1), (1, b, 0)):
+                    before = highs[which][at]
+                    top = np.maximum(before, scores.max(axis=axis))
+                    sums = np.exp(scores - np.expand_dims(top, axis)).sum(axis=axis)
+                    totals[which][at] = totals[which][at] * np.exp(before - top) + sums
+                    highs[which][at] = top
+        found = [[np.empty(0)] * 4]
+        for a, (k_words, k_vectors) in enumerate(kaz):
+            for b, (r_words, r_vectors) in enumerate(rus):
+                scores = k_vectors @ r_vectors.T
+                p_ru = np.exp(scores - highs[0][a][:, None]) / totals[0][a][:, None]
+                p_kz = np.exp(scores - highs[1][b]) / totals[1][b]
+                k, r = np.nonzero((p_ru > threshold) & (p_kz > threshold))
+                found.append([k_words[k], r_words[r], p_ru[k, r], p_kz[k, r]])
+        columns = [np.concatenate(part) for part in zip(*found)]
+        ids = table.column("pair_id").combine_chunks().take(pa.array(np.zeros(len(columns[0]), np.int64)))
+        return pa.Table.from_arrays([ids, *(pa.array(v, t) for v, t in zip(columns, kinds))], names=names)
+
+    return blocks.groupBy("pair_id").applyInArrow(links, f"pair_id {kind}, {LINKS}")
+
+
+def dealt_links(blocks: DataFrame, threshold: float = align.LINK_THRESHOLD) -> DataFrame:
+    """Links of pairs of any length, a tile in a group; the blocks with their totals are written, as both passes read them."""
     full = materialise(blocks.join(word_totals(blocks), ["pair_id", "side", "block"]))
     kind = dict(blocks.dtypes)["pair_id"]
     names = ["pair_id", *(c.split()[0] for c in LINKS.split(", "))]

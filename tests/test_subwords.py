@@ -121,3 +121,22 @@ def test_vectors_are_not_shuffled(spark):
     above = plan[: plan.index("MapInArrow")]
     assert "Exchange" not in above and "Exchange hashpartitioning(pair_id" in plan
     assert alignment_queries.encoder_links(spark, "/root/testdata/sf0.001").where(F.lit(False)).count() == 0
+
+
+def test_blocks_of_short_pairs_travel_once(spark, monkeypatch):
+    rng = random.Random(6)
+    words = align.with_words(random_pairs(spark, rng, 10, 12).unionByName(random_pairs(spark, rng, 4, 60).selectExpr("pair_id + 100 AS pair_id", "kaz", "rus")))
+    blocks = tiles.encoded_blocks(words, subwords.piece_encoder(lambda: PIECES, held(spark, VECTORS)), 4).localCheckpoint()
+
+    def rows(df):
+        return {(r["pair_id"], r["kz_idx"], r["ru_idx"]): (r["p_ru_given_kz"], r["p_kz_given_ru"]) for r in df.collect()}
+
+    want = rows(tiles.dealt_links(blocks, 0.02))
+    short = tiles.tiled_links(blocks, 0.02)
+    assert "CoGroup" not in short._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(tiles, "HELD_WORDS", 15)
+    both = tiles.tiled_links(blocks, 0.02)
+    assert "CoGroup" in both._jdf.queryExecution().executedPlan().toString()
+    for found in (rows(short), rows(both)):
+        assert found.keys() == want.keys() and len(want) > 50
+        assert all(found[k] == pytest.approx(want[k]) for k in want)
