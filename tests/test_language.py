@@ -72,6 +72,45 @@ def test_rounds_equal_plain_counting(spark):
     assert sizes.where("s > 8 OR t > 8").count() == 0 and sizes.agg(F.sum("s")).first()[0] == 4000
 
 
+def learned(pairs, rounds=3):
+    measured = []
+    rows = translate.learn(pairs, rounds, 5, measured).collect()
+    return {(r["src"], r["tgt"]): r["probability"] for r in rows}, measured, len(rows)
+
+
+def test_rounds_write_and_move_the_cells_once(spark, monkeypatch):
+    """Blocks of any size give the same; however many rounds, only the segments and the blocks are written."""
+    rows, _ = corpus(random.Random(8), 40)
+    pairs = spark.createDataFrame(rows + [(100 + i, "аа бб", "аь бь") for i in range(30)], PAIRS)
+    want, written = learned(pairs), []
+    once = translate.materialise
+    monkeypatch.setattr(translate, "materialise", lambda df: written.append(df.columns) or once(df))
+    monkeypatch.setattr(translate.co_occurrences, "__defaults__", (5, 12))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = learned(pairs)
+        blocks = translate.co_occurrences(pairs)
+        targets = [w for r in blocks.collect() for w in r["targets"]]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(written) == 4  # two of them for `blocks`
+    assert got[0] == pytest.approx(want[0]) and got[1] == pytest.approx(want[1])
+    assert got[2] == len(got[0]) and len(targets) == len(set(targets)) and blocks.count() > 8
+    assert not re.search("Exchange|Sort", translate.learn(pairs, 2)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_rows_of_one_pair_share_their_masses(spark):
+    rows, _ = corpus(random.Random(5), 30)
+    rows = [r for r in rows if r[1] and r[2]]
+    pairs = spark.createDataFrame(rows, PAIRS)
+    want, got = learned(pairs), learned(pairs.unionByName(pairs))
+    assert got[0] == pytest.approx(want[0]) and got[1] == pytest.approx(want[1])
+    nobody = spark.createDataFrame([(None, "а", "б"), (None, "в г", "б д"), (1, "а", "б")], PAIRS)
+    first = learned(nobody, 1)[0]
+    # "б" of the pairs without id has three source words; "д" two.
+    assert first["а", "б"] == pytest.approx(1.0) and first["в", "б"] == pytest.approx((1 / 3) / (1 / 3 + 1 / 2))
+
+
 def test_nothing_to_learn(spark):
     for rows in ([], [(1, None, None), (2, "", "а")]):
         measured = []
