@@ -100,6 +100,18 @@ def test_word_features_agree_on_both_ways(spark):
         assert got[3]["word_cefr_token_count"] == 1.0 and got[3]["word_cefr_ratio_A1"] == 0.0
 
 
+@pytest.mark.parametrize("batch", [1, 5, 1 << 20])
+def test_terms_are_counted_where_they_are_cut(spark, monkeypatch, batch):
+    docs = ["аа бб аа бб", "бб", "", None, "вв вв вв гг", "аа бб"] * 3
+    frame = spark.createDataFrame([(d,) for d in docs], "x string")
+    monkeypatch.setattr(tfidf, "BATCH_TERMS", batch)
+    lists = [[" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)] for w in ((d or "").split() for d in docs)]
+    rows = tfidf.term_counts(frame, "x", 3)
+    got = {r["term"]: (r["tf"], r["df"]) for r in rows.collect()}
+    assert got == {t: (sum(d.count(t) for d in lists), sum(t in d for d in lists)) for d in lists for t in d}
+    assert "Generate" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_word_report_flags_texts_without_words(spark):
     texts = spark.createDataFrame([(1, "б а"), (2, "…")], "pair_id long, rus string")
     probs = word_model.score_words(
