@@ -19,9 +19,13 @@ def label_phrases(
     skip_non_informative: bool = True,
     **bounds,
 ) -> DataFrame:
-    """One row per phrase with a Cyrillic Russian word; `Unknown` levels are kept."""
+    """One row per phrase with a Cyrillic Russian word; `Unknown` levels are kept.
+
+    Where `phrased` comes without its texts the labels have no `kaz_sent` and `rus_sent`.
+    """
+    texts = [c for c in ("kaz", "rus") if c in phrased.columns]
     rows = align.phrase_rows(
-        phrased.select("pair_id", "kaz", "rus", "phrases")
+        phrased.select("pair_id", *texts, "phrases")
     ).where(is_cyrillic(F.col("russian_token")))
     if skip_non_informative:
         rows = rows.where(is_informative(F.col("russian_token")))
@@ -36,8 +40,7 @@ def label_phrases(
         F.col("kazakh_phrase").alias("kaz_item"),
         F.col("russian_token").alias("rus_item"),
         F.col("level").alias("cefr"),
-        F.col("kaz").alias("kaz_sent"),
-        F.col("rus").alias("rus_sent"),
+        *[F.col(c).alias(f"{c}_sent") for c in texts],
     )
 
 
@@ -50,9 +53,11 @@ def silver_labels(
     threshold: float = align.LINK_THRESHOLD,
     size: int | None = None,
     skip_non_informative: bool = True,
+    sentences: bool = True,
 ) -> DataFrame:
+    """Word labels of a parallel corpus; without `sentences` no text goes beyond the cutting of its words."""
     pairs = first_pairs(parallel_corpus(raw_pairs), size)
-    phrased = aligned_phrases(pairs, encode, threshold)
+    phrased = aligned_phrases(pairs, encode, threshold, texts=sentences)
     return label_phrases(phrased, lexicon, lemmas, skip_non_informative)
 
 
