@@ -5,7 +5,8 @@ such tile in a group of its own, so one pair fills as many tasks as it has tiles
 blocks and their similarities. The two softmaxes need a maximum and a sum per word over
 all its tiles: a first pass gives each tile's part, the parts are merged, and a second pass
 over the tiles gives the links. The results are those of `align.with_links`. The tiles of a pair whose words
-all come before `HELD_WORDS` share a group, so its blocks travel once and both passes are made over them there.
+all come before `HELD_WORDS` share a group, so its blocks travel once and both passes are made over them there;
+with an encoder (`encoded_links`) they don't travel at all.
 """
 
 from __future__ import annotations
@@ -53,23 +54,34 @@ def encoded_blocks(words_df: DataFrame, load, size: int = BLOCK_WORDS) -> DataFr
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1)
                 for side in ("kaz", "rus"):
-                    _, words, vectors = encode(one.column(f"{side}_words"))
-                    good = vectors.is_valid().to_numpy(zero_copy_only=False)
-                    if not good.any():
-                        continue
-                    words = words.to_numpy(zero_copy_only=False)[good]
-                    flat = vectors.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                    keep, pooled = align.word_vectors(words, flat.reshape(len(words), -1))
-                    block = keep // size
-                    for b in np.unique(block):
-                        at = block == b
-                        values = [one.column("pair_id"), pa.array([side]), pa.array([int(b)], pa.int32())]
-                        values += [pa.array([keep[at]], pa.list_(pa.int32())), pa.array([pooled[at].ravel()], pa.list_(pa.float64()))]
+                    for b, keep, pooled in _row_blocks(encode(one.column(f"{side}_words")), size)[0]:
+                        values = [one.column("pair_id"), pa.array([side]), pa.array([b], pa.int32())]
+                        values += [pa.array([keep], pa.list_(pa.int32())), pa.array([pooled.ravel()], pa.list_(pa.float64()))]
                         yield pa.RecordBatch.from_arrays(values, names=names)
 
     return words_df.select("pair_id", "kaz_words", "rus_words").mapInArrow(run, schema)
 
 
+def _row_blocks(encoded: tuple[pa.Array, pa.Array, pa.Array], size: int) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
+    """For each row of an encoder's answer its blocks (block, word indices, vectors), in order."""
+    counts, words, vectors = encoded
+    good = vectors.is_valid().to_numpy(zero_copy_only=False)
+    words = words.to_numpy(zero_copy_only=False)[good]
+    flat = vectors.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    ends = np.append(0, np.cumsum(good))[np.append(0, np.cumsum(counts.to_numpy(zero_copy_only=False)))]
+    flat = flat.reshape(ends[-1], -1) if ends[-1] else flat
+    rows = []
+    for a, b in zip(ends, ends[1:]):
+        blocks = []
+        if a < b:
+            keep, pooled = align.word_vectors(words[a:b], flat[a:b])
+            for number in np.unique(keep // size):
+                at = keep // size == number
+                blocks.append((int(number), keep[at], pooled[at]))
+        rows.append(blocks)
+    return rows
+
+
 def dealt(blocks: DataFrame, side: str) -> DataFrame:
     """The side's blocks, once for every block of the other side of their pair.
 
@@ -138,6 +150,63 @@ def tiled_links(blocks: DataFrame, threshold: float = align.LINK_THRESHOLD) -> D
     return found.unionByName(dealt_links(blocks.join(long, "pair_id", "left_semi"), threshold))
 
 
+def encoded_links(words_df: DataFrame, load, size: int = BLOCK_WORDS, threshold: float = align.LINK_THRESHOLD) -> DataFrame:
+    """`tiled_links(encoded_blocks(words_df, load, size), threshold)` in which only blocks of long pairs leave their tasks.
+
+    A pair of up to `HELD_WORDS` words a side is encoded, cut into blocks and gone through tile by tile where its
+    words are: no vector is written or shuffled. Longer ones, and rows that share a pair_id, go through
+    `tiled_links`. A row without a pair_id has no links.
+    """
+    words = words_df.select("pair_id", "kaz_words", "rus_words").where(F.col("pair_id").isNotNull())
+    longest = F.greatest(F.size("kaz_words"), F.size("rus_words"))
+    counted = words.groupBy("pair_id").agg(F.max(longest).alias("_longest"), F.count(F.lit(1)).alias("_rows"))
+    aside = materialise(counted.where((F.col("_longest") > HELD_WORDS) | (F.col("_rows") > 1)).select("pair_id"))
+    kind = dict(words.dtypes)["pair_id"]
+    names = ["pair_id", *(c.split()[0] for c in LINKS.split(", "))]
+    kinds, at_once = [pa.int32(), pa.int32(), pa.float64(), pa.float64()], align.BATCH_WORDS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = load()
+        for batch in (part for whole in batches for part in align.sliced(whole, ["kaz_words", "rus_words"], at_once)):
+            kaz, rus = (_row_blocks(encode(batch.column(f"{side}_words")), size) for side in ("kaz", "rus"))
+            found = [_held(*([block[1:] for block in part] for part in pair), threshold) for pair in zip(kaz, rus)]
+            if found:
+                at = np.repeat(np.arange(len(found)), [len(links[0]) for links in found])
+                columns = [pa.array(np.concatenate(part), kind) for part, kind in zip(zip(*found), kinds)]
+                yield pa.RecordBatch.from_arrays([batch.column("pair_id").take(pa.array(at)), *columns], names=names)
+
+    none = aside.isEmpty()
+    own = words if none else words.join(aside, "pair_id", "left_anti")
+    found = own.mapInArrow(run, f"pair_id {kind}, {LINKS}")
+    if none:
+        return found
+    return found.unionByName(tiled_links(encoded_blocks(words.join(aside, "pair_id", "left_semi"), load, size), threshold))
+
+
+def _held(kaz: list[tuple[np.ndarray, np.ndarray]], rus: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> list[np.ndarray]:
+    """The four columns of `LINKS` of one pair from its blocks (word indices, vectors), tile by tile."""
+    highs, totals = ([[fill(len(words)) for words, _ in part] for part in (kaz, rus)]
+                     for fill in (lambda n: np.full(n, -np.inf), np.zeros))
+    for a, (_, k_vectors) in enumerate(kaz):
+        for b, (_, r_vectors) in enumerate(rus):
+            scores = k_vectors @ r_vectors.T
+            for which, at, axis in ((0, a, 1), (1, b, 0)):
+                before = highs[which][at]
+                top = np.maximum(before, scores.max(axis=axis))
+                sums = np.exp(scores - np.expand_dims(top, axis)).sum(axis=axis)
+                totals[which][at] = totals[which][at] * np.exp(before - top) + sums
+                highs[which][at] = top
+    found = [[np.empty(0)] * 4]
+    for a, (k_words, k_vectors) in enumerate(kaz):
+        for b, (r_words, r_vectors) in enumerate(rus):
+            scores = k_vectors @ r_vectors.T
+            p_ru = np.exp(scores - highs[0][a][:, None]) / totals[0][a][:, None]
+            p_kz = np.exp(scores - highs[1][b]) / totals[1][b]
+            k, r = np.nonzero((p_ru > threshold) & (p_kz > threshold))
+            found.append([k_words[k], r_words[r], p_ru[k, r], p_kz[k, r]])
+    return [np.concatenate(part) for part in zip(*found)]
+
+
 def held_links(blocks: DataFrame, threshold: float = align.LINK_THRESHOLD) -> DataFrame:
     """Links as from `dealt_links`, a pair in one group: tile by tile, first the totals, then the links."""
     kind = dict(blocks.dtypes)["pair_id"]
@@ -150,28 +219,9 @@ def held_links(blocks: DataFrame, threshold: float = align.LINK_THRESHOLD) -> Da
         kaz, rus = ([_matrix(table.slice(i, 1)) for i in order if side[i] == s] for s in ("kaz", "rus"))
         if len({*zip(side, number)}) < table.num_rows:
             raise ValueError("a pair_id must stand for one pair")
-        highs, totals = ([[fill(len(words)) for words, _ in part] for part in (kaz, rus)]
-                         for fill in (lambda n: np.full(n, -np.inf), np.zeros))
-        for a, (_, k_vectors) in enumerate(kaz):
-            for b, (_, r_vectors) in enumerate(rus):
-                scores = k_vectors @ r_vectors.T
-                for which, at, axis in ((0, a, 1), (1, b, 0)):
-                    before = highs[which][at]
-                    top = np.maximum(before, scores.max(axis=axis))
-                    sums = np.exp(scores - np.expand_dims(top, axis)).sum(axis=axis)
-                    totals[which][at] = totals[which][at] * np.exp(before - top) + sums
-                    highs[which][at] = top
-        found = [[np.empty(0)] * 4]
-        for a, (k_words, k_vectors) in enumerate(kaz):
-            for b, (r_words, r_vectors) in enumerate(rus):
-                scores = k_vectors @ r_vectors.T
-                p_ru = np.exp(scores - highs[0][a][:, None]) / totals[0][a][:, None]
-                p_kz = np.exp(scores - highs[1][b]) / totals[1][b]
-                k, r = np.nonzero((p_ru > threshold) & (p_kz > threshold))
-                found.append([k_words[k], r_words[r], p_ru[k, r], p_kz[k, r]])
-        columns = [np.concatenate(part) for part in zip(*found)]
-        ids = table.column("pair_id").combine_chunks().take(pa.array(np.zeros(len(columns[0]), np.int64)))
-        return pa.Table.from_arrays([ids, *(pa.array(v, t) for v, t in zip(columns, kinds))], names=names)
+        found = _held(kaz, rus, threshold)
+        ids = table.column("pair_id").combine_chunks().take(pa.array(np.zeros(len(found[0]), np.int64)))
+        return pa.Table.from_arrays([ids, *(pa.array(v, t) for v, t in zip(found, kinds))], names=names)
 
     return blocks.groupBy("pair_id").applyInArrow(links, f"pair_id {kind}, {LINKS}")
 

@@ -140,3 +140,32 @@ def test_blocks_of_short_pairs_travel_once(spark, monkeypatch):
     for found in (rows(short), rows(both)):
         assert found.keys() == want.keys() and len(want) > 50
         assert all(found[k] == pytest.approx(want[k]) for k in want)
+
+
+@pytest.mark.parametrize("longest", [4096, 15])
+def test_encoded_links_leave_blocks_in_their_tasks(spark, monkeypatch, longest):
+    rng = random.Random(8)
+    pairs = random_pairs(spark, rng, 10, 12).unionByName(random_pairs(spark, rng, 4, 60).selectExpr("pair_id + 100 AS pair_id", "kaz", "rus"))
+    words = align.with_words(pairs.unionByName(spark.sql("SELECT CAST(NULL AS bigint) AS pair_id, 'a b' AS kaz, 'b a' AS rus")))
+    load = subwords.piece_encoder(lambda: PIECES, held(spark, VECTORS))
+    want = tiles.tiled_links(tiles.encoded_blocks(words, load, 4), 0.02).collect()
+    written = []
+    monkeypatch.setattr(tiles, "HELD_WORDS", longest)
+    monkeypatch.setattr(tiles, "materialise", lambda df: written.append(df.columns) or df.localCheckpoint())
+    found = tiles.encoded_links(words, load, 4, 0.02)
+    assert any("vec" in columns for columns in written) == (longest < 60)
+    key = lambda r: (r["pair_id"], r["kz_idx"], r["ru_idx"])
+    got, want = sorted(found.collect(), key=key), sorted(want, key=key)
+    assert [key(r) for r in got] == [key(r) for r in want] and len(want) > 50
+    assert all(tuple(a)[3:] == pytest.approx(tuple(b)[3:]) for a, b in zip(got, want))
+
+
+def test_rows_of_one_pair_are_refused_in_tiles(spark):
+    words = align.with_words(spark.createDataFrame([(1, "a b", "b"), (1, "a b", "c")], "pair_id long, kaz string, rus string"))
+    with pytest.raises(Exception, match="a pair_id must stand for one pair"):
+        tiles.encoded_links(words, subwords.piece_encoder(lambda: PIECES, held(spark, VECTORS)), 4).collect()
+
+
+def test_tiled_query_moves_no_vectors(spark):
+    plan = alignment_queries.tiled_links(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("MapInArrow")] and "vec#" not in plan and "FlatMapGroups" not in plan
