@@ -1,9 +1,14 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from lexigrade.functions import distributions as d
+from lexigrade.functions import scan
 from lexigrade.functions import text as t
 from lexigrade.functions.features import TEXT_FEATURES, with_text_features
+from lexigrade.operators import tfidf, word_model
 
 
 def one(spark, value, build, kind="string"):
@@ -134,3 +139,43 @@ def test_softmax_and_empty_distribution(spark):
     assert one(spark, [1000.0, 1000.0], d.softmax, "array<double>") == pytest.approx([0.5, 0.5])
     assert one(spark, None, d.top_level, "array<double>") is None
     assert one(spark, [], d.top_probability, "array<double>") == 0.0
+
+
+def test_scan_finds_what_the_patterns_find(spark):
+    """Odd and random texts against the expressions of `functions.text`, character by character of every class."""
+    rng = random.Random(4)
+    odd = ["", " ", "...", ". . a", "a.  ", "a.  b!? ", "\0a\0.", "мама'мама’-мама--а-", "1.2,3 1.2 1,,2 ٣٤.٥", "ΑΣ'Σ Ας ας İ i̇ ß", "ъъе aes аeаes", "x\U0001f600y ²³Ⅷ Ⅷ ⅷ", "-a-", "'", "é é", "Ᲊ Ɤ"]
+    letters = list("аяеЕaeS'’-.!?,19²Ⅷ \n\t\0 ́Σσςİ\U0001d400٠_")
+    odd += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([*odd, None])], "id int, text string").repartition(3)
+    text = F.coalesce("text", F.lit(""))
+    words = t.words(text)
+    sizes = F.transform(words, lambda w: t.syllables(w))
+    want = df.select(
+        "id",
+        F.size(t.sentences(text)), F.size(F.array_distinct(t.numbers(text))), F.size(words), F.size(F.array_distinct(F.transform(words, F.lower))),
+        F.aggregate(sizes, F.lit(0), lambda a, x: a + x), F.size(F.filter(sizes, lambda x: x > 2)),
+    )
+    got = df.select("id", scan.text_statistics(spark, F.col("text")).alias("s")).select("id", "s.*")
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+    listed = df.select("id", F.explode(words).alias("word"))
+    counted = word_model.word_counts(df, "id", "text")
+    assert {tuple(r) for r in counted.where("n > 0").collect()} == {tuple(r) for r in listed.groupBy("id", "word").count().collect()}
+    assert {r["id"] for r in counted.where("word IS NULL AND n = 0").collect()} == {r["id"] for r in df.where(F.size(words) == 0).collect()}
+    assert {r["word"] for r in word_model.distinct_words(df, "text").collect()} == {r["word"] for r in listed.collect()}
+    terms = df.select("id", F.explode(t.terms(text, 2)).alias("term")).groupBy("term").agg(F.count("id"), F.count_distinct("id"))
+    assert {tuple(r) for r in tfidf.term_counts(df, "text", 2).collect()} == {tuple(r) for r in terms.collect()}
+
+
+def test_scan_parts_change_nothing(spark, monkeypatch):
+    texts = ["один два", "", "три три Три. 1 2 1", "x" * 50]
+    table = scan.kinds(scan.ranges(spark))
+    whole = [x.tolist() for x in scan._statistics(scan.Scan(texts, table), re.compile("[аеио]+"))]
+    monkeypatch.setattr(scan, "PART_CHARS", 5)
+    found = [scan._statistics(part, re.compile("[аеио]+")) for _, part in scan.parts(texts, table)]
+    assert len(found) == 4 and [[int(x[0]) for x in column] for column in zip(*found)] == whole
+
+
+def test_text_features_run_no_patterns(spark):
+    plan = with_text_features(spark.range(1).selectExpr("CAST(id AS string) AS text"), "text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp" not in plan
