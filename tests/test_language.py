@@ -99,6 +99,24 @@ def test_rounds_write_and_move_the_cells_once(spark, monkeypatch):
     assert not re.search("Exchange|Sort", translate.learn(pairs, 2)._jdf.queryExecution().executedPlan().toString())
 
 
+def test_frequent_words_are_cut(spark, monkeypatch):
+    """A word of many cells lies in several blocks, no segment in two; the learned table stays."""
+    rows, _ = corpus(random.Random(9), 60)
+    pairs = spark.createDataFrame(rows + [(100 + i // 3, "аа бб", "аь бь") for i in range(60)], PAIRS)
+    want = learned(pairs)
+    monkeypatch.setattr(translate, "WORD_CELLS", 40)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = learned(pairs)
+        blocks = translate.co_occurrences(pairs, 5, 20).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    cut = [r for r in blocks if r["cut"] is not None]
+    assert len(cut) > 10 and all(len(r["targets"]) == 1 for r in cut) and max(len(r["cell_pair"]) for r in cut) < 100
+    assert len({(r["targets"][0], r["cut"]) for r in cut}) == len(cut)
+    assert got[0] == pytest.approx(want[0]) and got[1] == pytest.approx(want[1]) and got[2] == len(want[0])
+
+
 def test_rows_of_one_pair_share_their_masses(spark):
     rows, _ = corpus(random.Random(5), 30)
     rows = [r for r in rows if r[1] and r[2]]
